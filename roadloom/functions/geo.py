@@ -12,7 +12,7 @@ METRES_PER_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180.0
 
 def _half_chord(d_lat: Column, d_lon: Column, cos_product: Column) -> Column:
     a = F.pow(F.sin(d_lat / 2.0), F.lit(2.0)) + cos_product * F.pow(F.sin(d_lon / 2.0), F.lit(2.0))
-    return F.least(F.lit(1.0), a)
+    return F.when(a > 1.0, F.lit(1.0)).otherwise(a)  # null stays null
 
 
 def arc_m(d_lat: Column, d_lon: Column, cos_product: Column) -> Column:

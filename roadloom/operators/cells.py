@@ -7,56 +7,73 @@ metres. ``cover`` lists every cell that a point within the reach can fall in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.config import EARTH_RADIUS_M
 from roadloom.functions.geo import METRES_PER_DEGREE
 
 SLACK = 1.000001
+HAIR = 1e-9
+
+
+def _step(size_m: float | Column) -> Column:
+    """Row height in degrees."""
+    return size_m / F.lit(METRES_PER_DEGREE) if isinstance(size_m, Column) else F.lit(size_m / METRES_PER_DEGREE)
 
 
-def row_of(lat: Column, size_m: float) -> Column:
-    return F.floor(lat / F.lit(size_m / METRES_PER_DEGREE))
+def row_of(lat: Column, size_m: float | Column) -> Column:
+    return F.floor(lat / _step(size_m))
 
 
-def _lon_width(row: Column, size_m: float) -> Column:
-    step = size_m / METRES_PER_DEGREE
-    low, high = row * F.lit(step), (row + 1) * F.lit(step)
-    nearest = F.when(low > 0, low).when(high < 0, -high).otherwise(F.lit(0.0))
-    return F.lit(step) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), nearest))))
+def _lon_width(row: Column, size_m: float | Column) -> Column:
+    step = _step(size_m)
+    nearest = F.greatest(F.lit(0.0), row * step, -((row + 1) * step))
+    return step / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), nearest))))
 
 
-def col_of(lon: Column, row: Column, size_m: float) -> Column:
+def col_of(lon: Column, row: Column, size_m: float | Column) -> Column:
     return F.floor(lon / _lon_width(row, size_m))
 
 
-def key(lat: Column, lon: Column, size_m: float) -> Column:
+def key(lat: Column, lon: Column, size_m: float | Column) -> Column:
     """The cell of a point as struct(row, col)."""
     row = row_of(lat, size_m)
     return F.struct(row.alias("r"), col_of(lon, row, size_m).alias("c"))
 
 
-def cover_box(lat1: Column, lat2: Column, lon1: Column, lon2: Column, reach_m: float, size_m: float) -> Column:
+def cover_box(
+    lat1: Column, lat2: Column, lon1: Column, lon2: Column, reach_m: float, size_m: float | Column
+) -> Column:
     """All cells within ``reach_m`` of the box lat1..lat2 x lon1..lon2, as an array of structs."""
     pad = reach_m * SLACK / METRES_PER_DEGREE
     south, north = lat1 - F.lit(pad), lat2 + F.lit(pad)
     widest = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north)))
     pad_lon = F.lit(pad) / F.greatest(F.lit(1e-6), F.cos(F.radians(widest)))
     west, east = lon1 - pad_lon, lon2 + pad_lon
+    half = F.lit(180.0)
+    # a range that crosses the date line is also entered from the other side
+    ranges = F.filter(
+        F.array(
+            F.struct(F.greatest(west, -half).alias("a"), F.least(east, half).alias("b")),
+            F.struct((-half).alias("a"), F.least(east - 360.0, half).alias("b")),
+            F.struct(F.greatest(west + 360.0, -half).alias("a"), half.alias("b")),
+        ),
+        lambda x: x["a"] <= x["b"],
+    )
 
     def strip(row: Column) -> Column:
-        def span(a, b):
-            return F.transform(
-                F.sequence(col_of(a, row, size_m), col_of(b, row, size_m)),
-                lambda c: F.struct(row.alias("r"), c.alias("c")),
+        return F.flatten(
+            F.transform(
+                ranges,
+                lambda x: F.transform(
+                    F.sequence(col_of(x["a"], row, size_m), col_of(x["b"], row, size_m)),
+                    lambda c: F.struct(row.alias("r"), c.alias("c")),
+                ),
             )
-
-        none = F.slice(span(west, west), 1, 0)
-        # cells across the date line are also entered under their own longitude
-        wrapped_east = F.when(east > 180.0, span(F.lit(-180.0), F.least(east - 360.0, F.lit(180.0)))).otherwise(none)
-        wrapped_west = F.when(west < -180.0, span(F.greatest(west + 360.0, F.lit(-180.0)), F.lit(180.0))).otherwise(none)
-        return F.concat(
-            span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))), wrapped_east, wrapped_west
         )
 
     rows = F.sequence(row_of(south, size_m), row_of(north, size_m))
@@ -67,33 +84,44 @@ def cover(lat: Column, lon: Column, reach_m: float, size_m: float) -> Column:
     return cover_box(lat, lat, lon, lon, reach_m, size_m)
 
 
-def bounds_m(a: dict, b: dict) -> tuple[Column, Column]:
-    """Lower and upper bound of the distance between points of two small lat/lon boxes.
+def summarise(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """One row per ``keys``: extent in degrees and radians, range of cos(lat), ``more`` aggregates."""
+    extent = df.groupBy(*keys).agg(
+        F.min("lat").alias("lat1"), F.max("lat").alias("lat2"), F.min("lon").alias("lon1"), F.max("lon").alias("lon2"), *more
+    )
+    c1, c2 = F.cos(F.radians("lat1")), F.cos(F.radians("lat2"))
+    top = F.when((F.col("lat1") < 0) & (F.col("lat2") > 0), F.lit(1.0)).otherwise(F.greatest(c1, c2))
+    return extent.withColumns(
+        {
+            "y1": F.radians("lat1"), "y2": F.radians("lat2"), "x1": F.radians("lon1"), "x2": F.radians("lon2"),
+            "c_low": F.least(c1, c2), "c_high": top,
+        }
+    )
+
+
+def verdict(radius_m: float) -> Column:
+    """How the points of extents ``p`` and ``q`` lie to the radius: 1 all within, 0 undecided, -1 none.
 
-    Each box is a dict of columns lat1, lat2, lon1, lon2. The bounds meet exactly when
-    both boxes are single points. Boxes facing each other across the date line are
-    measured the short way round.
+    Compares squared half chords, which grow with the distance. A hair around the radius is
+    left undecided, so that only the exact formula decides there.
     """
-    from roadloom.functions.geo import arc_m
+    def col(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
 
-    def gap(lo_a, hi_a, lo_b, hi_b):
-        near = F.greatest(F.lit(0.0), lo_b - hi_a, lo_a - hi_b)
-        far = F.greatest(F.abs(hi_b - lo_a), F.abs(hi_a - lo_b))
-        return near, far
+    def half(x: Column) -> Column:
+        return F.sin(x / 2.0) * F.sin(x / 2.0)
 
-    lat_near, lat_far = gap(a["lat1"], a["lat2"], b["lat1"], b["lat2"])
-    turn = F.when(b["lon1"] - a["lon1"] > 180.0, F.lit(360.0)).when(
-        a["lon1"] - b["lon1"] > 180.0, F.lit(-360.0)
+    turn = F.when(col("q", "x1") - col("p", "x1") > math.pi, F.lit(2 * math.pi)).when(
+        col("p", "x1") - col("q", "x1") > math.pi, F.lit(-2 * math.pi)
     ).otherwise(F.lit(0.0))
-    lon_near, lon_far = gap(a["lon1"], a["lon2"], b["lon1"] - turn, b["lon2"] - turn)
-
-    def cos_range(box):
-        c1, c2 = F.cos(F.radians(box["lat1"])), F.cos(F.radians(box["lat2"]))
-        top = F.when((box["lat1"] <= 0) & (box["lat2"] >= 0), F.lit(1.0)).otherwise(F.greatest(c1, c2))
-        return F.least(c1, c2), F.when(box["lat1"] == box["lat2"], c1).otherwise(top)
-
-    a_low, a_high = cos_range(a)
-    b_low, b_high = cos_range(b)
-    lower = arc_m(F.radians(lat_near), F.radians(lon_near), a_low * b_low)
-    upper = arc_m(F.radians(lat_far), F.radians(lon_far), a_high * b_high)
-    return lower, upper
+    qx1, qx2 = col("q", "x1") - turn, col("q", "x2") - turn
+    y_near = F.greatest(F.lit(0.0), col("q", "y1") - col("p", "y2"), col("p", "y1") - col("q", "y2"))
+    y_far = F.greatest(col("q", "y2") - col("p", "y1"), col("p", "y2") - col("q", "y1"))
+    x_near = F.greatest(F.lit(0.0), qx1 - col("p", "x2"), col("p", "x1") - qx2)
+    x_far = F.greatest(qx2 - col("p", "x1"), col("p", "x2") - qx1)
+    low = half(y_near) + col("p", "c_low") * col("q", "c_low") * half(x_near)
+    high = half(y_far) + col("p", "c_high") * col("q", "c_high") * half(x_far)
+    edge = math.sin(radius_m / (2.0 * EARTH_RADIUS_M)) ** 2
+    return (
+        F.when(high <= edge * (1.0 - HAIR), F.lit(1)).when(low > edge * (1.0 + HAIR), F.lit(-1)).otherwise(F.lit(0))
+    )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine_m
 from roadloom.operators import cells
-from roadloom.operators.spatial import EXACT, box, extent
 from roadloom.session import cut
 
 
@@ -26,7 +25,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
         *keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).filter("u <> v").distinct()
     current = cut(tidy)
-    while not current.isEmpty():
+    while True:
         both = current.unionByName(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*part).agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, part).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,10 +37,13 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
             .unionByName(linked.select(*keys, "u", F.col("m").alias("v")))
             .distinct()
         )
-        settled = following.join(current, [*keys, "u", "v"], "left_anti").isEmpty()
-        settled = settled and current.join(following, [*keys, "u", "v"], "left_anti").isEmpty()
         current = following
-        if settled:
+        # done when every edge leads from a node of its own straight to a root
+        ends = current.select(*keys, F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            current.select(*keys, F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        busy = ends.groupBy(*keys, "x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if busy.filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
     return current.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -61,33 +63,30 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     tagged = points.withColumn("_cell", cells.key(F.col("lat"), F.col("lon"), size)).withColumn(
         "_sub", cells.key(F.col("lat"), F.col("lon"), size / 8.0)
     )
-    subs = cut(tagged.groupBy(*part).agg(*extent(), F.min(id_col).alias("node")))
+    subs = cut(cells.summarise(tagged, part, F.min(id_col).alias("node")))
     nodes = subs.groupBy(*keys, "_cell").agg(F.min("node").alias("node"))
     onward = F.filter(
         cells.cover_box(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), radius_m, size),
         lambda c: c > F.col("_cell"),
     )
     reach = subs.withColumn("_to", F.explode(onward))
-    lower, upper = cells.bounds_m(box("p"), box("q"))
     cond = F.col("p._to") == F.col("q._cell")
     for k in keys:
         cond = cond & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-    near = (
+    near = cut(
         reach.alias("p")
         .join(subs.alias("q"), cond)
         .select(
             *[F.col(f"p.{k}").alias(k) for k in keys],
             F.col("p._cell").alias("_pc"), F.col("p._sub").alias("_ps"),
             F.col("q._cell").alias("_qc"), F.col("q._sub").alias("_qs"),
-            lower.alias("_lo"), upper.alias("_hi"),
+            cells.verdict(radius_m).alias("_v"),
         )
-        .filter(F.col("_lo") <= radius_m * (1.0 + EXACT))
+        .filter("_v >= 0")
     )
-    settled = F.col("_hi") <= F.when(F.col("_lo") == F.col("_hi"), F.lit(radius_m)).otherwise(radius_m * (1.0 - EXACT))
-    near = cut(near.withColumn("_sure", settled).filter(F.col("_sure") | (F.col("_lo") < F.col("_hi"))))
     ends = [*keys, "_pc", "_qc"]
-    sure = near.filter("_sure").select(*ends).distinct()
-    unsure = near.filter(~F.col("_sure")).join(sure, ends, "left_anti")
+    sure = near.filter("_v = 1").select(*ends).distinct()
+    unsure = near.filter("_v = 0").join(sure, ends, "left_anti")
     sites = tagged.select(*part, "lat", "lon").distinct()
     p_sites = sites.select(*keys, F.col("_cell").alias("_pc"), F.col("_sub").alias("_ps"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     q_sites = sites.select(*keys, F.col("_cell").alias("_qc"), F.col("_sub").alias("_qs"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))

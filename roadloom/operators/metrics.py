@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.config import DEFAULTS, SEVERITIES, Settings
-from roadloom.functions.text import median3
+from roadloom.functions.text import base_name, median3
 from roadloom.operators.ranking import seeded_rank
 from roadloom.session import cut
 
@@ -126,6 +126,22 @@ def with_consensus(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
     )
 
 
+def join_metadata(sheet: DataFrame, meta: DataFrame) -> DataFrame:
+    """Sheet rows with ``area_ratio``: their own (``own``), else that of the crop file of the same name.
+
+    sheet: filename, own; meta: file, meta_ratio (of a repeated name the largest). Rows with
+    neither are dropped.
+    """
+    named = meta.groupBy(base_name(F.col("file")).alias("_name")).agg(F.max("meta_ratio").alias("_ratio"))
+    return (
+        sheet.withColumn("_name", base_name(F.col("filename")))
+        .join(named, "_name", "left")
+        .withColumn("area_ratio", F.coalesce("own", "_ratio"))
+        .filter(F.col("area_ratio").isNotNull())
+        .drop("_name", "_ratio")
+    )
+
+
 def pairwise_kappa(ratings: DataFrame, raters: Sequence[str], system: str = "system") -> DataFrame:
     """Kappa of the system with every rater and of all rater pairs; blanks drop pairwise.
 

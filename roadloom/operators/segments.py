@@ -10,6 +10,7 @@ from roadloom.functions import boxes
 from roadloom.operators.areas import union_area
 from roadloom.operators.spatial import snap_to_trace
 from roadloom.operators.temporal import chainage
+from roadloom.session import cut
 
 
 def frames_of_segments(chain: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -46,7 +47,7 @@ def build_segments(
     gps: DataFrame, defects: DataFrame, frame_w: int, frame_h: int, cfg: Settings = DEFAULTS, chain: DataFrame | None = None
 ) -> DataFrame:
     """Segments of every survey with damage index and condition; uncovered ones are NoData."""
-    chain = chainage(gps, cfg) if chain is None else chain
+    chain = cut(chainage(gps, cfg)) if chain is None else chain
     segs = frames_of_segments(chain, cfg)
     tail = segs.groupBy("survey_id").agg(F.max("n_seg").alias("n_seg"))
     placed = (

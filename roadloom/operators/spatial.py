@@ -12,22 +12,6 @@ from roadloom.functions.geo import edge_distance, edge_fraction, haversine_m
 from roadloom.operators import cells
 from roadloom.session import cut
 
-EXACT = 1e-9
-
-
-def extent(prefix: str = "") -> list:
-    return [
-        F.min("lat").alias(prefix + "lat1"),
-        F.max("lat").alias(prefix + "lat2"),
-        F.min("lon").alias(prefix + "lon1"),
-        F.max("lon").alias(prefix + "lon2"),
-    ]
-
-
-def box(alias: str) -> dict:
-    return {c: F.col(f"{alias}.{c}") for c in ("lat1", "lat2", "lon1", "lon2")}
-
-
 def flag_within(
     points: DataFrame, targets: DataFrame, radius_m: float, out: str, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -46,36 +30,26 @@ def flag_within(
         .withColumn("_m", cells.key(F.col("lat"), F.col("lon"), small))
     )
     part = [*keys, "_m"]
-    p_box = pts.groupBy(*part).agg(*extent())
-    t_box = tgt.groupBy(*part).agg(*extent())
+    p_box, t_box = cells.summarise(pts, part), cells.summarise(tgt, part)
     reach = radius_m + 2.0 * small
     p_cells = p_box.withColumn(
         "_c", F.explode(cells.cover_box(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), reach, coarse))
     )
     t_cells = t_box.withColumn("_c", cells.key(F.col("lat1"), F.col("lon1"), coarse))
-    lower, upper = cells.bounds_m(box("p"), box("t"))
-    same = [F.col(f"p.{k}") == F.col(f"t.{k}") for k in [*keys, "_c"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.col("p._c") == F.col("q._c")
+    for k in keys:
+        cond = cond & (F.col(f"p.{k}") == F.col(f"q.{k}"))
     near = (
         p_cells.alias("p")
-        .join(t_cells.alias("t"), cond)
+        .join(t_cells.alias("q"), cond)
         .select(
-            *[F.col(f"p.{k}").alias(k) for k in part],
-            F.col("t._m").alias("_tm"),
-            lower.alias("_lo"),
-            upper.alias("_hi"),
+            *[F.col(f"p.{k}").alias(k) for k in part], F.col("q._m").alias("_tm"), cells.verdict(radius_m).alias("_v")
         )
-        .filter(F.col("_lo") <= radius_m * (1.0 + EXACT))
+        .filter("_v >= 0")
     )
-    settled = F.col("_hi") <= F.when(F.col("_lo") == F.col("_hi"), F.lit(radius_m)).otherwise(
-        radius_m * (1.0 - EXACT)
-    )
-    open_pair = (F.col("_lo") < F.col("_hi")) & ~settled
-    near = cut(near.select(*part, "_tm", settled.alias("_sure"), open_pair.alias("_open")))
-    sure = near.filter("_sure").select(*part).distinct().withColumn("_hit", F.lit(True))
-    ring = near.filter("_open").join(sure, part, "left_anti").select(*part, "_tm")
+    near = cut(near)
+    sure = near.filter("_v = 1").select(*part).distinct().withColumn("_hit", F.lit(True))
+    ring = near.filter("_v = 0").join(sure, part, "left_anti").select(*part, "_tm")
     sites = pts.select(*part, "lat", "lon").distinct()
     t_sites = tgt.select(*keys, F.col("_m").alias("_tm"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     close = (
@@ -187,21 +161,19 @@ def snap_to_trace(points: DataFrame, chain: DataFrame, ids: Sequence[str], ring_
         level = F.lit(7)
         for n in range(6, -1, -1):
             level = F.when(F.col("step_m") <= sizes[n], F.lit(n)).otherwise(level)
-        entry, probe = F.lit(None), F.lit(None)
-        for n, size in enumerate(sizes):
+        size = F.lit(ring_m * 4.0) * F.pow(F.lit(8.0), F.col("_lvl"))
+        if last:
+            keyed, probes = edges.withColumn("_c", F.lit(0)), pending.withColumn("_c", F.lit(0))
+            keyed, probes = keyed.withColumn("_lvl", F.lit(0)), probes.withColumn("_lvl", F.lit(0))
+        else:
             span = cells.cover_box(
                 F.least("p_lat", "n_lat"), F.greatest("p_lat", "n_lat"),
                 F.least("p_lon", "n_lon"), F.greatest("p_lon", "n_lon"), ring_m, size,
             )
-            entry = F.when(F.col("_lvl") == n, span).otherwise(entry)
-            probe = F.when(F.col("_lvl") == n, cells.key(F.col("lat"), F.col("lon"), size)).otherwise(probe)
-        if last:
-            keyed, probes = edges.withColumn("_c", F.lit(0)).withColumn("_lvl", F.lit(0)), pending.withColumn(
-                "_c", F.lit(0)
-            ).withColumn("_lvl", F.lit(0))
-        else:
-            keyed = edges.withColumn("_lvl", level).withColumn("_c", F.explode(entry))
-            probes = pending.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in range(8)]))).withColumn("_c", probe)
+            keyed = edges.withColumn("_lvl", level).withColumn("_c", F.explode(span))
+            probes = pending.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in range(8)]))).withColumn(
+                "_c", cells.key(F.col("lat"), F.col("lon"), size)
+            )
         near = (
             probes.join(keyed, ["survey_id", "_lvl", "_c"])
             .select(*on, edge_distance(*plane).alias("d"), "seq", (F.col("from_m") + edge_fraction(*plane) * F.col("step_m")).alias("chain_m"))

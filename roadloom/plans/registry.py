@@ -75,7 +75,7 @@ def forget() -> None:
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Haversine metres as SQL text."""
     a = (
-        f"least(1e0, pow(sin(radians({lat2}-{lat1})/2e0),2e0)"
+        f"(pow(sin(radians({lat2}-{lat1})/2e0),2e0)"
         f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lon2}-{lon1})/2e0),2e0))"
     )
     return f"(12742000e0*atan2(sqrt({a}),sqrt(1e0-{a})))"
