@@ -10,24 +10,15 @@ from roadloom.config import EARTH_RADIUS_M
 METRES_PER_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180.0
 
 
-def _half_chord(d_lat: Column, d_lon: Column, cos_product: Column) -> Column:
-    a = F.pow(F.sin(d_lat / 2.0), F.lit(2.0)) + cos_product * F.pow(F.sin(d_lon / 2.0), F.lit(2.0))
-    return F.when(a > 1.0, F.lit(1.0)).otherwise(a)  # null stays null
-
-
-def arc_m(d_lat: Column, d_lon: Column, cos_product: Column) -> Column:
-    """Great-circle metres from coordinate differences (radians) and cos(lat1)*cos(lat2)."""
-    a = _half_chord(d_lat, d_lon, cos_product)
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(1.0 - a))
-
-
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    lat1, lon1, lat2, lon2 = (F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))
-    return arc_m(
-        F.radians(lat2 - lat1),
-        F.radians(lon2 - lon1),
-        F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)),
+def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Great-circle metres between two points given as SQL expressions; null where one is null."""
+    a = (
+        f"pow(sin(radians(({lat2}) - ({lat1})) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians(({lon2}) - ({lon1})) / 2), 2)"
     )
+    # rounding may lift antipodes above 1
+    a = f"(CASE WHEN {a} > 1 THEN 1D ELSE {a} END)"
+    return F.expr(f"{2.0 * EARTH_RADIUS_M!r}D * atan2(sqrt({a}), sqrt(1 - {a}))")
 
 
 def project_x_m(lon, centre_lat, centre_lon) -> Column:

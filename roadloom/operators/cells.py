@@ -20,67 +20,46 @@ SLACK = 1.000001
 HAIR = 1e-9
 
 
-def _step(size_m: float | Column) -> Column:
-    """Row height in degrees."""
-    return size_m / F.lit(METRES_PER_DEGREE) if isinstance(size_m, Column) else F.lit(size_m / METRES_PER_DEGREE)
+def _step(size_m: float | str) -> str:
+    """Row height in degrees; a size may also be an SQL expression."""
+    return f"(({size_m}) / {METRES_PER_DEGREE!r}D)" if isinstance(size_m, str) else f"{size_m / METRES_PER_DEGREE!r}D"
 
 
-def row_of(lat: Column, size_m: float | Column) -> Column:
-    return F.floor(lat / _step(size_m))
+def _row(lat: str, size_m: float | str) -> str:
+    return f"floor(({lat}) / {_step(size_m)})"
 
 
-def _lon_width(row: Column, size_m: float | Column) -> Column:
+def _col(lon: str, row: str, size_m: float | str) -> str:
     step = _step(size_m)
-    nearest = F.greatest(F.lit(0.0), row * step, -((row + 1) * step))
-    return step / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), nearest))))
+    nearest = f"least(90D, greatest(0D, {row} * {step}, -(({row} + 1) * {step})))"
+    return f"floor(({lon}) / ({step} / greatest(1e-6D, cos(radians({nearest})))))"
 
 
-def col_of(lon: Column, row: Column, size_m: float | Column) -> Column:
-    return F.floor(lon / _lon_width(row, size_m))
+def key(lat: str, lon: str, size_m: float | str) -> Column:
+    """The cell of a point as struct(r, c). Arguments are SQL expressions."""
+    row = _row(lat, size_m)
+    return F.expr(f"named_struct('r', {row}, 'c', {_col(lon, row, size_m)})")
 
 
-def key(lat: Column, lon: Column, size_m: float | Column) -> Column:
-    """The cell of a point as struct(row, col)."""
-    row = row_of(lat, size_m)
-    return F.struct(row.alias("r"), col_of(lon, row, size_m).alias("c"))
-
-
-def cover_box(
-    lat1: Column, lat2: Column, lon1: Column, lon2: Column, reach_m: float, size_m: float | Column
-) -> Column:
+def cover_box(lat1: str, lat2: str, lon1: str, lon2: str, reach_m: float, size_m: float | str) -> Column:
     """All cells within ``reach_m`` of the box lat1..lat2 x lon1..lon2, as an array of structs."""
     pad = reach_m * SLACK / METRES_PER_DEGREE
-    south, north = lat1 - F.lit(pad), lat2 + F.lit(pad)
-    widest = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north)))
-    pad_lon = F.lit(pad) / F.greatest(F.lit(1e-6), F.cos(F.radians(widest)))
-    west, east = lon1 - pad_lon, lon2 + pad_lon
-    half = F.lit(180.0)
+    south, north = f"(({lat1}) - {pad!r}D)", f"(({lat2}) + {pad!r}D)"
+    pad_lon = f"({pad!r}D / greatest(1e-6D, cos(radians(least(90D, greatest(abs({south}), abs({north})))))))"
+    west, east = f"(({lon1}) - {pad_lon})", f"(({lon2}) + {pad_lon})"
     # a range that crosses the date line is also entered from the other side
-    ranges = F.filter(
-        F.array(
-            F.struct(F.greatest(west, -half).alias("a"), F.least(east, half).alias("b")),
-            F.struct((-half).alias("a"), F.least(east - 360.0, half).alias("b")),
-            F.struct(F.greatest(west + 360.0, -half).alias("a"), half.alias("b")),
-        ),
-        lambda x: x["a"] <= x["b"],
+    ranges = f"""filter(array(
+        named_struct('a', greatest({west}, -180D), 'b', least({east}, 180D)),
+        named_struct('a', -180D, 'b', least({east} - 360D, 180D)),
+        named_struct('a', greatest({west} + 360D, -180D), 'b', 180D)), x -> x.a <= x.b)"""
+    cols = f"sequence({_col('x.a', 'r', size_m)}, {_col('x.b', 'r', size_m)})"
+    return F.expr(
+        f"""array_distinct(flatten(transform(sequence({_row(south, size_m)}, {_row(north, size_m)}),
+        r -> flatten(transform({ranges}, x -> transform({cols}, c -> named_struct('r', r, 'c', c)))))))"""
     )
 
-    def strip(row: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                ranges,
-                lambda x: F.transform(
-                    F.sequence(col_of(x["a"], row, size_m), col_of(x["b"], row, size_m)),
-                    lambda c: F.struct(row.alias("r"), c.alias("c")),
-                ),
-            )
-        )
-
-    rows = F.sequence(row_of(south, size_m), row_of(north, size_m))
-    return F.array_distinct(F.flatten(F.transform(rows, strip)))
-
 
-def cover(lat: Column, lon: Column, reach_m: float, size_m: float) -> Column:
+def cover(lat: str, lon: str, reach_m: float, size_m: float | str) -> Column:
     return cover_box(lat, lat, lon, lon, reach_m, size_m)
 
 
@@ -89,13 +68,10 @@ def summarise(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
     extent = df.groupBy(*keys).agg(
         F.min("lat").alias("lat1"), F.max("lat").alias("lat2"), F.min("lon").alias("lon1"), F.max("lon").alias("lon2"), *more
     )
-    c1, c2 = F.cos(F.radians("lat1")), F.cos(F.radians("lat2"))
-    top = F.when((F.col("lat1") < 0) & (F.col("lat2") > 0), F.lit(1.0)).otherwise(F.greatest(c1, c2))
-    return extent.withColumns(
-        {
-            "y1": F.radians("lat1"), "y2": F.radians("lat2"), "x1": F.radians("lon1"), "x2": F.radians("lon2"),
-            "c_low": F.least(c1, c2), "c_high": top,
-        }
+    return extent.selectExpr(
+        "*", "radians(lat1) AS y1", "radians(lat2) AS y2", "radians(lon1) AS x1", "radians(lon2) AS x2",
+        "least(cos(radians(lat1)), cos(radians(lat2))) AS c_low",
+        "CASE WHEN lat1 < 0 AND lat2 > 0 THEN 1D ELSE greatest(cos(radians(lat1)), cos(radians(lat2))) END AS c_high",
     )
 
 
@@ -105,23 +81,12 @@ def verdict(radius_m: float) -> Column:
     Compares squared half chords, which grow with the distance. A hair around the radius is
     left undecided, so that only the exact formula decides there.
     """
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
-
-    def half(x: Column) -> Column:
-        return F.sin(x / 2.0) * F.sin(x / 2.0)
-
-    turn = F.when(col("q", "x1") - col("p", "x1") > math.pi, F.lit(2 * math.pi)).when(
-        col("p", "x1") - col("q", "x1") > math.pi, F.lit(-2 * math.pi)
-    ).otherwise(F.lit(0.0))
-    qx1, qx2 = col("q", "x1") - turn, col("q", "x2") - turn
-    y_near = F.greatest(F.lit(0.0), col("q", "y1") - col("p", "y2"), col("p", "y1") - col("q", "y2"))
-    y_far = F.greatest(col("q", "y2") - col("p", "y1"), col("p", "y2") - col("q", "y1"))
-    x_near = F.greatest(F.lit(0.0), qx1 - col("p", "x2"), col("p", "x1") - qx2)
-    x_far = F.greatest(qx2 - col("p", "x1"), col("p", "x2") - qx1)
-    low = half(y_near) + col("p", "c_low") * col("q", "c_low") * half(x_near)
-    high = half(y_far) + col("p", "c_high") * col("q", "c_high") * half(x_far)
+    half = "(sin(({0}) / 2) * sin(({0}) / 2))".format
+    turn = f"(CASE WHEN q.x1 - p.x1 > {math.pi!r}D THEN {2 * math.pi!r}D WHEN p.x1 - q.x1 > {math.pi!r}D THEN {-2 * math.pi!r}D ELSE 0D END)"
+    qx1, qx2 = f"(q.x1 - {turn})", f"(q.x2 - {turn})"
+    low = f"{half('greatest(0D, q.y1 - p.y2, p.y1 - q.y2)')} + p.c_low * q.c_low * {half(f'greatest(0D, {qx1} - p.x2, p.x1 - {qx2})')}"
+    high = f"{half('greatest(q.y2 - p.y1, p.y2 - q.y1)')} + p.c_high * q.c_high * {half(f'greatest({qx2} - p.x1, p.x2 - {qx1})')}"
     edge = math.sin(radius_m / (2.0 * EARTH_RADIUS_M)) ** 2
-    return (
-        F.when(high <= edge * (1.0 - HAIR), F.lit(1)).when(low > edge * (1.0 + HAIR), F.lit(-1)).otherwise(F.lit(0))
+    return F.expr(
+        f"CASE WHEN {high} <= {edge * (1.0 - HAIR)!r}D THEN 1 WHEN {low} > {edge * (1.0 + HAIR)!r}D THEN -1 ELSE 0 END"
     )

@@ -60,13 +60,13 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     """
     size = radius_m * 0.7
     part = [*keys, "_cell", "_sub"]
-    tagged = points.withColumn("_cell", cells.key(F.col("lat"), F.col("lon"), size)).withColumn(
-        "_sub", cells.key(F.col("lat"), F.col("lon"), size / 8.0)
+    tagged = points.withColumn("_cell", cells.key("lat", "lon", size)).withColumn(
+        "_sub", cells.key("lat", "lon", size / 8.0)
     )
     subs = cut(cells.summarise(tagged, part, F.min(id_col).alias("node")))
     nodes = subs.groupBy(*keys, "_cell").agg(F.min("node").alias("node"))
     onward = F.filter(
-        cells.cover_box(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), radius_m, size),
+        cells.cover_box("lat1", "lat2", "lon1", "lon2", radius_m, size),
         lambda c: c > F.col("_cell"),
     )
     reach = subs.withColumn("_to", F.explode(onward))
@@ -113,11 +113,11 @@ def linked_flags(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     compared with the neighbouring cells only, so no crowded cell meets another.
     """
     size = radius_m * 0.7
-    tagged = points.withColumn("_cell", cells.key(F.col("lat"), F.col("lon"), size))
+    tagged = points.withColumn("_cell", cells.key("lat", "lon", size))
     count = tagged.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     tagged = tagged.join(count, [*keys, "_cell"])
     alone = tagged.filter("_n = 1").withColumn(
-        "_to", F.explode(F.filter(cells.cover(F.col("lat"), F.col("lon"), radius_m, size), lambda c: c != F.col("_cell")))
+        "_to", F.explode(F.filter(cells.cover("lat", "lon", radius_m, size), lambda c: c != F.col("_cell")))
     )
     sites = tagged.select(*keys, F.col("_cell").alias("_to"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).distinct()
     partner = (
@@ -145,7 +145,7 @@ def clusters(points: DataFrame, radius_m: float, keys: Sequence[str], id_col: st
         .select(*keys, "_cell", "component")
     )
     return (
-        points.withColumn("_cell", cells.key(F.col("lat"), F.col("lon"), size))
+        points.withColumn("_cell", cells.key("lat", "lon", size))
         .join(labelled, [*keys, "_cell"])
         .drop("_cell")
     )

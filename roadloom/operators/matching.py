@@ -28,8 +28,8 @@ def _members(df: DataFrame, sites: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _crowding(left: DataFrame, right: DataFrame, radius_m: float, keys: Sequence[str]) -> tuple[int, int]:
     """(pairs a radius join would compare, places) from counts per cell."""
     size = radius_m * 2.0
-    a = left.withColumn("_c", cells.key(F.col("lat"), F.col("lon"), size)).groupBy(*keys, "_c").agg(F.count("*").alias("a"))
-    b = right.withColumn("_c", cells.key(F.col("lat"), F.col("lon"), size)).groupBy(*keys, "_c").agg(F.count("*").alias("b"))
+    a = left.withColumn("_c", cells.key("lat", "lon", size)).groupBy(*keys, "_c").agg(F.count("*").alias("a"))
+    b = right.withColumn("_c", cells.key("lat", "lon", size)).groupBy(*keys, "_c").agg(F.count("*").alias("b"))
     row = (
         a.join(b, [*keys, "_c"], "full")
         .agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs"), F.sum(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"))
@@ -64,40 +64,59 @@ def greedy_match(left: DataFrame, right: DataFrame, radius_m: float, keys: Seque
             return sites.withColumn("used", F.lit(0).cast("bigint"))
         return sites.join(used, "site", "left").withColumn("used", F.coalesce("used", F.lit(0))).filter("used < n")
 
-    def tally(new: DataFrame, side: str, used: DataFrame | None) -> DataFrame:
-        counts = new.groupBy(F.col(f"{side}_site").alias("site")).agg(F.count("*").alias("used"))
-        both = counts if used is None else counts.unionByName(used)
-        return cut(both.groupBy("site").agg(F.sum("used").alias("used")))
+    def tally(new: list[DataFrame], side: str) -> DataFrame:
+        rows = _union([m.select(F.col(f"{side}_site").alias("site")) for m in new])
+        return rows.groupBy("site").agg(F.count("*").alias("used"))
 
     for reach in ladder:
-        pairs = cut(site_pairs(free(l_sites, l_used), free(r_sites, r_used), reach, keys).select("l_site", "r_site", "d"))
+        l_free, r_free = free(l_sites, l_used), free(r_sites, r_used)
+        pairs = site_pairs(l_free, r_free, reach, keys).select("l_site", "r_site", "d")
+        for side, state in (("l", l_free), ("r", r_free)):
+            pairs = pairs.join(
+                state.select(F.col("site").alias(f"{side}_site"), F.col("used").alias(f"{side}_used"), (F.col("n") - F.col("used")).alias(f"{side}_left")),
+                f"{side}_site",
+            )
+        pairs = cut(pairs)
         while not pairs.isEmpty():
-            new = cut(_round(pairs, free(l_sites, l_used), free(r_sites, r_used), l_ids, r_ids))
-            matched.append(new.select("l_id", "r_id", "d"))
-            l_used, r_used = tally(new, "l", l_used), tally(new, "r", r_used)
-            l_gone = l_used.join(l_sites, "site").filter("used >= n").select(F.col("site").alias("l_site"))
-            r_gone = r_used.join(r_sites, "site").filter("used >= n").select(F.col("site").alias("r_site"))
-            pairs = cut(pairs.join(l_gone, "l_site", "left_anti").join(r_gone, "r_site", "left_anti"))
+            new = cut(_round(pairs, l_ids, r_ids))
+            matched.append(new)
+            for side in ("l", "r"):
+                taken = tally([new], side).select(F.col("site").alias(f"{side}_site"), F.col("used").alias("k"))
+                pairs = (
+                    pairs.join(taken, f"{side}_site", "left")
+                    .withColumn("k", F.coalesce("k", F.lit(0)))
+                    .withColumn(f"{side}_used", F.col(f"{side}_used") + F.col("k"))
+                    .withColumn(f"{side}_left", F.col(f"{side}_left") - F.col("k"))
+                    .drop("k")
+                )
+            pairs = cut(pairs.filter("l_left > 0 and r_left > 0"))
+        if matched and reach < radius_m:
+            l_used, r_used = cut(tally(matched, "l")), cut(tally(matched, "r"))
     if not matched:
         return left.sparkSession.createDataFrame([], "l_id bigint, r_id bigint, d double")
-    out = matched[0]
-    for m in matched[1:]:
-        out = out.unionByName(m)
+    return _union(matched).select("l_id", "r_id", "d")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def _round(pairs: DataFrame, l_free: DataFrame, r_free: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
-    """Matches of one round: (l_site, r_site, l_id, r_id, d)."""
-    l_best = pairs.groupBy("l_site").agg(F.min("d").alias("l_d"))
-    r_best = pairs.groupBy("r_site").agg(F.min("d").alias("r_d"))
-    near = cut(
-        pairs.join(l_best, "l_site").join(r_best, "r_site").filter("d = l_d or d = r_d")
-    )
-    l_ties = near.filter("d = l_d").groupBy("l_site").agg(F.count("*").alias("l_ties"))
-    r_ties = near.filter("d = r_d").groupBy("r_site").agg(F.count("*").alias("r_ties"))
-    tight = near.filter("d = l_d and d = r_d").join(l_ties, "l_site").join(r_ties, "r_site").select(
-        "l_site", "r_site", "d", "l_ties", "r_ties"
-    )
+def _round(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
+    """Matches of one round: (l_site, r_site, l_id, r_id, d).
+
+    pairs: l_site, r_site, d and per side the ids used and left of the place.
+    """
+    # nearest distance of a place and how many partners it has there, in one aggregation each
+    def nearest(side: str) -> DataFrame:
+        return pairs.groupBy(f"{side}_site", "d").agg(F.count("*").alias("ties")).groupBy(f"{side}_site").agg(
+            F.min(F.struct("d", "ties")).alias("b")
+        ).select(f"{side}_site", F.col("b.d").alias(f"{side}_d"), F.col("b.ties").alias(f"{side}_ties"))
+
+    near = pairs.join(nearest("l"), "l_site").join(nearest("r"), "r_site")
+    tight = near.filter("d = l_d and d = r_d")
     l_star = tight.filter("r_ties = 1").groupBy("l_site").agg(F.count("*").alias("l_leaves"))
     r_star = tight.filter("l_ties = 1").groupBy("r_site").agg(F.count("*").alias("r_leaves"))
     kind = (
@@ -105,11 +124,8 @@ def _round(pairs: DataFrame, l_free: DataFrame, r_free: DataFrame, l_ids: DataFr
         .when((F.col("l_ties") == 1) & (F.col("r_leaves") == F.col("r_ties")), F.lit("r"))
         .otherwise(F.lit("x"))
     )
-    l_state = l_free.select(F.col("site").alias("l_site"), F.col("used").alias("l_used"), (F.col("n") - F.col("used")).alias("l_left"))
-    r_state = r_free.select(F.col("site").alias("r_site"), F.col("used").alias("r_used"), (F.col("n") - F.col("used")).alias("r_left"))
     tight = cut(
         tight.join(l_star, "l_site", "left").join(r_star, "r_site", "left").withColumn("kind", kind)
-        .join(l_state, "l_site").join(r_state, "r_site")
         .select("l_site", "r_site", "d", "kind", "l_used", "l_left", "r_used", "r_left")
     )
 
@@ -125,17 +141,14 @@ def _round(pairs: DataFrame, l_free: DataFrame, r_free: DataFrame, l_ids: DataFr
         hubs = hub_ids.select(F.col("site").alias(f"{hub}_site"), F.col("id").alias(f"{hub}_id"), "pos")
         return ranked.join(hubs, [f"{hub}_site", "pos"]).select("l_site", "r_site", "l_id", "r_id", "d")
 
-    def upcoming(state: DataFrame, ids: DataFrame, side: str) -> DataFrame:
-        """Smallest free id of every place."""
-        nxt = state.select(F.col("site"), (F.col("used") + 1).alias("pos"))
-        return nxt.join(ids, ["site", "pos"]).select(F.col("site").alias(f"{side}_site"), F.col("id").alias(f"{side}_id"))
-
     bulk_matched = bulk("l", "r", l_ids, r_ids).unionByName(bulk("r", "l", r_ids, l_ids))
     if tight.filter("kind = 'x'").isEmpty():
         return bulk_matched
-    named = near.select("l_site", "r_site", "d", "l_d", "r_d").join(upcoming(l_free, l_ids, "l"), "l_site").join(
-        upcoming(r_free, r_ids, "r"), "r_site"
-    )
+    # places in a knot of equal distances: the pair that comes first for both ends, by next free id
+    named = near.filter("d = l_d or d = r_d")
+    for side, ids in (("l", l_ids), ("r", r_ids)):
+        nxt = ids.select(F.col("site").alias(f"{side}_site"), F.col("id").alias(f"{side}_id"), (F.col("pos") - 1).alias(f"{side}_used"))
+        named = named.join(nxt, [f"{side}_site", f"{side}_used"])
     l_first = named.filter("d = l_d").groupBy("l_site").agg(F.min("r_id").alias("l_pick"))
     r_first = named.filter("d = r_d").groupBy("r_site").agg(F.min("l_id").alias("r_pick"))
     singles = (

@@ -111,10 +111,8 @@ def confusion_counts(df: DataFrame, i: Column, j: Column, keys: Sequence[str] =
 
 def full_confusion(counts: DataFrame, k: int = 3) -> DataFrame:
     """k x k cells with zeros where a pair of labels never occurs."""
-    steps = F.sequence(F.lit(0), F.lit(k - 1))
-    grid = counts.sparkSession.range(1).select(F.explode(steps).cast("bigint").alias("i")).withColumn(
-        "j", F.explode(steps).cast("bigint")
-    )
+    steps = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
+    grid = counts.sparkSession.range(1).select(F.explode(steps).alias("i")).withColumn("j", F.explode(steps))
     return grid.join(counts, ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -168,6 +166,10 @@ def _grid(spec: tuple[float, float, int]) -> list[float]:
     return [stop if q == n - 1 else q * step + start for q in range(n)]
 
 
+def _doubles(values: list) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
 def seeded_split(crops: DataFrame, id_col: str, seed: int, ratio: float = 0.7) -> DataFrame:
     """Adds ``is_train``: the first max(1, round(ratio n)) rows of a seeded order, all but one at most."""
     ranked = seeded_rank(crops, F.col(id_col).cast("string"), seed, "_rk", [id_col])
@@ -192,7 +194,7 @@ def tune_thresholds(
         | {round(v, 4) for v in lows + meds}
         | {cfg.low_max_ratio, cfg.medium_max_ratio}
     )
-    cuts = F.array(*[F.lit(v) for v in at])
+    cuts = F.expr(_doubles(at))
     binned = (
         seeded_split(crops, id_col, seed, ratio)
         .withColumn("bin", F.size(F.filter(cuts, lambda v: v <= F.col("area_ratio"))))
@@ -201,27 +203,24 @@ def tune_thresholds(
     )
     binned = cut(binned)
     position = {v: n + 1 for n, v in enumerate(at)}
-    points = [
-        (float(lo), float(me), position[lo], position[me], position[round(lo, 4)], position[round(me, 4)])
-        for lo in lows
-        for me in meds
-        if lo < me
-    ]
-    grid = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("g"), F.lit(a).alias("low"), F.lit(b).alias("med"), F.lit(c).alias("lb"), F.lit(d).alias("mb"))
-                for n, (a, b, c, d, _, _) in enumerate(points)
-            ]
-        )
-    )
+
+    def pick(values: list, n: Column) -> Column:
+        return F.element_at(F.expr(_doubles(values)), n + 1)
+
+    a, b = F.col("a"), F.col("b")
+    steps = binned.filter("is_train").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(len(lows) - 1))))
+    steps = steps.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(meds) - 1))))
+    grid = steps.select(
+        "bin", "j", "n",
+        (a * len(meds) + b).alias("g"),
+        pick(lows, a).alias("low"), pick(meds, b).alias("med"),
+        pick([position[v] for v in lows], a).alias("lb"), pick([position[v] for v in meds], b).alias("mb"),
+    ).filter("low < med")
 
     def predicted(low_bin, med_bin) -> Column:
         return F.when(F.col("bin") < low_bin, F.lit(0)).when(F.col("bin") < med_bin, F.lit(1)).otherwise(F.lit(2))
 
-    tried = binned.filter("is_train").select("*", grid.alias("q")).select(
-        "q.g", "q.low", "q.med", predicted(F.col("q.lb"), F.col("q.mb")).alias("i"), "j", "n"
-    )
+    tried = grid.select("g", "low", "med", predicted(F.col("lb"), F.col("mb")).alias("i"), "j", "n")
     scores = kappa(tried.groupBy("g", "low", "med", "i", "j").agg(F.sum("n").alias("n")), ["g", "low", "med"])
     best = scores.select(
         F.struct(F.round(F.coalesce("kappa", F.lit(0.0)), 12).alias("kappa"), (-F.col("g")).alias("order"), "low", "med").alias("s")

@@ -23,19 +23,19 @@ def flag_within(
     ring between needs the coordinates, each distinct one once.
     """
     small, coarse = radius_m / 8.0, radius_m * 2.0
-    pts = points.withColumn("_m", cells.key(F.col("lat"), F.col("lon"), small))
+    pts = points.withColumn("_m", cells.key("lat", "lon", small))
     tgt = (
         targets.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .select(*keys, "lat", "lon")
-        .withColumn("_m", cells.key(F.col("lat"), F.col("lon"), small))
+        .withColumn("_m", cells.key("lat", "lon", small))
     )
     part = [*keys, "_m"]
     p_box, t_box = cells.summarise(pts, part), cells.summarise(tgt, part)
     reach = radius_m + 2.0 * small
     p_cells = p_box.withColumn(
-        "_c", F.explode(cells.cover_box(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), reach, coarse))
+        "_c", F.explode(cells.cover_box("lat1", "lat2", "lon1", "lon2", reach, coarse))
     )
-    t_cells = t_box.withColumn("_c", cells.key(F.col("lat1"), F.col("lon1"), coarse))
+    t_cells = t_box.withColumn("_c", cells.key("lat1", "lon1", coarse))
     cond = F.col("p._c") == F.col("q._c")
     for k in keys:
         cond = cond & (F.col(f"p.{k}") == F.col(f"q.{k}"))
@@ -81,10 +81,10 @@ def nearest_label(
     size = 2.0 * radius_m
     sites = vertices.groupBy("lat", "lon").agg(F.min(F.struct(*order, label)).alias("v"))
     v = sites.select(
-        F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), "v", cells.key(F.col("lat"), F.col("lon"), size).alias("_c")
+        F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), "v", cells.key("lat", "lon", size).alias("_c")
     )
     probes = points.select(*ids, "lat", "lon").withColumn(
-        "_c", F.explode(cells.cover(F.col("lat"), F.col("lon"), radius_m, size))
+        "_c", F.explode(cells.cover("lat", "lon", radius_m, size))
     )
     dist = haversine_m("lat", "lon", "v_lat", "v_lon")
     best = (
@@ -114,14 +114,14 @@ def site_pairs(left: DataFrame, right: DataFrame, radius_m: float, keys: Sequenc
         F.col("site").alias("l_site"),
         F.col("lat").alias("l_lat"),
         F.col("lon").alias("l_lon"),
-        F.explode(cells.cover(F.col("lat"), F.col("lon"), radius_m, size)).alias("_c"),
+        F.explode(cells.cover("lat", "lon", radius_m, size)).alias("_c"),
     )
     rc = right.select(
         *keys,
         F.col("site").alias("r_site"),
         F.col("lat").alias("r_lat"),
         F.col("lon").alias("r_lon"),
-        cells.key(F.col("lat"), F.col("lon"), size).alias("_c"),
+        cells.key("lat", "lon", size).alias("_c"),
     )
     return (
         lc.join(rc, [*keys, "_c"])
@@ -161,18 +161,17 @@ def snap_to_trace(points: DataFrame, chain: DataFrame, ids: Sequence[str], ring_
         level = F.lit(7)
         for n in range(6, -1, -1):
             level = F.when(F.col("step_m") <= sizes[n], F.lit(n)).otherwise(level)
-        size = F.lit(ring_m * 4.0) * F.pow(F.lit(8.0), F.col("_lvl"))
+        size = f"{ring_m * 4.0!r}D * pow(8D, _lvl)"
         if last:
             keyed, probes = edges.withColumn("_c", F.lit(0)), pending.withColumn("_c", F.lit(0))
             keyed, probes = keyed.withColumn("_lvl", F.lit(0)), probes.withColumn("_lvl", F.lit(0))
         else:
             span = cells.cover_box(
-                F.least("p_lat", "n_lat"), F.greatest("p_lat", "n_lat"),
-                F.least("p_lon", "n_lon"), F.greatest("p_lon", "n_lon"), ring_m, size,
+                "least(p_lat, n_lat)", "greatest(p_lat, n_lat)", "least(p_lon, n_lon)", "greatest(p_lon, n_lon)", ring_m, size,
             )
             keyed = edges.withColumn("_lvl", level).withColumn("_c", F.explode(span))
             probes = pending.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in range(8)]))).withColumn(
-                "_c", cells.key(F.col("lat"), F.col("lon"), size)
+                "_c", cells.key("lat", "lon", size)
             )
         near = (
             probes.join(keyed, ["survey_id", "_lvl", "_c"])

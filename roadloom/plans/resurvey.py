@@ -8,6 +8,7 @@ from roadloom.config import STATUSES
 from roadloom.functions import text
 from roadloom.operators import dataset, matching, metrics, spatial, verification
 from roadloom.operators.temporal import route_length_km
+from roadloom.plans import roads  # noqa: F401  (its oracle definitions)
 from roadloom.plans.fixtures import view
 from roadloom.plans.registry import cte, hav, query, shared
 from roadloom.plans.telemetry import CFG, chain, deg, defects, met

@@ -101,7 +101,7 @@ def a08(spark, sf):
 
 @query("g01_haversine", f"SELECT survey_id, seq, round({hav('lat', 'lon', '13e0', '80e0')},4) AS dist_m FROM v_gps")
 def g01(spark, sf):
-    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(13.0), F.lit(80.0))
+    d = geo.haversine_m("lat", "lon", "13D", "80D")
     return view(spark, sf, "v_gps").select("survey_id", "seq", met(d, "dist_m"))
 
 
