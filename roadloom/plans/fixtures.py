@@ -57,7 +57,7 @@ SELECT c_custkey AS seq, 13e0+(((c_custkey div 3)*7919)%10000)*1e-4+CASE WHEN (c
 FROM {customer}""",
     "v_label_box": """
 SELECT d.doc_id, d.source||'_'||lpad(CAST(d.doc_id AS VARCHAR(20)),6,'0')||'.jpg' AS image,
-       CASE d.doc_id%10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS leaky_split,
+       CASE (d.doc_id div 7)%10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS leaky_split,
        CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY l.l_linenumber, l.l_suppkey, l.l_partkey, l.l_quantity, l.l_tax) AS BIGINT)-1 AS box_idx,
        CAST(l.l_linenumber-1 AS VARCHAR(20)) AS raw_id,
        (l.l_suppkey%100)/1e2 AS cx, (l.l_partkey%100)/1e2 AS cy, l.l_quantity/2e2 AS w, l.l_tax*2e0 AS h

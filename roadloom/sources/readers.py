@@ -72,20 +72,25 @@ def gps_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return points, parsed.agg(F.count_if(~F.col("_ok")).alias("malformed"))
 
 
-def _json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _json_or_empty(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return spark.createDataFrame([], schema)
 
 
-def osm_cache(spark: SparkSession, path: str, default_class: str = "residential") -> tuple[DataFrame, DataFrame]:
-    """(road vertices, amenities) of a road cache; a missing or corrupt file gives no rows."""
-    raw = _json_or_empty(spark, path, schemas.OSM_CACHE)
+def osm_cache(
+    spark: SparkSession, path: str, default_class: str = "residential", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(road vertices, amenities) of a road cache; a missing or corrupt file gives no rows.
+
+    ``multi_line=False`` reads one cache document per line, which splits large files.
+    """
+    raw = _json_or_empty(spark, path, schemas.OSM_CACHE, multi_line)
     ways = raw.select(F.posexplode("highways").alias("way_pos", "w"))
     vertices = ways.select(
         F.col("way_pos").cast("bigint").alias("way_pos"),
