@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roadloom.operators import priority, segments, selection, spatial
 from roadloom.plans.fixtures import view
 from roadloom.plans.registry import cte, hav, query, shared
-from roadloom.plans.telemetry import CFG, chain, deg, defects, met, union_ctes
+from roadloom.plans.telemetry import CFG, chain, deg, defects, met, ratio, union_ctes
 from roadloom.session import cut
 from roadloom.sources.store import count_children
 
@@ -69,10 +69,10 @@ def j03(spark, sf):
     return s.select(*ID, met("chain_m"), met("snap_m"))
 
 
-@query("w04_segments", "SELECT survey_id, segment_id, start_m, round(end_m,4) AS end_m, round(damage_index,6) AS damage_index, condition FROM o_cond")
+@query("w04_segments", "SELECT survey_id, segment_id, start_m, round(end_m,4) AS end_m, round(damage_index,10) AS damage_index, condition FROM o_cond")
 def w04(spark, sf):
     s = segments.build_segments(view(spark, sf, "v_gps"), defects(spark, sf), 1920, 1080, CFG)
-    return s.select("survey_id", "segment_id", "start_m", met("end_m"), deg("damage_index"), "condition")
+    return s.select("survey_id", "segment_id", "start_m", met("end_m"), ratio("damage_index"), "condition")
 
 
 @query("j04_road_class", "SELECT survey_id, defect_id, highway FROM o_road")
@@ -162,7 +162,7 @@ def q01(spark, sf):
 
 
 @query("q02_survey_contents", """SELECT survey_id, 'defect' AS kind, defect_id AS item_id, severity AS label, round(lat,6) AS a, round(lon,6) AS b FROM o_def
-UNION ALL SELECT survey_id, 'segment', segment_id, condition, start_m, round(damage_index,6) FROM o_cond""")
+UNION ALL SELECT survey_id, 'segment', segment_id, condition, start_m, round(damage_index,10) FROM o_cond""")
 def q02(spark, sf):
     d = defects(spark, sf).select(
         "survey_id", F.lit("defect").alias("kind"), F.col("defect_id").alias("item_id"), F.col("severity").alias("label"),
@@ -170,7 +170,7 @@ def q02(spark, sf):
     )
     s = segment_table(spark, sf).select(
         "survey_id", F.lit("segment").alias("kind"), F.col("segment_id").alias("item_id"), F.col("condition").alias("label"),
-        F.col("start_m").alias("a"), deg("damage_index", "b"),
+        F.col("start_m").alias("a"), ratio("damage_index", "b"),
     )
     return d.unionByName(s)
 

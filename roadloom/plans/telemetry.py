@@ -25,6 +25,11 @@ def met(c, alias=None):
     return F.round(c, 4).alias(alias or c)
 
 
+def ratio(c, alias=None):
+    """Ten decimals: a share of the frame's pixels is never half a unit there."""
+    return F.round(c, 10).alias(alias or c)
+
+
 # shared intermediates ----------------------------------------------------------------
 
 
@@ -169,9 +174,9 @@ def f03(spark, sf):
     )
 
 
-@query("f07_near_zone_ratio", """SELECT survey_id, track_id, frame_idx, x1, y1, round(greatest(0e0, least(frame_w, x2)-greatest(0e0,x1))*greatest(0e0, least(frame_h,y2)-greatest(frame_h*5e-1,y1))/(frame_w*(frame_h-frame_h*5e-1)),6) AS area_ratio FROM v_det""")
+@query("f07_near_zone_ratio", """SELECT survey_id, track_id, frame_idx, x1, y1, round(greatest(0e0, least(frame_w, x2)-greatest(0e0,x1))*greatest(0e0, least(frame_h,y2)-greatest(frame_h*5e-1,y1))/(frame_w*(frame_h-frame_h*5e-1)),10) AS area_ratio FROM v_det""")
 def f07(spark, sf):
-    return tracks.with_severity(view(spark, sf, "v_det")).select(*KEYS, "frame_idx", "x1", "y1", deg("area_ratio"))
+    return tracks.with_severity(view(spark, sf, "v_det")).select(*KEYS, "frame_idx", "x1", "y1", ratio("area_ratio"))
 
 
 @query("f08_severity", """SELECT survey_id, severity, count(*) AS n FROM (SELECT survey_id, CASE WHEN r<2e-2 THEN 'Low' WHEN r<8e-2 THEN 'Medium' ELSE 'High' END AS severity FROM (
@@ -257,11 +262,11 @@ def a18(spark, sf):
 # boxes -------------------------------------------------------------------------------
 
 
-@query("a04_summed_area", "SELECT survey_id, frame_idx, round(sum(greatest(0e0,x2-x1)*greatest(0e0,y2-y1)),4) AS sum_px, round(least(1e0, sum(greatest(0e0,x2-x1)*greatest(0e0,y2-y1))/(1920e0*1080e0)),6) AS capped_index FROM v_det GROUP BY ALL")
+@query("a04_summed_area", "SELECT survey_id, frame_idx, round(sum(greatest(0e0,x2-x1)*greatest(0e0,y2-y1)),4) AS sum_px, round(least(1e0, sum(greatest(0e0,x2-x1)*greatest(0e0,y2-y1))/(1920e0*1080e0)),10) AS capped_index FROM v_det GROUP BY ALL")
 def a04(spark, sf):
     s = areas.summed_area(view(spark, sf, "v_det"), ["survey_id", "frame_idx"])
     return s.select(
-        "survey_id", "frame_idx", met("sum_px"), F.round(F.least(F.lit(1.0), F.col("sum_px") / (1920.0 * 1080.0)), 6).alias("capped_index")
+        "survey_id", "frame_idx", met("sum_px"), F.round(F.least(F.lit(1.0), F.col("sum_px") / (1920.0 * 1080.0)), 10).alias("capped_index")
     )
 
 
@@ -288,10 +293,10 @@ def a03(spark, sf):
     return areas.union_area(view(spark, sf, "v_det"), ["survey_id", "frame_idx"])
 
 
-@query("f21_damage_index", "SELECT survey_id, frame_idx, coalesce(union_px,0) AS union_px, round(coalesce(union_px,0)/(1920e0*540e0),6) AS damage_index FROM (SELECT DISTINCT survey_id, frame_idx FROM v_det) LEFT JOIN o_fr_union USING (survey_id, frame_idx)")
+@query("f21_damage_index", "SELECT survey_id, frame_idx, coalesce(union_px,0) AS union_px, round(coalesce(union_px,0)/(1920e0*540e0),10) AS damage_index FROM (SELECT DISTINCT survey_id, frame_idx FROM v_det) LEFT JOIN o_fr_union USING (survey_id, frame_idx)")
 def f21(spark, sf):
     d = areas.damage_index(view(spark, sf, "v_det"), ["survey_id", "frame_idx"], near_zone_top=0.5)
-    return d.select("survey_id", "frame_idx", "union_px", deg("damage_index"))
+    return d.select("survey_id", "frame_idx", "union_px", ratio("damage_index"))
 
 
 @query("f09_condition", "SELECT survey_id, frame_idx, CASE WHEN i<5e-2 THEN 'Good' WHEN i<15e-2 THEN 'Fair' ELSE 'Poor' END AS condition FROM (SELECT survey_id, frame_idx, coalesce(union_px,0)/(1920e0*1080e0) AS i FROM (SELECT DISTINCT survey_id, frame_idx FROM v_det) LEFT JOIN o_fr_union USING (survey_id, frame_idx))")
