@@ -219,7 +219,7 @@ def label_lines(text: Column) -> Column:
 
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     """(file, box_idx, raw_id, cx, cy, w, h) of label text files; one file is one short text."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file"),
         F.posexplode(label_lines(F.col("value"))).alias("box_idx", "f"),
