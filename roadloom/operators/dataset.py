@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.config import EXCLUDED_CLASSES, ORIENTATION, THREE_CLASS
 from roadloom.functions import boxes
 from roadloom.operators.ranking import seeded_key, seeded_rank
+from roadloom.session import cut
 
 IMG_W, IMG_H = 640, 640
 
@@ -141,12 +142,37 @@ def _within_edits(images: DataFrame, edits: int) -> DataFrame:
     )
 
 
+def _shared_piece(images: DataFrame, edits: int) -> DataFrame:
+    """Candidate pairs at most ``edits`` apart, by pieces: a name cut into edits + 1 pieces keeps
+    one of them whole in every such partner, moved by at most ``edits`` places.
+
+    Each name is entered under its pieces, and looked up under every piece of its own text
+    that a name of a possible length could have. Names too short for that many pieces meet
+    all names of a possible length.
+    """
+    k = edits
+    start = f"(i * n) div {k + 1}"
+    size = f"((i + 1) * n) div {k + 1} - {start}"
+    pieces = f"""transform(sequence(0, {k}), i -> named_struct('n', n, 'i', i, 't', substring(image, {start} + 1, {size})))"""
+    entered = images.withColumn("n", F.length("image")).select("grp", "image", "split", F.explode(F.expr(pieces)).alias("e"))
+    looks = f"""flatten(flatten(transform(sequence(greatest(1, length(image) - {k}), length(image) + {k}), n ->
+        transform(sequence(0, {k}), i -> transform(
+            sequence(greatest(0, {start} - {k}), greatest(0, least(length(image) - ({size}), {start} + {k}))),
+            p -> named_struct('n', n, 'i', i, 't', substring(image, p + 1, {size})))))))"""
+    looked = images.select("grp", "image", "split", F.explode(F.array_distinct(F.expr(looks))).alias("e"))
+    a, b = entered.alias("a"), looked.alias("b")
+    cond = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.split") != F.col("b.split"))
+    return a.join(b, cond).select(
+        F.col("a.grp").alias("grp"), F.least("a.image", "b.image").alias("a"), F.greatest("a.image", "b.image").alias("b")
+    )
+
+
 def nearest_cross_split(images: DataFrame) -> DataFrame:
     """The pair of images of one group, in different splits, with the closest names.
 
     One row (a, b, edit_distance) or none; ties go to the pair first in name order. Tries
-    one edit first, then two and three over shared shortened texts; only names that are all
-    further apart are compared directly.
+    one edit first, then two and three over shared shortened texts, then ever more over
+    shared pieces. The search ends at the first bound that some pair meets.
     """
     def best(pairs: DataFrame) -> DataFrame:
         return (
@@ -156,16 +182,19 @@ def nearest_cross_split(images: DataFrame) -> DataFrame:
             .select("p.a", "p.b", "p.edit_distance")
         )
 
-    for edits in (1, 2, 3):
-        found = best(_one_edit(images) if edits == 1 else _within_edits(images, edits))
+    mixed = images.groupBy("grp").agg(F.count_distinct("split").alias("k")).filter("k > 1")
+    images = cut(images.select("grp", "image", "split").join(mixed.select("grp"), "grp", "left_semi"))
+    longest = images.agg(F.max(F.length("image"))).first()[0] or 0
+    edits, empty = 1, images.select(F.col("image").alias("a"), F.col("image").alias("b"), F.lit(0).cast("bigint").alias("edit_distance")).limit(0)
+    while longest:
+        found = best(_one_edit(images) if edits == 1 else _within_edits(images, edits) if edits <= 3 else _shared_piece(images, edits))
         row = found.first()
         if row is not None and row["edit_distance"] <= edits:
             return images.sparkSession.createDataFrame([row], found.schema)
-    a, b = images.alias("a"), images.alias("b")
-    cond = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.image") < F.col("b.image"))
-    return best(
-        a.join(b, cond & (F.col("a.split") != F.col("b.split"))).select(F.col("a.image").alias("a"), F.col("b.image").alias("b"))
-    )
+        if edits >= longest:
+            break
+        edits = edits + 1 if edits < 3 else edits * 2
+    return empty
 
 
 # labels ------------------------------------------------------------------------------

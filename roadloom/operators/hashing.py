@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.text import stem
 from roadloom.operators.components import connected_components
+from roadloom.session import cut
 
 BANDS = 4
 BITS = 16
@@ -16,14 +17,23 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("bigint")
 
 
-def _band_keys(hash_col: str, flips: int) -> Column:
-    """(band, value) keys of a hash; with ``flips`` = 1 also every value one bit away."""
+def _bands(values: DataFrame) -> list[list[int]]:
+    """Bit positions of each band. Bits are dealt out from the most to the least balanced one,
+    so that bits which hardly vary (flat images) do not gather in one band."""
+    row = values.selectExpr("count(*) AS n", *[f"sum(shiftrightunsigned(hash, {p}) & 1) AS b{p}" for p in range(64)]).first()
+    n = row["n"] or 1
+    order = sorted(range(64), key=lambda p: (abs((row[f"b{p}"] or 0) / n - 0.5), p))
+    return [order[band::BANDS] for band in range(BANDS)]
+
+
+def _band_keys(bands: list[list[int]], flips: bool) -> Column:
+    """(band, value) keys of a hash; with ``flips`` also every value one bit away."""
     keys = []
-    for band in range(BANDS):
-        value = F.shiftrightunsigned(F.col(hash_col), band * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
-        near = [value] + ([value.bitwiseXOR(F.lit(1 << n)) for n in range(BITS)] if flips else [])
-        keys += [F.struct(F.lit(band).alias("band"), v.cast("bigint").alias("value")) for v in near]
-    return F.array(*keys)
+    for band, bits in enumerate(bands):
+        value = " | ".join(f"shiftleft(shiftrightunsigned(hash, {p}) & 1, {n})" for n, p in enumerate(bits))
+        near = [0] + ([1 << n for n in range(BITS)] if flips else [])
+        keys.append(f"transform(array({', '.join(f'{m}L' for m in near)}), m -> named_struct('band', {band}, 'value', ({value}) ^ m))")
+    return F.expr(f"concat({', '.join(keys)})")
 
 
 def similar_pairs(hashes: DataFrame, threshold: int = 10) -> DataFrame:
@@ -37,8 +47,8 @@ def similar_pairs(hashes: DataFrame, threshold: int = 10) -> DataFrame:
     """
     if threshold // BANDS > 2:
         raise ValueError("thresholds above 11 bits need wider bands")
-    values = hashes.select(F.col("hash")).filter(F.col("hash").isNotNull()).distinct()
-    keyed = values.select("hash", F.explode(_band_keys("hash", 1 if threshold >= BANDS else 0)).alias("k"))
+    values = cut(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
+    keyed = values.select("hash", F.explode(_band_keys(_bands(values), threshold >= BANDS)).alias("k"))
     a, b = keyed.alias("a"), keyed.alias("b")
     return (
         a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.hash") < F.col("b.hash")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.config import DEFAULTS, Settings
 from roadloom.functions.geo import haversine_m
 from roadloom.operators.ranking import BLOCK, blocked_previous, blocked_running_sum
+from roadloom.session import cut
 
 LEVELS = 6
 FANOUT = 64
@@ -69,7 +70,8 @@ def _lookup(gps: DataFrame, cfg: Settings, width: float) -> DataFrame:
     are clipped to the buckets that hold usable intervals, found through a ladder of
     coarser buckets, and carry no position.
     """
-    iv = _intervals(gps).withColumn("gap", F.col("t2") - F.col("t1"))
+    # read three times below, and a trace is far smaller than its detections
+    iv = cut(_intervals(gps).withColumn("gap", F.col("t2") - F.col("t1")))
     cols = ["survey_id", "bucket", "seq", "lo", "hi", "t1", "gap", "lat1", "lon1", "lat2", "lon2"]
     usable = (
         iv.filter(F.col("gap") <= cfg.max_time_gap_s)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from roadloom import schemas
 from roadloom.functions.text import epoch_seconds, extension
+from roadloom.operators.ranking import blocked_rank
 from roadloom.session import cut
 
 
@@ -132,10 +133,11 @@ def defects_csv(spark: SparkSession, path: str) -> DataFrame:
     have = raw.columns
     given = _text("defect_id", have).try_cast("bigint")
     if "defect_id" not in have:
-        # line order within the file; such lists are one small hand-made file
-        from pyspark.sql import Window
-
-        given = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint")
+        # file order: the upper bits of the row number are the partition, which serves as block
+        raw = blocked_rank(
+            raw.withColumn("_at", F.monotonically_increasing_id()), [], "_at", "_line", block=F.shiftright("_at", 33)
+        )
+        given = F.col("_line")
     return raw.select(
         given.alias("defect_id"),
         F.coalesce(_text("class", have), _text("class_name", have), F.lit("")).alias("class_name"),
