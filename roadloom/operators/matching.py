@@ -13,6 +13,7 @@ from roadloom.operators.spatial import site_pairs
 from roadloom.session import cut
 
 CROWDED = 64
+FINEST_M = 0.01
 
 
 def _sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,8 +55,12 @@ def greedy_match(left: DataFrame, right: DataFrame, radius_m: float, keys: Seque
     keys = list(keys)
     l_sites, r_sites = cut(_sites(left, keys)), cut(_sites(right, keys))
     l_ids, r_ids = cut(_members(left, l_sites, keys)), cut(_members(right, r_sites, keys))
-    pairs_seen, places = _crowding(l_sites, r_sites, radius_m, keys)
-    ladder = [radius_m / 16.0, radius_m / 4.0, radius_m] if pairs_seen > CROWDED * places else [radius_m]
+    ladder = [radius_m]
+    while ladder[0] > FINEST_M:
+        compared, places = _crowding(l_sites, r_sites, ladder[0], keys)
+        if compared <= CROWDED * places:
+            break
+        ladder.insert(0, ladder[0] / 4.0)
     l_used = r_used = None
     matched: list[DataFrame] = []
 

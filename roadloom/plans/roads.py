@@ -9,7 +9,7 @@ from roadloom.plans.fixtures import view
 from roadloom.plans.registry import cte, hav, query, shared
 from roadloom.plans.telemetry import CFG, chain, deg, defects, met, ratio, union_ctes
 from roadloom.session import cut
-from roadloom.sources.store import count_children
+from roadloom.sources.store import count_children, lookup_defects
 
 ID = ["survey_id", "defect_id"]
 BUDGETS = (0.0, 20_000.0, 1_000_000.0)
@@ -209,9 +209,14 @@ def f19(spark, sf):
     return defects(spark, sf).select(*ID, colour.alias("colour"), popup.alias("popup"))
 
 
-@query("f20_point_lookup", "SELECT survey_id, defect_id, class_name, severity FROM o_def WHERE survey_id=7 AND defect_id=3")
+@query("f20_point_lookup", """SELECT r.survey_id, r.defect_id, d.class_name, d.severity, d.class_name IS NOT NULL AS found FROM
+(SELECT survey_id, n_defects AS defect_id FROM o_counted UNION ALL SELECT survey_id, n_defects+1 FROM o_counted) r LEFT JOIN o_def d USING (survey_id, defect_id)""")
 def f20(spark, sf):
-    return defects(spark, sf).filter("survey_id = 7 and defect_id = 3").select(*ID, "class_name", "severity")
+    """Looks up, for every survey, its last defect id and one past it."""
+    last = count_children(surveys(spark, sf), defects(spark, sf), segment_table(spark, sf)).select(
+        "survey_id", F.explode(F.array("n_defects", F.col("n_defects") + 1)).alias("defect_id")
+    )
+    return lookup_defects(defects(spark, sf), last).select("survey_id", "defect_id", "class_name", "severity", "found")
 
 
 def repair_queue(spark, sf):

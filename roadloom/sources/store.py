@@ -118,6 +118,12 @@ class SurveyStore:
         return count_children(self.read("surveys"), self.read("defects"), self.read("segments"))
 
 
+def lookup_defects(defects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (survey_id, defect_id) with the stored rows; ``found`` is false for unknown ids."""
+    rows = defects.withColumn("_at", F.lit(True))
+    return wanted.join(rows, ["survey_id", "defect_id"], "left").withColumn("found", F.coalesce("_at", F.lit(False))).drop("_at")
+
+
 def count_children(surveys: DataFrame, defects: DataFrame, segments: DataFrame) -> DataFrame:
     """Surveys with their numbers of defects and segments, zero included."""
     d = defects.groupBy("survey_id").agg(F.count("*").alias("n_defects"))
