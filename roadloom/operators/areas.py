@@ -10,14 +10,50 @@ from pyspark.sql import functions as F
 from roadloom.functions.boxes import canvas_box
 
 
+CROWDED = 256
+LEVELS = 15
+
+
+def _tops_by_strip(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes over the strips they span: one comparison per box and strip of a key."""
+    return (
+        clipped.join(strips, keys)
+        .filter("sx >= bx1 and sx < bx2")
+        .groupBy(*keys, "sx", "sw", "by1")
+        .agg(F.max("by2").alias("by2"))
+    )
+
+
+def _tops_by_halves(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> DataFrame:
+    """The same through binary intervals: a box takes at most two per level, a strip looks up
+    the one that holds its left edge on every level. For keys with very many boxes."""
+    low, high = "((bx1 + shiftleft(1L, k) - 1) div shiftleft(1L, k))", "(bx2 div shiftleft(1L, k))"
+    pieces = f"""filter(flatten(transform(sequence(0, {LEVELS - 1}), k -> array(
+        CASE WHEN {low} < {high} AND {low} % 2 = 1 THEN named_struct('k', k, 'at', {low}) END,
+        CASE WHEN {low} < {high} AND {high} % 2 = 1 THEN named_struct('k', k, 'at', {high} - 1) END))), x -> x IS NOT NULL)"""
+    nodes = (
+        clipped.select(*keys, "by1", "by2", F.explode(F.expr(pieces)).alias("node"))
+        .groupBy(*keys, "node", "by1")
+        .agg(F.max("by2").alias("by2"))
+    )
+    looks = f"transform(sequence(0, {LEVELS - 1}), k -> named_struct('k', k, 'at', sx div shiftleft(1L, k)))"
+    return (
+        strips.select("*", F.explode(F.expr(looks)).alias("node"))
+        .join(nodes, [*keys, "node"])
+        .groupBy(*keys, "sx", "sw", "by1")
+        .agg(F.max("by2").alias("by2"))
+    )
+
+
 def union_area(df: DataFrame, keys: Sequence[str], out: str = "union_px") -> DataFrame:
     """Pixels covered by at least one box, per key.
 
-    Boxes are truncated to pixels and clipped to the frame, so a key holds at most one row
-    per (strip, top edge) whatever its number of boxes: the boxes of a key are cut at all
-    vertical edges, each strip keeps the lowest bottom per top edge, and the running
-    bottom turns the strip into disjoint runs.
+    Boxes are truncated to pixels and clipped to the frame (up to 16 384 wide), so a key
+    holds at most one row per (strip, top edge) whatever its number of boxes: the boxes of
+    a key are cut at all vertical edges, each strip keeps the lowest bottom per top edge,
+    and the running bottom turns the strip into disjoint runs.
     """
+    keys = list(keys)
     px = canvas_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2", "frame_w", "frame_h")])
     clipped = (
         df.select(*keys, *[e.alias(n) for n, e in px.items()])
@@ -29,11 +65,11 @@ def union_area(df: DataFrame, keys: Sequence[str], out: str = "union_px") -> Dat
     strips = cuts.withColumn("sw", F.lead("sx").over(Window.partitionBy(*keys).orderBy("sx")) - F.col("sx")).filter(
         F.col("sw").isNotNull()
     )
-    tops = (
-        clipped.join(strips, list(keys))
-        .filter((F.col("sx") >= F.col("bx1")) & (F.col("sx") < F.col("bx2")))
-        .groupBy(*keys, "sx", "sw", "by1")
-        .agg(F.max("by2").alias("by2"))
+    crowded = clipped.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED).select(*keys)
+    tops = _tops_by_strip(clipped.join(crowded, keys, "left_anti"), strips, keys).unionByName(
+        _tops_by_halves(
+            clipped.join(crowded, keys, "left_semi"), strips.join(crowded, keys, "left_semi"), keys
+        )
     )
     w = Window.partitionBy(*keys, "sx").orderBy("by1").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("by2") - F.greatest("by1", F.coalesce(F.max("by2").over(w), F.lit(0))))

@@ -122,7 +122,9 @@ def test_closest_approach_prefers_area_on_equal_bottom(spark):
     assert [(r.track_id, r.frame_idx) for r in got] == [(5, 2)]
 
 
-def test_union_area_equals_raster(spark):
+@pytest.mark.parametrize("crowded", [256, 0])
+def test_union_area_equals_raster(spark, monkeypatch, crowded):
+    monkeypatch.setattr(areas, "CROWDED", crowded)
     rng = random.Random(3)
     rows, want, plain = [], {}, {}
     sets = {0: [(0, 0, 40, 40)] * 2, 1: [(-5, -5, 10, 10), (5, 5, 15, 15)], 2: [(500, 500, 600, 600), (10, 10, 10, 20)]}
