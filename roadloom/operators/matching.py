@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.operators import cells
-from roadloom.operators.ranking import blocked_rank
+from roadloom.operators.ranking import BLOCK, blocked_rank
 from roadloom.operators.spatial import site_pairs
 from roadloom.session import cut
 
@@ -122,8 +122,10 @@ def _round(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
 
     near = pairs.join(nearest("l"), "l_site").join(nearest("r"), "r_site")
     tight = near.filter("d = l_d and d = r_d")
-    l_star = tight.filter("r_ties = 1").groupBy("l_site").agg(F.count("*").alias("l_leaves"))
-    r_star = tight.filter("l_ties = 1").groupBy("r_site").agg(F.count("*").alias("r_leaves"))
+    # per hub also how many ids its leaves can offer it
+    pool_size = F.sum(F.least("l_left", "r_left"))
+    l_star = tight.filter("r_ties = 1").groupBy("l_site").agg(F.count("*").alias("l_leaves"), pool_size.alias("l_pool"))
+    r_star = tight.filter("l_ties = 1").groupBy("r_site").agg(F.count("*").alias("r_leaves"), pool_size.alias("r_pool"))
     kind = (
         F.when((F.col("r_ties") == 1) & (F.col("l_leaves") == F.col("l_ties")), F.lit("l"))
         .when((F.col("l_ties") == 1) & (F.col("r_leaves") == F.col("r_ties")), F.lit("r"))
@@ -131,8 +133,13 @@ def _round(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
     )
     tight = cut(
         tight.join(l_star, "l_site", "left").join(r_star, "r_site", "left").withColumn("kind", kind)
-        .select("l_site", "r_site", "d", "kind", "l_used", "l_left", "r_used", "r_left")
+        .select("l_site", "r_site", "d", "kind", "l_used", "l_left", "r_used", "r_left", "l_pool", "r_pool")
     )
+    facts = tight.agg(
+        F.count_if(F.col("kind") == "x").alias("knots"),
+        F.max(F.when(F.col("kind") == "l", F.col("l_pool")).when(F.col("kind") == "r", F.col("r_pool"))).alias("pool"),
+    ).first()
+    small = (facts["pool"] or 0) <= BLOCK
 
     def bulk(hub: str, leaf: str, hub_ids: DataFrame, leaf_ids: DataFrame) -> DataFrame:
         stars = tight.filter(F.col("kind") == hub)
@@ -141,13 +148,19 @@ def _round(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
             .filter(F.col("pos").between(F.col(f"{leaf}_used") + 1, F.col(f"{leaf}_used") + F.col(f"{hub}_left")))
             .drop("pos")
         )
-        ranked = blocked_rank(pool, [f"{hub}_site"], f"{leaf}_id", "j").filter(F.col("j") <= F.col(f"{hub}_left"))
+        # a pool that fits a block is sorted at once, larger ones in blocks
+        if small:
+            order = Window.partitionBy(f"{hub}_site").orderBy(f"{leaf}_id")
+            ranked = pool.withColumn("j", F.row_number().over(order))
+        else:
+            ranked = blocked_rank(pool, [f"{hub}_site"], f"{leaf}_id", "j")
+        ranked = ranked.filter(F.col("j") <= F.col(f"{hub}_left"))
         ranked = ranked.withColumn("pos", F.col(f"{hub}_used") + F.col("j"))
         hubs = hub_ids.select(F.col("site").alias(f"{hub}_site"), F.col("id").alias(f"{hub}_id"), "pos")
         return ranked.join(hubs, [f"{hub}_site", "pos"]).select("l_site", "r_site", "l_id", "r_id", "d")
 
     bulk_matched = bulk("l", "r", l_ids, r_ids).unionByName(bulk("r", "l", r_ids, l_ids))
-    if tight.filter("kind = 'x'").isEmpty():
+    if not facts["knots"]:
         return bulk_matched
     # places in a knot of equal distances: the pair that comes first for both ends, by next free id
     named = near.filter("d = l_d or d = r_d")

@@ -276,7 +276,9 @@ def test_greedy_match_in_steps_gives_the_same(spark, monkeypatch):
     assert {(r.l_id, r.r_id) for r in got} == greedy(old, new, 10.0)
 
 
-def test_copies_at_one_place_match_by_id(spark):
+@pytest.mark.parametrize("block", [65_536, 10])
+def test_copies_at_one_place_match_by_id(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
     at = metres(0, 0)
     schema = "defect_id bigint, class_name string, lat double, lon double"
     old = spark.createDataFrame([(n, "a", *at) for n in range(200)], schema)
