@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontamination, line_dedup, url_filter
+from roadloom.llm import decontamination, line_dedup, packing, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,13 @@ FROM k
 @query("op7_line_dedup", OP7_SQL)
 def op7(spark, sf_dir):
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
