@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontamination, line_dedup, packing, tokens, url_filter
+from roadloom.llm import decontamination, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,8 @@ def op9(spark, sf_dir):
 @query("op4_packing")
 def op4(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_simhash")
+def op10(spark, sf_dir):
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
