@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, line_dedup, packing, simhash_dedup, tokens, url_filter
+from roadloom.llm import decontamination, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,15 @@ def op4(spark, sf_dir):
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def fold(doc_id: str = "doc_id"):
+    """The fold a document is in: 1 is held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, learn=fold() != 1)
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
