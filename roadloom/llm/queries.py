@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
+from roadloom.llm import decontamination, html_extraction, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, learn=fold() != 1)
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op1_html_extraction")
+def op1(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
