@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, html_extraction, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
+from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,8 @@ def op2(spark, sf_dir):
 @query("op1_html_extraction")
 def op1(spark, sf_dir):
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_embedding_dedup")
+def op6(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
