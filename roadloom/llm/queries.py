@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, simhash_dedup, tokens, url_filter
+from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,8 @@ def op1(spark, sf_dir):
 @query("op6_embedding_dedup")
 def op6(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return passage_dedup.near_duplicate_passages(table(spark, sf_dir, "documents"))
