@@ -266,7 +266,21 @@ def identify(docs: DataFrame, learn) -> DataFrame:
     are ``und`` with score 0 and rejected; so is all text if nothing can be learned. Ties go to the first
     language by name. Repeated rows are treated alike; other columns are not read.
     """
-    tidy = docs.select("doc_id", "text", "lang", F.coalesce(learn, F.lit(False)).alias("_learn"))
+    return _identified(docs, learn).drop("_tx")
+
+
+def keep_identified(docs: DataFrame, learn) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is recognised (not ``rejected``)."""
+    gone = _identified(docs, learn).filter("rejected").select(
+        F.col("doc_id").alias("__doc"), F.col("_tx").alias("__tx")
+    ).distinct()
+    gone = landed(gone, "rejected")
+    same = docs["doc_id"].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__tx"])
+    return docs.join(gone, same, "left_anti")
+
+
+def _identified(docs: DataFrame, learn) -> DataFrame:
+    tidy = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("_tx"), F.coalesce(learn, F.lit(False)).alias("_learn"))
     models = fit(tidy.filter("_learn and lang is not null and text is not null"))
     scored = landed(cross_entropies(tidy, models).drop("text"), "entropies")
     langs = F.array(*[F.lit(x) for x in models.langs]) if models.langs else F.array().cast("array<string>")
@@ -298,8 +312,8 @@ def identify(docs: DataFrame, learn) -> DataFrame:
     known = scored.withColumn("_best", best).withColumn("_at", at).withColumn("_limit", lits(limit)).withColumn("_noise", lits(noise))
     weight = F.expr("aggregate(entropy, 0D, (s, e) -> s + exp(-(e - _best) * least(sqrt(letters), 100D) / element_at(_noise, _at)))")
     return known.select(
-        "doc_id",
+        "doc_id", "_tx",
         F.coalesce(F.element_at(langs, F.col("_at")), F.lit("und")).alias("lang_pred"),
         F.coalesce(1 / F.when(F.col("_at").isNotNull(), weight), F.lit(0.0)).alias("score"),
         F.coalesce(F.col("_best") > F.element_at("_limit", F.col("_at")) + 4 * slack, F.lit(True)).alias("rejected"),
-    ) if models.langs else scored.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    ) if models.langs else scored.select("doc_id", "_tx", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))

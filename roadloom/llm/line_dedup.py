@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,19 @@ def boilerplate_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5) -
     return counts.join(totals, "host").filter(F.col("_n") > ratio * F.col("_pages")).select("host", "_a", "_b")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = 5, keep: Sequence[str] = ()
+) -> DataFrame:
     """Removes the boilerplate lines of every document; no document goes.
 
     Returns doc_id, text (what is left, other lines unchanged and in order), n_lines and
     n_dropped, plus the column ``host`` names. A null host is one site of its own; a null text stays null with
     no lines; an empty text is one empty line and stays. Repeated rows are treated alike.
-    Columns other than doc_id, text and the host are not read. A site has at most (mean lines
+    Columns other than doc_id, text, the host and those in ``keep`` are not read. A site has at most (mean lines
     per page) / ratio such lines, which bounds the list joined to its pages.
     """
-    tidy = docs.select("doc_id", "text", F.col(host).alias("_site"))
+    kept_as = {c: f"_keep_{i}" for i, c in enumerate(keep)}
+    tidy = docs.select("doc_id", "text", F.col(host).alias("_site"), *[F.col(c).alias(a) for c, a in kept_as.items()])
     # null and every string stay apart
     tidy = tidy.withColumn("host", F.coalesce(F.concat(F.lit("="), "_site"), F.lit("-")))
     drop = landed(
@@ -58,5 +63,6 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1,
             F.col("_site").alias(host),
             F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines") - F.size("_kept")), F.lit(0)).cast("long").alias("n_dropped"),
+            *[F.col(a).alias(c) for c, a in kept_as.items()],
         )
     )
