@@ -313,7 +313,7 @@ def _identified(docs: DataFrame, learn) -> DataFrame:
     weight = F.expr("aggregate(entropy, 0D, (s, e) -> s + exp(-(e - _best) * least(sqrt(letters), 100D) / element_at(_noise, _at)))")
     return known.select(
         "doc_id", "_tx",
-        F.coalesce(F.element_at(langs, F.col("_at")), F.lit("und")).alias("lang_pred"),
+        F.when(F.col("_at").isNotNull(), F.element_at(langs, F.col("_at"))).otherwise("und").alias("lang_pred"),
         F.coalesce(1 / F.when(F.col("_at").isNotNull(), weight), F.lit(0.0)).alias("score"),
-        F.coalesce(F.col("_best") > F.element_at("_limit", F.col("_at")) + 4 * slack, F.lit(True)).alias("rejected"),
+        F.when(F.col("_at").isNotNull(), F.col("_best") > F.element_at("_limit", F.col("_at")) + 4 * slack).otherwise(True).alias("rejected"),
     ) if models.langs else scored.select("doc_id", "_tx", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from roadloom.llm.common import landed
 from roadloom.operators.components import connected_components
@@ -16,7 +17,7 @@ from roadloom.operators.components import connected_components
 STRIDES = (13, 13, 13, 13, 12)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """Fingerprint of whole texts as a signed long: A-Z lower-cased, words by ASCII white space,
     3-word shingles with repeats, XXH64 with seed 42; a bit is set if over half of them set it."""
