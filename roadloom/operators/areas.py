@@ -11,7 +11,6 @@ from roadloom.functions.boxes import canvas_box
 
 
 CROWDED = 256
-LEVELS = 15
 
 
 def _tops_by_strip(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +27,7 @@ def _tops_by_halves(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> D
     """The same through binary intervals: a box takes at most two per level, a strip looks up
     the one that holds its left edge on every level. For keys with very many boxes."""
     low, high = "((bx1 + shiftleft(1L, k) - 1) div shiftleft(1L, k))", "(bx2 div shiftleft(1L, k))"
-    pieces = f"""filter(flatten(transform(sequence(0, {LEVELS - 1}), k -> array(
+    pieces = f"""filter(flatten(transform(sequence(0, length(bin(bx2))), k -> array(
         CASE WHEN {low} < {high} AND {low} % 2 = 1 THEN named_struct('k', k, 'at', {low}) END,
         CASE WHEN {low} < {high} AND {high} % 2 = 1 THEN named_struct('k', k, 'at', {high} - 1) END))), x -> x IS NOT NULL)"""
     nodes = (
@@ -36,7 +35,7 @@ def _tops_by_halves(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> D
         .groupBy(*keys, "node", "by1")
         .agg(F.max("by2").alias("by2"))
     )
-    looks = f"transform(sequence(0, {LEVELS - 1}), k -> named_struct('k', k, 'at', sx div shiftleft(1L, k)))"
+    looks = "transform(sequence(0, length(bin(top))), k -> named_struct('k', k, 'at', sx div shiftleft(1L, k)))"
     return (
         strips.select("*", F.explode(F.expr(looks)).alias("node"))
         .join(nodes, [*keys, "node"])
@@ -48,7 +47,7 @@ def _tops_by_halves(clipped: DataFrame, strips: DataFrame, keys: list[str]) -> D
 def union_area(df: DataFrame, keys: Sequence[str], out: str = "union_px") -> DataFrame:
     """Pixels covered by at least one box, per key.
 
-    Boxes are truncated to pixels and clipped to the frame (up to 16 384 wide), so a key
+    Boxes are truncated to pixels and clipped to the frame, so a key
     holds at most one row per (strip, top edge) whatever its number of boxes: the boxes of
     a key are cut at all vertical edges, each strip keeps the lowest bottom per top edge,
     and the running bottom turns the strip into disjoint runs.
@@ -62,6 +61,8 @@ def union_area(df: DataFrame, keys: Sequence[str], out: str = "union_px") -> Dat
         .agg(F.max("by2").alias("by2"))
     )
     cuts = clipped.select(*keys, F.explode(F.array("bx1", "bx2")).alias("sx")).distinct()
+    # ``top``: the right-most edge of the key bounds the levels a box of it can reach
+    cuts = cuts.withColumn("top", F.max("sx").over(Window.partitionBy(*keys)))
     strips = cuts.withColumn("sw", F.lead("sx").over(Window.partitionBy(*keys).orderBy("sx")) - F.col("sx")).filter(
         F.col("sw").isNotNull()
     )

@@ -242,14 +242,15 @@ def boxes_per_class(images: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(images.select("image", "split"), "image").groupBy("split", "raw_id").agg(F.count("*").alias("n"))
 
 
-def listed_names(status: DataFrame, state: str, limit: int = 50) -> DataFrame:
-    """First names of a state per split as a report lists them, with the size of the rest."""
+def listed_names(status: DataFrame, state: str, limit: int | None = None) -> DataFrame:
+    """Names of a state per split as a report lists them; with ``limit`` the first ones and the size of the rest."""
     rows = status.filter(F.col("state") == state)
     totals = rows.groupBy("split").agg(F.count("*").alias("total"))
     w = Window.partitionBy("split").orderBy("image")
-    top = rows.withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= limit)
+    top = rows.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    top = top if limit is None else top.filter(F.col("pos") <= limit)
     return top.join(totals, "split").select(
-        "split", "pos", "image", F.greatest(F.lit(0), F.col("total") - limit).alias("n_more")
+        "split", "pos", "image", (F.greatest(F.lit(0), F.col("total") - limit) if limit is not None else F.lit(0).cast("bigint")).alias("n_more")
     )
 
 

@@ -26,13 +26,13 @@ def _bands(values: DataFrame) -> list[list[int]]:
     return [order[band::BANDS] for band in range(BANDS)]
 
 
-def _band_keys(bands: list[list[int]], flips: bool) -> Column:
-    """(band, value) keys of a hash; with ``flips`` also every value one bit away."""
+def _band_keys(bands: list[list[int]], flips: int) -> Column:
+    """(band, value) keys of a hash; and every value up to ``flips`` bits away."""
     keys = []
     for band, bits in enumerate(bands):
         value = " | ".join(f"shiftleft(shiftrightunsigned(hash, {p}) & 1, {n})" for n, p in enumerate(bits))
-        near = [0] + ([1 << n for n in range(BITS)] if flips else [])
-        keys.append(f"transform(array({', '.join(f'{m}L' for m in near)}), m -> named_struct('band', {band}, 'value', ({value}) ^ m))")
+        near = f"filter(sequence(0L, {(1 << BITS) - 1}L), m -> bit_count(m) <= {flips})" if flips else "array(0L)"
+        keys.append(f"transform({near}, m -> named_struct('band', {band}, 'value', ({value}) ^ m))")
     return F.expr(f"concat({', '.join(keys)})")
 
 
@@ -40,15 +40,13 @@ def similar_pairs(hashes: DataFrame, threshold: int = 10) -> DataFrame:
     """Distinct hash values (a, b), a < b, at most ``threshold`` bits apart.
 
     Copies of a hash are one value. Of four 16-bit bands of two hashes within the
-    threshold, one differs in at most threshold // 4 bits: exact keys serve up to 3, one
-    flipped bit on each side serves up to 11 (two bits meet half way). Each candidate is
+    threshold, one differs in at most threshold // 4 bits, and two values that flip half as
+    many bits each meet half way: exact keys serve up to 3, one flipped bit up to 11, two up to 19. Each candidate is
     checked on all bits. Selectivity is that of 16 bits, so a corpus of unrelated hashes
     still compares a share of all pairs; a smaller threshold is much cheaper.
     """
-    if threshold // BANDS > 2:
-        raise ValueError("thresholds above 11 bits need wider bands")
     values = cut(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
-    keyed = values.select("hash", F.explode(_band_keys(_bands(values), threshold >= BANDS)).alias("k"))
+    keyed = values.select("hash", F.explode(_band_keys(_bands(values), -(-(threshold // BANDS) // 2))).alias("k"))
     a, b = keyed.alias("a"), keyed.alias("b")
     return (
         a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.hash") < F.col("b.hash")))

@@ -41,7 +41,7 @@ def _scale_keys(threshold: float) -> tuple[Column, Column]:
     mean width. Boxes are keyed by their width class and by the position
     of their centre on that class's own grid.
     """
-    t = max(threshold, 1e-3)
+    t = threshold
     base = 1.0 / t
     w, cx = F.col("x2") - F.col("x1"), (F.col("x1") + F.col("x2")) / 2.0
     k = F.floor(F.log(w) / F.lit(math.log(base)))
@@ -71,7 +71,13 @@ def overlapping(
 
     Columns come out as l_<name> and r_<name>. Boxes without area overlap nothing.
     """
-    own, around = _scale_keys(threshold)
+    if threshold >= 1.0:  # only equal boxes reach 1
+        own = F.struct(*[F.col(c).cast("double") for c in BOX])
+        around = F.array(own)
+    elif threshold < 1e-3:  # sizes may differ without bound
+        own, around = F.lit(0), F.array(F.lit(0))
+    else:
+        own, around = _scale_keys(threshold)
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     a = left.filter(solid).withColumn("_b", F.explode(around)).alias("a")
     b = right.filter(solid).withColumn("_b", own).alias("b")
@@ -92,7 +98,10 @@ def suppress(detections: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
     Equal scores go to the lower ``pos``. Identical boxes fall to their best one at once.
     Then rounds: a box with no better live neighbour stays, its neighbours go.
+    No overlap exceeds 1, so at that threshold every box stays.
     """
+    if cfg.iou_threshold >= 1.0:
+        return detections
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     first = F.struct((-F.col("score")).alias("s"), F.col("pos"))
     distinct = detections.filter(solid).groupBy("image_id", *BOX).agg(F.min(first).alias("f"))

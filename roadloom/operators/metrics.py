@@ -101,7 +101,7 @@ def kappa(counts: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
         *keys,
         "n",
         F.when(flat_i | flat_j, F.lit(None)).otherwise(1.0 - F.col("_o") / expected).alias("kappa"),
-        F.when(same, F.lit("single category")).when(flat_i | flat_j, F.lit("constant rater")).alias("note"),
+        F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("no ratings")).when(same, F.lit("single category")).when(flat_i | flat_j, F.lit("constant rater")).alias("note"),
     )
 
 

@@ -24,6 +24,7 @@ def select_within_budget(
     counted in whole hundredths; costs are not negative.
     """
     cents = F.round(F.coalesce("estimated_cost", F.lit(0.0)) * 100.0).cast("bigint")
+    cents = F.when(cents < 0, F.raise_error(F.lit("costs must not be negative"))).otherwise(cents)
     items = ranked.select("survey_id", F.col(rank_col).alias("rk"), cents.alias("c")).withColumn(
         "blk", F.floor(F.col("rk") / F.lit(block_rows))
     )

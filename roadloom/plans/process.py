@@ -58,7 +58,7 @@ def load_surveys(store: SurveyStore, surveys: DataFrame, run_inputs: dict, cfg:
         store.add_defects(run.defects)
         store.add_segments(run.segments)
     except Exception as err:
-        store.set_survey_status(surveys.select("survey_id", F.lit(f"failed: {err}"[:200]).alias("status")))
+        store.set_survey_status(surveys.select("survey_id", F.lit(f"failed: {err}").alias("status")))
         raise
     store.set_survey_status(surveys.select("survey_id", F.lit("completed").alias("status")))
     return run

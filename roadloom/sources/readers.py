@@ -203,8 +203,8 @@ def timings_csv(spark: SparkSession, path: str) -> DataFrame:
     have = raw.columns
 
     def first(*names: str) -> Column:
-        given = [F.nullif(F.trim(F.col(n)), F.lit("")).try_cast("double") for n in names if n in have]
-        return F.coalesce(*given) if given else F.lit(None).cast("double")
+        given = next((n for n in names if n in have), None)  # an alias counts only where the column is absent
+        return F.nullif(F.trim(F.col(given)), F.lit("")).try_cast("double") if given else F.lit(None).cast("double")
 
     return raw.select(
         first("route_distance_km").alias("route_distance_km"),

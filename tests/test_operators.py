@@ -2,13 +2,14 @@
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from roadloom.config import DEFAULTS
 from roadloom.functions import boxes, text
-from roadloom.operators import areas, components, imaging, matching, ranking, selection, spatial, temporal, tracks
+from roadloom.operators import areas, components, hashing, imaging, matching, ranking, selection, spatial, temporal, tracks
 
 R = 6_371_000.0
 
@@ -143,6 +144,42 @@ def test_union_area_equals_raster(spark, monkeypatch, crowded):
     assert want[0] == 1600 and {r.k: r.sum_px for r in areas.summed_area(df, ["k"]).collect()} == pytest.approx(plain)
 
 
+@pytest.mark.parametrize("width", [32768, 40000, 100000])
+def test_union_area_in_wide_frames(spark, width):
+    sizes = {1: 200, 2: 400}  # on both sides of the crowded case
+    rows = [(k, 0.0, 0.0, float(width), 100.0, width, 480) for k in sizes]
+    rows += [(k, 7.0 * i, 50.0, 7.0 * i + 5, 120.0, width, 480) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, x1 double, y1 double, x2 double, y2 double, frame_w int, frame_h int")
+    got = {r.k: r.union_px for r in areas.union_area(df, ["k"]).collect()}
+    assert got == {k: 100 * width + n * 5 * 20 for k, n in sizes.items()}
+
+
+def test_hash_pairs_at_any_threshold(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(63) for _ in range(40)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(63), 14)) for v in values[:20]]
+    df = spark.createDataFrame([(v,) for v in values], "hash bigint")
+    for threshold in (0, 10, 14, 20):
+        got = {(r.a, r.b) for r in hashing.similar_pairs(df, threshold).collect()}
+        assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= threshold}
+
+
+def test_suppression_at_the_ends_of_the_scale(spark):
+    df = spark.createDataFrame(
+        [(1, 0, 0.9, 0.0, 0.0, 9.0, 9.0), (1, 1, 0.8, 0.0, 0.0, 9.0, 9.0), (1, 2, 0.7, 0.0, 0.0, 9000.0, 9000.0)],
+        "image_id int, pos int, score double, x1 double, y1 double, x2 double, y2 double",
+    )
+    kept = lambda t: sorted(r.pos for r in imaging.suppress(df, replace(DEFAULTS, iou_threshold=t)).collect())
+    assert kept(1.0) == [0, 1, 2] and kept(0.0) == [0]
+
+
+def test_negative_costs_are_refused(spark):
+    ranked = spark.createDataFrame([(1, 1, 5.0), (1, 2, -2.0)], "survey_id bigint, queue_rank bigint, estimated_cost double")
+    budgets = spark.createDataFrame([(1, 1, 3.0)], "survey_id bigint, budget_id int, budget double")
+    with pytest.raises(Exception, match="negative"):
+        selection.select_within_budget(ranked, budgets)[0].collect()
+
+
 def test_label_boundaries(spark):
     df = spark.createDataFrame([(0.0199,), (0.02,), (0.0799,), (0.08,), (0.05,), (0.15,)], "v double")
     got = [(r.s, r.c) for r in df.select(boxes.severity(F.col("v")).alias("s"), boxes.condition(F.col("v")).alias("c")).collect()]

@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 KEYS = [
     "j01_gps_interpolation", "c04_dedup_tracks", "w04_segments", "t02_budget_selection", "j08_greedy_match", "a06_detection_scores",
-    "a14_threshold_search", "c03_suppression", "c02_hash_groups", "w06_grouped_split", "f14_truth_validation", "s02_gpx",
+    "a14_threshold_search", "c03_suppression", "c02_hash_groups", "t05_listed_names", "s07_score_sheets", "a11_weighted_kappa", "a03_union_area", "w06_grouped_split", "f14_truth_validation", "s02_gpx",
     "s11_status_update", "x01_streaming_closest_approach", "x02_streaming_survey_load",
 ]
 
