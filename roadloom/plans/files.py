@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from roadloom.operators import metrics
 from roadloom.plans.corpus import f12_origins, label_rows, split_manifest
 from roadloom.plans.fixtures import view
+from roadloom.plans.process import load_surveys
 from roadloom.plans.registry import cte, query
 from roadloom.plans.roads import queue, segment_table, surveys
 from roadloom.plans.telemetry import CFG, deg, defects
-from roadloom.session import landing_path
+from roadloom.session import cut, landing_path
 from roadloom.sources import readers
 from roadloom.sources.store import SurveyStore, export_queue, write_csv
 from roadloom.streaming import tracks as live
@@ -84,20 +85,21 @@ def landed_elements(spark, sf) -> str:
     return path
 
 
-@query("s03_osm_cache", "SELECT 'vertex' AS kind, highway AS label, vertex_pos, round(lat,6) AS lat, round(lon,6) AS lon FROM v_road_vertex UNION ALL SELECT 'amenity', amenity, CAST(NULL AS BIGINT), round(lat,6), round(lon,6) FROM v_amenity")
+@query("s03_osm_cache", """SELECT 'vertex' AS kind, dense_rank() OVER (ORDER BY way_pos)-1 AS item_pos, highway AS label, vertex_pos, round(lat,6) AS lat, round(lon,6) AS lon FROM v_road_vertex
+UNION ALL SELECT 'amenity', row_number() OVER (ORDER BY amenity_id)-1, amenity, CAST(NULL AS BIGINT), round(lat,6), round(lon,6) FROM v_amenity""")
 def s03(spark, sf):
     raw = readers.raw_osm(spark, landed_elements(spark, sf), multi_line=False)
     highways, amenities = readers.osm_elements(raw)
     path = landing_path(spark, "osmcache")
-    h = highways.select(F.to_json(F.struct(F.array(F.struct("tags", "geometry")).alias("highways"))).alias("value"))
-    a = amenities.select(F.to_json(F.struct(F.array(F.struct("tags", "lat", "lon")).alias("amenities"))).alias("value"))
+    h = highways.orderBy("id").select(F.to_json(F.struct(F.array(F.struct("tags", "geometry")).alias("highways"))).alias("value"))
+    a = amenities.orderBy("id").select(F.to_json(F.struct(F.array(F.struct("tags", "lat", "lon")).alias("amenities"))).alias("value"))
     h.union(a).write.text(path)
     vertices, places = readers.osm_cache(spark, path, multi_line=False)
     none = F.lit(None).cast("bigint")
     return vertices.select(
-        F.lit("vertex").alias("kind"), F.col("highway").alias("label"), "vertex_pos", deg("lat"), deg("lon")
+        F.lit("vertex").alias("kind"), F.col("way_pos").alias("item_pos"), F.col("highway").alias("label"), "vertex_pos", deg("lat"), deg("lon")
     ).unionByName(
-        places.select(F.lit("amenity").alias("kind"), F.col("amenity").alias("label"), none.alias("vertex_pos"), deg("lat"), deg("lon"))
+        places.select(F.lit("amenity").alias("kind"), F.col("amenity_id").alias("item_pos"), F.col("amenity").alias("label"), none.alias("vertex_pos"), deg("lat"), deg("lon"))
     )
 
 
@@ -204,11 +206,39 @@ def s11(spark, sf):
     return store.read("defects").select("survey_id", "defect_id", "status", "matched_prev_id", "recurrence")
 
 
-@query("s12_queue_export", "SELECT CAST(defect_id AS VARCHAR) AS defect_id, class_name AS class, severity, printf('%.2f', floor(priority*1e2+5e-1)/1e2) AS priority, printf('%.2f', estimated_cost) AS estimated_cost, 'New' AS status FROM o_queue")
+@query("s12_queue_export", "SELECT survey_id, CAST(defect_id AS VARCHAR) AS defect_id, class_name AS class, severity, printf('%.2f', floor(priority*1e2+5e-1)/1e2) AS priority, printf('%.2f', estimated_cost) AS estimated_cost, 'New' AS status FROM o_queue")
 def s12(spark, sf):
     path = landing_path(spark, "queue")
     export_queue(queue(spark, sf).withColumn("status", F.lit("New")), path)
-    return readers.csv_strings(spark, path)
+    return readers.csv_strings(spark, path).withColumn("survey_id", F.col("survey_id").cast("bigint"))
+
+
+@query("q05_from_files", """SELECT s.survey_id, s.stored_id AS defect_id, s.class_name, s.severity, round(q.priority,6) AS priority, round(s.lat,6) AS lat, round(s.lon,6) AS lon, 'completed' AS status
+FROM o_stored s JOIN o_queue q USING (survey_id, defect_id)""")
+def q05_files(spark, sf):
+    """Plain GPS files, one folder per survey, through readers and processing into a store; the
+    first load breaks off before it is complete, the second one replaces it."""
+    traces = landing_path(spark, "traces")
+    g = view(spark, sf, "v_gps").orderBy("survey_id", "seq").select(
+        F.col("survey_id").alias("folder"), F.col("timestamp_s").alias("timestamp"), "lat", "lon", "accuracy_m", F.col("speed_mps").alias("speed")
+    )
+    g.write.option("header", True).partitionBy("folder").csv(traces)
+    points, _ = readers.gps_csv(spark, traces, survey=r"/folder=(\d+)/")
+    store = SurveyStore(spark, landing_path(spark, "store"))
+    known = surveys(spark, sf).select(
+        "survey_id", F.to_date("surveyed_on").alias("surveyed_on"), F.lit("route").alias("route_name"), F.lit("video.mp4").alias("source")
+    )
+    store.add_surveys(known)
+    store.add_defects(defects(spark, sf).filter("survey_id % 2 = 0"))
+    inputs = {
+        "detections": view(spark, sf, "v_det"), "gps": cut(points.drop("folder")), "vertices": view(spark, sf, "v_road_vertex"),
+        "amenities": view(spark, sf, "v_amenity"), "frame_w": 1920, "frame_h": 1080,
+    }
+    load_surveys(store, known, inputs, CFG)
+    done = store.read("surveys").select("survey_id", "status")
+    return store.read("defects").drop("status").join(done, "survey_id").select(
+        "survey_id", "defect_id", "class_name", "severity", deg("priority"), deg("lat"), deg("lon"), "status"
+    )
 
 
 @query("s13_manifest_files", "SELECT image, grp, split, 'manifest' AS file FROM o_manifest UNION ALL SELECT image, CAST(box_idx AS VARCHAR), name, 'origins' FROM o_conv WHERE new_id=0")

@@ -97,6 +97,12 @@ SELECT vec_id div 10 AS image_id, vec_id%10 AS pos,
 FROM {embeddings}""",
 }
 
+# twenty pairs of surveys with the same ids and places in each pair
+for _name, _key in (("v_old", "c_custkey"), ("v_new", "o_orderkey"), ("v_path", "c_custkey")):
+    _text = VIEWS[_name].replace("c_custkey", "(c_custkey div 20)").replace("o_custkey", "(o_custkey div 20)")
+    _text = _text.replace("o_orderkey+1", "o_orderkey div 20+1").replace("SELECT ", f"SELECT {_key}%20 AS pair_id, ", 1)
+    VIEWS[_name.replace("v_", "v_pair_")] = _text
+
 
 def spark_text(name: str, sf_dir: str) -> str:
     out = VIEWS[name].replace("{K5}", "explode(sequence(0,4))")

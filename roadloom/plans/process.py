@@ -51,8 +51,13 @@ def process_surveys(
 
 
 def load_surveys(store: SurveyStore, surveys: DataFrame, run_inputs: dict, cfg: Settings = DEFAULTS) -> SurveyRun:
-    """Registers surveys, processes them and stores the results; a failure is kept as their status."""
-    store.add_surveys(surveys)
+    """Registers surveys, processes them and stores the results; a failure is kept as their status.
+
+    A survey counts as loaded once its status is ``completed``. Loading surveys again, say after a
+    failure, replaces whatever of theirs was stored. Ids follow the largest one stored by then; loads into one
+    store are not to run side by side.
+    """
+    store.add_surveys(surveys, replace=True)
     try:
         run = process_surveys(cfg=cfg, **run_inputs)
         store.add_defects(run.defects)

@@ -46,13 +46,13 @@ FROM v_old o JOIN v_new n ON o.class_name=n.class_name AND abs(o.lat-n.lat)<1e-4
 cte("o_pair", "SELECT * FROM o_cand WHERE d<=1e1")
 
 
-def walk_ctes(name: str, order: str) -> None:
-    cte(f"{name}_rank", f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS rk FROM o_pair")
+def walk_ctes(name: str, order: str, source: str = "o_pair") -> None:
+    cte(f"{name}_rank", f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS rk FROM {source}")
     free = "NOT list_contains(w.os,p.o_id) AND NOT list_contains(w.ns,p.n_id)"
     cte(f"{name}_walk", f"""SELECT DISTINCT g, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS os, CAST([] AS BIGINT[]) AS ns, CAST(NULL AS BIGINT) AS o_id, CAST(NULL AS BIGINT) AS n_id, CAST(NULL AS DOUBLE) AS d FROM {name}_rank
 UNION ALL SELECT w.g, p.rk, CASE WHEN {free} THEN list_append(w.os, p.o_id) ELSE w.os END, CASE WHEN {free} THEN list_append(w.ns, p.n_id) ELSE w.ns END,
 CASE WHEN {free} THEN p.o_id END, CASE WHEN {free} THEN p.n_id END, p.d FROM {name}_walk w JOIN {name}_rank p ON p.g=w.g AND p.rk=w.rk+1""", recursive=True)
-    cte(f"{name}_match", f"SELECT o_id, n_id, d FROM {name}_walk WHERE o_id IS NOT NULL")
+    cte(f"{name}_match", f"SELECT o_id, n_id, d, g FROM {name}_walk WHERE o_id IS NOT NULL")
 
 
 walk_ctes("o_g", "d, o_id, n_id")
@@ -65,6 +65,26 @@ UNION ALL SELECT 'new', n.defect_id, n.class_name, CASE WHEN m.o_id IS NULL THEN
 FROM v_new n LEFT JOIN o_g_match m ON m.n_id=n.defect_id LEFT JOIN v_old o ON o.defect_id=m.o_id""")
 
 
+# the same for twenty pairs of surveys; g names pair and place
+cte("o_many_cand", f"""SELECT o.defect_id AS o_id, n.defect_id AS n_id, o.pair_id*1000000+(o.defect_id-1)//3 AS g, round({hav('o.lat', 'o.lon', 'n.lat', 'n.lon')},6) AS d
+FROM v_pair_old o JOIN v_pair_new n ON o.pair_id=n.pair_id AND o.class_name=n.class_name AND abs(o.lat-n.lat)<1e-4 AND abs(o.lon-n.lon)<2e-4""")
+cte("o_many_pair", "SELECT * FROM o_many_cand WHERE d<=1e1")
+walk_ctes("o_m", "d, o_id, n_id", "o_many_pair")
+cte("o_many_match", "SELECT g//1000000 AS pair_id, o_id, n_id FROM o_m_match")
+cte("o_many_covered", f"SELECT pair_id, defect_id, EXISTS (SELECT 1 FROM v_pair_path p WHERE p.pair_id=o.pair_id AND abs(p.lat-o.lat)<2e-4 AND {hav('o.lat', 'o.lon', 'p.lat', 'p.lon')}<=15e0) AS covered FROM v_pair_old o")
+
+
+@query("q04_verify_pairs", """SELECT o.pair_id, 'old' AS side, o.defect_id, o.class_name, CASE WHEN m.o_id IS NOT NULL THEN CASE WHEN status='Repaired' THEN 'Failed' ELSE 'Open' END WHEN covered THEN 'Repaired' ELSE status END AS status,
+m.o_id IS NOT NULL AND status='Repaired' AS recurrence, m.o_id IS NULL AND NOT covered AS unverified, CAST(NULL AS BIGINT) AS matched_prev_id
+FROM v_pair_old o LEFT JOIN o_many_match m ON m.o_id=o.defect_id AND m.pair_id=o.pair_id JOIN o_many_covered c ON c.defect_id=o.defect_id AND c.pair_id=o.pair_id
+UNION ALL SELECT n.pair_id, 'new', n.defect_id, n.class_name, CASE WHEN m.o_id IS NULL THEN 'New' WHEN o.status='Repaired' THEN 'Failed' ELSE 'Open' END, coalesce(o.status='Repaired',false), false, m.o_id
+FROM v_pair_new n LEFT JOIN o_many_match m ON m.n_id=n.defect_id AND m.pair_id=n.pair_id LEFT JOIN v_pair_old o ON o.defect_id=m.o_id AND o.pair_id=m.pair_id""")
+def q04_pairs(spark, sf):
+    """Twenty re-surveys in one job; their defects share ids and places."""
+    old, new, path = (view(spark, sf, f"v_pair_{side}") for side in ("old", "new", "path"))
+    return verification.verify(old, new, path, CFG, ["pair_id"])
+
+
 @query("j06_coverage", "SELECT defect_id, covered FROM o_covered")
 def j06(spark, sf):
     return verification.covered_by(view(spark, sf, "v_old"), view(spark, sf, "v_path"), CFG).select("defect_id", "covered")

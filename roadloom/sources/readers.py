@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from roadloom import schemas
 from roadloom.functions.text import epoch_seconds, extension
-from roadloom.operators.ranking import blocked_rank
+from roadloom.operators.ranking import blocked_rank, blocked_running_sum
 from roadloom.session import cut
 
 
@@ -30,11 +30,49 @@ def csv_strings(spark: SparkSession, path: str, names: Sequence[str] | None = No
     return reader.csv(path)
 
 
-def gps_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+PLACE = ("_file", "_split", "_at")
+
+
+def file_order(scan: DataFrame) -> DataFrame:
+    """Adds PLACE, three columns that sort the rows of a plain file scan as they lie in the files.
+
+    Tasks read file pieces in any order, but the rows of one piece in file order.
+    """
+    return scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+
+
+def numbered(rows: DataFrame, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Numbers rows that carry PLACE from 1 per ``keys``; no task sorts more than a piece of a file."""
+    return blocked_rank(rows, keys, "_at", out, lead=[("_file", True), ("_split", True)], block=F.lit(0))
+
+
+def _traced(points: DataFrame, survey: str | None) -> DataFrame:
+    """Replaces PLACE by survey_id and seq, where the file has no such columns.
+
+    ``survey`` is a pattern whose first group is the survey's number in the file path. ``seq``
+    counts from 0 in file order over all files of a survey, or over the file if it has none.
+    """
+    if survey is not None and "survey_id" not in points.columns:
+        points = points.withColumn("survey_id", F.regexp_extract("_file", survey, 1).try_cast("bigint"))
+    if "seq" not in points.columns:
+        owner = F.concat(F.lit("f"), "_file")
+        if "survey_id" in points.columns:
+            owner = F.coalesce(F.concat(F.lit("s"), F.col("survey_id").cast("string")), owner)
+        points = numbered(points.withColumn("_trace", owner), "seq", ["_trace"]).withColumn("seq", F.col("seq") - 1).drop("_trace")
+    return points.drop(*PLACE)
+
+
+def gps_csv(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, survey: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(points, one row with the malformed count).
 
     Time is a float epoch or ISO-8601; lat and lon are required; empty accuracy and speed
-    are null, other text that is no number makes the row malformed.
+    are null, other text that is no number makes the row malformed. Points carry ``seq`` and,
+    with a ``survey`` pattern, ``survey_id`` (see ``_traced``); malformed rows are not numbered.
     """
     raw = csv_strings(spark, path, columns)
     have = raw.columns
@@ -46,8 +84,9 @@ def gps_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None
         return c.isNull() | (c == "") | c.try_cast("double").isNotNull()
 
     extra = [c for c in have if c not in ("timestamp", "lat", "lon", "accuracy_m", "speed")]
-    parsed = raw.select(
+    parsed = file_order(raw).select(
         *extra,
+        *PLACE,
         ts.alias("timestamp_s"),
         lat.alias("lat"),
         lon.alias("lon"),
@@ -55,34 +94,47 @@ def gps_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None
         speed.try_cast("double").alias("speed_mps"),
         (ts.isNotNull() & lat.isNotNull() & lon.isNotNull() & optional_ok(acc) & optional_ok(speed)).alias("_ok"),
     )
-    return parsed.filter("_ok").drop("_ok"), parsed.agg(F.count_if(~F.col("_ok")).alias("malformed"))
+    points = _traced(parsed.filter("_ok").drop("_ok"), survey)
+    return points, parsed.agg(F.count_if(~F.col("_ok")).alias("malformed"))
 
 
-def gps_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, malformed count) of GPX track points; a point without a time is malformed."""
+def gps_gpx(spark: SparkSession, path: str, survey: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points, malformed count) of GPX track points; a point without a time is malformed.
+
+    ``seq`` and ``survey_id`` as in ``gps_csv``.
+    """
     schema = "_lat string, _lon string, time string"
     raw = spark.read.format("xml").option("rowTag", "trkpt").option("mode", "PERMISSIVE").schema(schema).load(path)
     lat, lon = F.col("_lat").try_cast("double"), F.col("_lon").try_cast("double")
     iso = F.unix_micros(F.try_to_timestamp(F.trim(F.col("time")))) / F.lit(1e6)
-    parsed = raw.select(iso.alias("timestamp_s"), lat.alias("lat"), lon.alias("lon")).withColumn(
+    parsed = file_order(raw).select(*PLACE, iso.alias("timestamp_s"), lat.alias("lat"), lon.alias("lon")).withColumn(
         "_ok", F.col("timestamp_s").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
     )
     null = F.lit(None).cast("double")
     points = parsed.filter("_ok").select(
-        "timestamp_s", "lat", "lon", null.alias("accuracy_m"), null.alias("speed_mps")
+        *PLACE, "timestamp_s", "lat", "lon", null.alias("accuracy_m"), null.alias("speed_mps")
     )
-    return points, parsed.agg(F.count_if(~F.col("_ok")).alias("malformed"))
+    return _traced(points, survey), parsed.agg(F.count_if(~F.col("_ok")).alias("malformed"))
 
 
 def _json_or_empty(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+        return file_order(spark.read.schema(schema).option("multiLine", multi_line).json(path))
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, _file string, _split bigint, _at bigint")
+
+
+def _entries(docs: DataFrame, name: str, pos: str) -> DataFrame:
+    """(pos, entry) of list ``name``, numbered from 0 over all documents in file order."""
+    sized = docs.select("_doc", name, F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)).alias("_n"))
+    before = blocked_running_sum(sized, [], "_doc", "_n", "_to").withColumn("_from", F.col("_to") - F.col("_n"))
+    return before.select("_from", F.posexplode(name).alias("_k", "entry")).select(
+        (F.col("_from") + F.col("_k")).cast("bigint").alias(pos), "entry"
+    )
 
 
 def osm_cache(
@@ -90,21 +142,20 @@ def osm_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """(road vertices, amenities) of a road cache; a missing or corrupt file gives no rows.
 
-    ``multi_line=False`` reads one cache document per line, which splits large files.
+    ``multi_line=False`` reads one cache document per line, which splits large files. ``way_pos``
+    and ``amenity_id`` count on over all documents, in file order.
     """
-    raw = _json_or_empty(spark, path, schemas.OSM_CACHE, multi_line)
-    ways = raw.select(F.posexplode("highways").alias("way_pos", "w"))
-    vertices = ways.select(
-        F.col("way_pos").cast("bigint").alias("way_pos"),
-        F.coalesce(F.try_element_at("w.tags", F.lit("highway")), F.lit(default_class)).alias("highway"),
-        F.posexplode("w.geometry").alias("vertex_pos", "pt"),
+    docs = numbered(_json_or_empty(spark, path, schemas.OSM_CACHE, multi_line), "_doc")
+    vertices = _entries(docs, "highways", "way_pos").select(
+        "way_pos",
+        F.coalesce(F.try_element_at("entry.tags", F.lit("highway")), F.lit(default_class)).alias("highway"),
+        F.posexplode("entry.geometry").alias("vertex_pos", "pt"),
     ).select(
         "way_pos", F.col("vertex_pos").cast("bigint").alias("vertex_pos"), "highway",
         F.col("pt")[0].alias("lat"), F.col("pt")[1].alias("lon"),
     )
-    amenities = raw.select(F.posexplode("amenities").alias("amenity_id", "a")).select(
-        F.col("amenity_id").cast("bigint").alias("amenity_id"),
-        F.try_element_at("a.tags", F.lit("amenity")).alias("amenity"), "a.lat", "a.lon",
+    amenities = _entries(docs, "amenities", "amenity_id").select(
+        "amenity_id", F.try_element_at("entry.tags", F.lit("amenity")).alias("amenity"), "entry.lat", "entry.lon",
     )
     return vertices, amenities
 
@@ -127,16 +178,14 @@ DEFECT_COLUMNS = ("defect_id", "class", "class_name", "lat", "lon", "severity",
 
 
 def defects_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Defect list CSV with its column aliases; a missing defect_id column counts up from 1."""
-    raw = csv_strings(spark, path)
+    """Defect list CSV with its column aliases; a missing defect_id column counts up from 1 in
+    file order, over several files in the order of their names."""
+    raw = file_order(csv_strings(spark, path))
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     have = raw.columns
     given = _text("defect_id", have).try_cast("bigint")
     if "defect_id" not in have:
-        # file order: the upper bits of the row number are the partition, which serves as block
-        raw = blocked_rank(
-            raw.withColumn("_at", F.monotonically_increasing_id()), [], "_at", "_line", block=F.shiftright("_at", 33)
-        )
+        raw = numbered(raw, "_line")
         given = F.col("_line")
     return raw.select(
         given.alias("defect_id"),

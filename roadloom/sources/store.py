@@ -39,11 +39,25 @@ class SurveyStore:
             self._path(table)
         )
 
-    def add_surveys(self, surveys: DataFrame) -> None:
-        """surveys: survey_id, surveyed_on, route_name, source; status starts as processing."""
-        self._write(
-            surveys.withColumn("status", F.lit("processing")).withColumn("created_at", F.current_timestamp()), "surveys"
-        )
+    def add_surveys(self, surveys: DataFrame, replace: bool = False) -> None:
+        """surveys: survey_id, surveyed_on, route_name, source; status starts as processing.
+
+        ``replace`` writes over what an earlier, broken load of these surveys left, and empties
+        their defects and segments.
+        """
+        rows = surveys.withColumn("status", F.lit("processing")).withColumn("created_at", F.current_timestamp())
+        if replace:
+            self._clear(surveys.select("survey_id"))
+        self._write(cut(rows) if replace else rows, "surveys", "overwrite" if replace else "append")
+
+    def _clear(self, surveys: DataFrame) -> None:
+        """Removes the defects and segments of ``surveys``, folder by folder; few surveys of a load have any."""
+        jvm = self.spark.sparkContext._jvm
+        for table in ("defects", "segments"):
+            found = self.read(table).select("survey_id").distinct().join(surveys, "survey_id", "left_semi")
+            for row in found.toLocalIterator():
+                folder = jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/survey_id={row['survey_id']}")
+                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def set_survey_status(self, changes: DataFrame) -> None:
         """changes: survey_id, status."""
@@ -136,19 +150,26 @@ def count_children(surveys: DataFrame, defects: DataFrame, segments: DataFrame)
 
 
 def export_queue(queue: DataFrame, path: str, rank_col: str = "queue_rank") -> None:
-    """Queue CSV in rank order: money with two decimals, absent text empty, absent numbers 0.00."""
+    """Queue CSV in rank order: money with two decimals, absent text empty, absent numbers 0.00.
+
+    A queue of several surveys (it has ``survey_id``) is written as one folder per survey.
+    """
+    by_survey = ["survey_id"] if "survey_id" in queue.columns else []
 
     def money(c: str):
         return F.format_string("%.2f", F.coalesce(c, F.lit(0.0)))
 
-    queue.orderBy(rank_col).select(
+    rows = queue.orderBy(*by_survey, rank_col).select(
+        *by_survey,
         F.coalesce(F.col("defect_id").cast("string"), F.lit("")).alias("defect_id"),
         F.coalesce("class_name", F.lit("")).alias("class"),
         F.coalesce("severity", F.lit("")).alias("severity"),
         money("priority").alias("priority"),
         money("estimated_cost").alias("estimated_cost"),
         F.coalesce("status", F.lit("")).alias("status"),
-    ).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    )
+    out = rows.write.mode("errorifexists").option("header", True).option("emptyValue", "")
+    (out.partitionBy(*by_survey) if by_survey else out).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

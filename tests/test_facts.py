@@ -85,6 +85,13 @@ def test_verification_case(spark):
     }
     bare = verification.verify(old, new, path.limit(0)).filter("side = 'old' and defect_id = 3").first()
     assert (bare.status, bare.unverified) == ("Open", True)
+    # two pairs with the same ids and places: the second has no new defect and another trace
+    pair = lambda df, *k: df.crossJoin(spark.createDataFrame([(x,) for x in k], "pair bigint"))
+    both = verification.verify(pair(old, 1, 2), pair(new, 1), pair(path, 1), keys=["pair"]).collect()
+    assert {(r.side, r.defect_id): (r.status, r.recurrence, r.unverified, r.matched_prev_id) for r in both if r.pair == 1} == got
+    assert {(r.side, r.defect_id, r.status, r.unverified) for r in both if r.pair == 2} == {
+        ("old", 1, "Repaired", True), ("old", 2, "Open", True), ("old", 3, "Open", True), ("old", 7, "Failed", True)
+    }
 
 
 def test_lookup_and_accuracy(spark):
@@ -237,6 +244,34 @@ def test_gps_files(spark, tmp_path):
     )
     points, bad = readers.gps_gpx(spark, str(tmp_path / "a.gpx"))
     assert sorted(r.lat for r in points.collect()) == [13.0, 13.2] and bad.first()[0] == 1
+    assert sorted((r.lat, r.seq) for r in points.collect()) == [(13.0, 0), (13.2, 1)]
+
+
+def test_traces_are_numbered_over_the_files_of_a_survey(spark, tmp_path):
+    for survey, name, lats in ((1, "a", [1, 2]), (1, "b", [3]), (2, "a", [9, 8, 7])):
+        (tmp_path / f"s{survey}").mkdir(exist_ok=True)
+        (tmp_path / f"s{survey}" / f"{name}.csv").write_text("timestamp,lat,lon\n" + "".join(f"1,{lat},80\nx,1,1\n" for lat in lats))
+    points, bad = readers.gps_csv(spark, str(tmp_path / "s*"), survey=r"/s(\d+)/")
+    got = sorted((r.survey_id, r.seq, r.lat) for r in points.collect())
+    assert got == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 0, 9.0), (2, 1, 8.0), (2, 2, 7.0)] and bad.first()[0] == 6
+    unnamed, _ = readers.gps_csv(spark, str(tmp_path / "s*"), survey=r"/x(\d+)/")
+    assert sorted((r.lat, r.seq) for r in unnamed.filter("survey_id is null").collect()) == [(1.0, 0), (2.0, 1), (3.0, 0), (7.0, 2), (8.0, 1), (9.0, 0)]
+
+
+def test_cache_entries_are_numbered_over_documents(spark, tmp_path):
+    line = '{"highways": [{"tags": {"highway": "%s"}, "geometry": [[1, 2], [3, 4]]}], "amenities": [{"tags": {}, "lat": 1, "lon": 2}]}\n'
+    (tmp_path / "a.json").write_text(line % "primary" + '{"broken\n' + line % "tertiary")
+    (tmp_path / "b.json").write_text(line % "service")
+    roads, places = readers.osm_cache(spark, str(tmp_path), multi_line=False)
+    assert sorted({(r.way_pos, r.highway) for r in roads.collect()}) == [(0, "primary"), (1, "tertiary"), (2, "service")]
+    assert sorted(r.amenity_id for r in places.collect()) == [0, 1, 2]
+
+
+def test_default_defect_ids_follow_file_names(spark, tmp_path):
+    for name, rows in (("a", 1), ("b", 400), ("c", 30)):
+        (tmp_path / f"{name}.csv").write_text("class,lat,lon\n" + "".join(f"{name}{k:03},1.0,2.0\n" for k in range(rows)))
+    got = [r.class_name for r in readers.defects_csv(spark, str(tmp_path)).orderBy("defect_id").collect()]
+    assert got == sorted(got) and len(got) == 431
 
 
 def test_score_files(spark, tmp_path):

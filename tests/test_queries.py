@@ -13,6 +13,7 @@ KEYS = [
     "j01_gps_interpolation", "c04_dedup_tracks", "w04_segments", "t02_budget_selection", "j08_greedy_match", "a06_detection_scores",
     "a14_threshold_search", "c03_suppression", "c02_hash_groups", "t05_listed_names", "s07_score_sheets", "a11_weighted_kappa", "a03_union_area", "w06_grouped_split", "f14_truth_validation", "s02_gpx",
     "s11_status_update", "x01_streaming_closest_approach", "x02_streaming_survey_load",
+    "s01_gps_csv", "s03_osm_cache", "s05_defect_list", "s12_queue_export", "q04_verify_pairs", "q05_from_files",
 ]
 
 
