@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.session import cut
+
 BLOCK = 65_536
 
 
@@ -22,6 +24,15 @@ def _offsets(blocks: DataFrame, keys: Sequence[str], lead: Sequence[Column], blo
     return blocks.drop(*[s for s in sums if s not in keys])
 
 
+def ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Adds ``_blk``: the range of ``order`` a row lies in, numbered in that order.
+
+    Ranges come from a sample, so the rows are cut once: a range lost later is read again, not dealt anew.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_blk", F.spark_partition_id()))
+
+
 def blocked_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,16 +44,21 @@ def blocked_rank(
 ) -> DataFrame:
     """``row_number`` per ``keys`` ordered by ``lead`` (name, ascending), ``id_col``, ``tail``.
 
-    ``lead`` columns take few distinct, non-null values; ``block`` must not decrease with
-    ``id_col`` (default: ids in runs of 65 536, which bounds a block when ids are unique).
+    Without ``block`` the blocks are ranges of equal size found in the data, so ids may be
+    sparse, negative or text, and there is one offset per key and range it touches. A given
+    ``block`` must not decrease with ``id_col``; ``lead`` columns then take few distinct values.
+    Keys and lead columns are not null.
     """
-    block = F.floor(F.col(id_col) / F.lit(BLOCK)) if block is None else block
     lead_names = [n for n, _ in lead]
     lead_order = [F.col(n).asc() if asc else F.col(n).desc() for n, asc in lead]
-    part = [*keys, *lead_names, "_blk"]
-    rows = df.withColumn("_blk", block)
-    blocks = _offsets(rows.groupBy(*part).agg(F.count("*").alias("_n")), keys, lead_order, "_blk", {"_n": "_off"})
-    w = Window.partitionBy(*part).orderBy(id_col, *tail)
+    if block is None:
+        rows = ranged(df, [*keys, *lead_order, id_col, *tail])
+        part, block_order, row_order = [*keys, "_blk"], [], [*lead_order, id_col, *tail]
+    else:
+        rows = df.withColumn("_blk", block)
+        part, block_order, row_order = [*keys, *lead_names, "_blk"], lead_order, [id_col, *tail]
+    blocks = _offsets(rows.groupBy(*part).agg(F.count("*").alias("_n")), keys, block_order, "_blk", {"_n": "_off"})
+    w = Window.partitionBy(*part).orderBy(*row_order)
     return (
         rows.join(blocks, part)
         .withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))

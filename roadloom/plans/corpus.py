@@ -314,19 +314,19 @@ def j14(spark, sf):
 
 # hashes ------------------------------------------------------------------------------
 
-# 44 sign bits, eleven in each 16-bit band, so that some hashes come near each other
-BIT = {n + 1: 1 << (n // 11 * 16 + n % 11) for n in range(44)}
+# the sign bits of all 64 values; the last one is the sign of the number
+BIT = {n + 1: f"{1 << n}" if n < 63 else f"({-(1 << 63) + 1}-1)" for n in range(64)}
 HASH_SQL = "+".join(f"CASE WHEN embedding[{n}]>0 THEN CAST({b} AS HUGEINT) ELSE 0 END" for n, b in BIT.items())
 cte("o_hash", f"SELECT vec_id, 'img_'||lpad(CAST(vec_id AS VARCHAR),6,'0')||'.jpg' AS image, CAST({HASH_SQL} AS BIGINT) AS hash FROM embeddings")
-CLOSE = "bit_count(xor(a.hash,b.hash))<=11"
+CLOSE = "bit_count(xor(a.hash,b.hash))<=18"  # vectors of the tables are no closer
 cte("o_near", f"SELECT a.hash AS a, b.hash AS b FROM (SELECT DISTINCT hash FROM o_hash) a JOIN (SELECT DISTINCT hash FROM o_hash) b ON a.hash<>b.hash AND {CLOSE}")
 cte("o_hreach", "SELECT DISTINCT hash AS node, hash AS root FROM o_hash UNION SELECT n.b, r.root FROM o_hreach r JOIN o_near n ON n.a=r.node", recursive=True)
 
 
 @shared
 def hashes(spark, sf):
-    """Sign bits of the first embedding values as a hash, one image per vector."""
-    bits = " + ".join(f"CASE WHEN embedding[{n - 1}] > 0 THEN {b}L ELSE 0L END" for n, b in BIT.items())
+    """Sign bits of the embedding as a hash, one image per vector."""
+    bits = " + ".join(f"CASE WHEN embedding[{n - 1}] > 0 THEN {b.replace('-1)', 'L-1L)') if b[0] == '(' else b + 'L'} ELSE 0L END" for n, b in BIT.items())
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     return cut(e.selectExpr("vec_id", "concat('img_', lpad(cast(vec_id as string), 6, '0'), '.jpg') AS image", f"{bits} AS hash"))
 
@@ -339,12 +339,12 @@ def g08(spark, sf):
 
 @query("j15_similar_hashes", "SELECT a, b FROM o_near WHERE a<b")
 def j15(spark, sf):
-    return hashing.similar_pairs(hashes(spark, sf), 11)
+    return hashing.similar_pairs(hashes(spark, sf), 18)
 
 
 @query("c02_hash_groups", "SELECT h.image, min(f.image) AS grp FROM o_hash h JOIN (SELECT node, min(root) AS comp FROM o_hreach GROUP BY node) c ON c.node=h.hash JOIN (SELECT node, min(root) AS comp FROM o_hreach GROUP BY node) k ON k.comp=c.comp JOIN o_hash f ON f.hash=k.node GROUP BY h.image")
 def c02(spark, sf):
-    return hashing.hash_groups(hashes(spark, sf), 11).select("image", "grp")
+    return hashing.hash_groups(hashes(spark, sf), 18).select("image", "grp")
 
 
 # media and sheets --------------------------------------------------------------------

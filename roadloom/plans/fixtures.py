@@ -65,7 +65,7 @@ SELECT d.doc_id, d.source||'_'||lpad(CAST(d.doc_id AS VARCHAR(20)),6,'0')||'.jpg
        CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY l.l_linenumber, l.l_suppkey, l.l_partkey, l.l_quantity, l.l_tax) AS BIGINT)-1 AS box_idx,
        CAST(l.l_linenumber-1 AS VARCHAR(20)) AS raw_id,
        (l.l_suppkey%100)/1e2 AS cx, (l.l_partkey%100)/1e2 AS cy, l.l_quantity/2e2 AS w, l.l_tax*2e0 AS h
-FROM {documents} d LEFT JOIN {lineitem} l ON l.l_orderkey=d.doc_id""",
+FROM {documents} d LEFT JOIN (SELECT *, l_orderkey%(7*(SELECT count(*) FROM {documents}) div 8) AS at FROM {lineitem}) l ON l.at=d.doc_id""",
     "v_rating": """
 SELECT crop_id, 'crops/crop_'||CAST(crop_id AS VARCHAR(20))||'.png' AS filename, area_ratio,
        CASE WHEN area_ratio<2e-2 THEN 'Low' WHEN area_ratio<8e-2 THEN 'Medium' ELSE 'High' END AS system_severity,

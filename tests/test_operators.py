@@ -27,6 +27,16 @@ def metres(lat_m, lon_m, base=(13.0, 80.0)):
 # ranking -----------------------------------------------------------------------------
 
 
+def test_rank_of_sparse_negative_and_text_ids(spark):
+    wide = spark.range(0, 20_000).selectExpr("(id - 10000) * 100003 AS id", "1 AS k", "cast(pmod(id, 5) as int) AS lead")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranking.ranged(wide, ["k", "id"]).select("k", "_blk").distinct().count() == parts
+    for name, order in (("id", lambda r: (-r.lead, r.id)), ("name", lambda r: (-r.lead, r.name))):
+        got = ranking.blocked_rank(wide.withColumn("name", F.col("id").cast("string")), ["k"], name, "rk", lead=[("lead", False)]).collect()
+        assert [r.rk for r in sorted(got, key=order)] == list(range(1, 20_001))
+
+
+
 def test_blocked_rank_and_sum_cross_blocks(spark):
     rng = random.Random(1)
     rows = [(k, rng.randint(0, 2), n, float(rng.randint(0, 9))) for k in (1, 2) for n in rng.sample(range(1000), 60)]
