@@ -318,7 +318,7 @@ def j14(spark, sf):
 BIT = {n + 1: f"{1 << n}" if n < 63 else f"({-(1 << 63) + 1}-1)" for n in range(64)}
 HASH_SQL = "+".join(f"CASE WHEN embedding[{n}]>0 THEN CAST({b} AS HUGEINT) ELSE 0 END" for n, b in BIT.items())
 cte("o_hash", f"SELECT vec_id, 'img_'||lpad(CAST(vec_id AS VARCHAR),6,'0')||'.jpg' AS image, CAST({HASH_SQL} AS BIGINT) AS hash FROM embeddings")
-CLOSE = "bit_count(xor(a.hash,b.hash))<=18"  # vectors of the tables are no closer
+CLOSE = "bit_count(xor(a.hash,b.hash))<=18"  # at the default of 10 no two vectors of the tables link
 cte("o_near", f"SELECT a.hash AS a, b.hash AS b FROM (SELECT DISTINCT hash FROM o_hash) a JOIN (SELECT DISTINCT hash FROM o_hash) b ON a.hash<>b.hash AND {CLOSE}")
 cte("o_hreach", "SELECT DISTINCT hash AS node, hash AS root FROM o_hash UNION SELECT n.b, r.root FROM o_hreach r JOIN o_near n ON n.a=r.node", recursive=True)
 
