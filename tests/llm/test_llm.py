@@ -243,6 +243,42 @@ def test_compact_windows_against_plain():
         assert set(zip(left, right, v[c], strict=True)) == want and len(c) == len(want)
 
 
+def near_runs(a, b, width, similarity):
+    """Do any runs of that width share enough? Tries every start and stop of both."""
+    a, b = a.tolist(), b.tolist()
+    for s, p in itertools.product(range(len(a) - width + 1), range(len(b) - width + 1)):
+        for e in range(s + width, len(a) + 1):
+            one = set(a[s:e])
+            for q in range(p + width, min(len(b), p + int((e - s) / similarity)) + 1):
+                two = set(b[p:q])
+                if len(one & two) >= similarity * len(one | two):
+                    return True
+    return False
+
+
+def test_edited_passages_are_verified_wherever_the_edits_lie():
+    width, met = 46, 0
+    for length, at in itertools.chain(((50, k) for k in range(5, 45)), ((60, k) for k in range(60))):
+        base = [f"w{k}" for k in range(length)]
+        near = [*base[:at], "changed", *base[at + 1 :]]
+        found = passage_dedup._segments(*(passage_dedup.shingle_hashes(" ".join(x)) for x in (base, near)), width, 0.8)
+        assert found and found[0][4] >= 0.8, (length, at)
+    for seed in range(120):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(50, 81))]
+        near = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(near))
+            near[at : at + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+        a, b = (passage_dedup.shingle_hashes(" ".join(x)) for x in (base, near))
+        found = passage_dedup._segments(a, b, width, 0.8)
+        assert all(e - s >= width and q - p >= width and j >= 0.8 for s, e, p, q, j in found)
+        if min(len(a), len(b)) < 58:
+            assert bool(found) == near_runs(a, b, width, 0.8), seed
+            met += bool(found)
+    assert met > 5
+
+
 def test_passages_are_found_and_others_left(sample):
     rows = passage_dedup.near_duplicate_passages(sample).collect()
     n = len(ODD)
