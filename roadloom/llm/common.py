@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,21 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes landed tables once what was made of them is landed itself.
+
+    The full collection lets Spark drop the shuffle files of the steps that are over, too.
+    """
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a landed table for broadcast if its counted rows allow it; else Spark decides."""
     return F.broadcast(df) if df.count() <= rows else df

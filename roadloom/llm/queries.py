@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, tokens, url_filter
+from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,12 @@ def op6(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8(spark, sf_dir):
     return passage_dedup.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_suffix_array_dedup")
+def op11(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
