@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, suffix_dedup, tokens, url_filter
+from roadloom.llm import decontamination, embedding_dedup, filter_audit, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,33 @@ def op11(spark, sf_dir):
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0) AS toxic FROM labels GROUP BY doc_id),
+lo AS (SELECT t, min(doc_id) AS lo FROM d GROUP BY t),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  [len(ws) < 200, 100 * list_unique(ws) < 50 * len(ws), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t),
+   regexp_matches(t, '[#$%&*|]'), coalesce(lo < doc_id, false)] AS fails
+  FROM w JOIN lo USING (t) LEFT JOIN g USING (doc_id)),
+l AS (SELECT unnest(['A','B','C','D','E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS ord FROM l a, l b, l c, l d, l e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x),
+s AS (SELECT ord, step, substr(ord, step, 1) AS x, instr('ABCDE', substr(ord, step, 1)) AS i, list_transform(range(1, step), lambda k: instr('ABCDE', substr(ord, k, 1))) AS prev
+  FROM (SELECT ord, unnest(range(1, 6)) AS step FROM o)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+r AS (SELECT part, ord, step, x, n, good, toxic, fails[i] AS own, len(list_filter(prev, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS n_fails FROM m, s),
+a AS (SELECT part, ord AS filter_order, step::INT AS step, x,
+  sum(CASE WHEN NOT gone AND NOT own THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND own THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN gone AND own THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN own AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN NOT gone AND own THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND own THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, ord, step, x)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM a
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
