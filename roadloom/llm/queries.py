@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination, embedding_dedup, filter_audit, html_extraction, language_id, line_dedup, packing, passage_dedup, simhash_dedup, suffix_dedup, tokens, url_filter
+from roadloom.llm import decontamination, embedding_dedup, filter_audit, html_extraction, language_id, line_dedup, packing, passage_dedup, prefix_trie, simhash_dedup, suffix_dedup, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,30 @@ SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shap
 @query("op12_filter_audit", OP12_SQL)
 def op12(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+crc_bits AS (SELECT conv_id, list_transform(range(0, length(conv_id::VARCHAR)), lambda k: ascii(substr(conv_id::VARCHAR, k + 1, 1))) AS bytes FROM (SELECT DISTINCT conv_id FROM n)),
+crc AS (SELECT conv_id, xor(4294967295::BIGINT, list_reduce(bytes, lambda acc, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, xor(acc, x::BIGINT)), 4294967295::BIGINT)) AS v FROM crc_bits),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS ts FROM n GROUP BY conv_id),
+r AS (SELECT l.conv_id, list_concat(coalesce(base.ts[1:(v % 4)::INT], []), l.ts[(v % 4)::INT + 1:]) AS ts
+  FROM l JOIN crc USING (conv_id) LEFT JOIN l base ON base.conv_id = l.conv_id - l.conv_id % 20),
+m AS (SELECT conv_id, unnest(range(0, len(ts) + 1)) AS depth, ts FROM r),
+p AS (SELECT conv_id, depth, ts[1:depth] AS k, len(ts) = depth AS is_end FROM m),
+g AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end) AS ids FROM p GROUP BY k, depth),
+c AS (SELECT k[1:depth - 1] AS k, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN g.depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(regexp_split_to_array(k[-1].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS val
+  FROM g LEFT JOIN c USING (k, depth)),
+up AS (SELECT k[1:a] AS k, a AS depth, val, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM v)),
+s AS (SELECT k, depth, sum(val)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM up GROUP BY k, depth)
+SELECT v.conv_id, v.depth::BIGINT AS depth, par.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(v.ids, '')) AS ends_sha256
+FROM v JOIN s USING (k, depth) LEFT JOIN g par ON v.depth > 0 AND par.depth = v.depth - 1 AND par.k = v.k[1:v.depth - 1]
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf_dir):
+    turns, conversations = prefix_trie.share_openings(prefix_trie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, conversations)
