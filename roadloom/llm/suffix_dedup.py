@@ -24,7 +24,7 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def qgram_ids(data: np.ndarray, q: int) -> np.ndarray:
-    """64-bit identifier of the ``q`` bytes at every position, built up from halves."""
+    """64-bit identifier of the ``q`` bytes at every position of each row, built up from halves."""
     power = 0x9E3779B97F4A7C15
     part, size = (data.astype(np.uint64) + np.uint64(1)) * _ODD, 1
     ids, done = None, 0
@@ -33,12 +33,12 @@ def qgram_ids(data: np.ndarray, q: int) -> np.ndarray:
             if ids is None:
                 ids, done = part, size
             else:
-                n = len(data) - done - size + 1
-                ids, done = ids[:n] * np.uint64(power) + part[done : done + n], done + size
+                n = data.shape[-1] - done - size + 1
+                ids, done = ids[..., :n] * np.uint64(power) + part[..., done : done + n], done + size
         if size * 2 > q:
             break
-        n = len(data) - 2 * size + 1
-        part, size = part[:n] * np.uint64(power) + part[size : size + n], size * 2
+        n = data.shape[-1] - 2 * size + 1
+        part, size = part[..., :n] * np.uint64(power) + part[..., size : size + n], size * 2
         power = power * power % 2**64
     ids = (ids ^ (ids >> np.uint64(32))) * _ODD
     return ids ^ (ids >> np.uint64(32))
@@ -101,16 +101,24 @@ def _table(found: list) -> pd.DataFrame:
 def _placed(length: int, q: int):
     """Rows (doc, tie, s, n, o, x): bytes ``x`` of a run and the offset ``o`` of its later q-gram."""
 
+    def table(rows: list) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=["doc", "tie", "s", "n", "x"])
+        starts = np.frombuffer(b"".join(x[:length] for x in found["x"]), np.uint8).reshape(-1, length)
+        return found.assign(o=qgram_ids(starts, q).argmin(axis=1).astype(np.int32))[["doc", "tie", "s", "n", "o", "x"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
-            for doc, tie, text, heads in zip(batch["doc"], batch["tie"], batch["text"], batch["heads"], strict=True):
-                raw, rows = text.encode("utf-8"), []
+            for doc, tie, text, heads in zip(batch["doc"].tolist(), batch["tie"].tolist(), batch["text"], batch["heads"], strict=True):
+                raw = text.encode("utf-8")
                 for head in heads.tolist():
                     s, n = head >> 32, head & 0xFFFFFFFF
-                    x = raw[s : s + n + length - 1]
-                    ids = qgram_ids(np.frombuffer(x[:length], np.uint8), q)
-                    rows.append((doc, tie, s, n, int(ids.argmin()), x))
-                yield pd.DataFrame(rows, columns=["doc", "tie", "s", "n", "o", "x"])
+                    rows.append((doc, tie, s, n, raw[s : s + n + length - 1]))
+                    if len(rows) == 5000:
+                        yield table(rows)
+                        rows = []
+        if rows:
+            yield table(rows)
 
     return run
 
