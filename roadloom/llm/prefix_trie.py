@@ -231,14 +231,13 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, cells: int | None =
 
     tails = tail(rows.filter("single and after_single"), F.col("conv_id"))
     starts = tail(born.join(parents, ["pa", "pb"], "left"), F.coalesce("above", "conv_id"))
-    saved = shared.groupBy().agg(F.coalesce(F.sum("value"), F.lit(0)).alias("saved"))
-    leaves = tops.groupBy().agg(F.count("*").alias("leaves"))
+    saved = shared.agg(F.coalesce(F.sum("value"), F.lit(0))).scalar()
+    leaves = tops.agg(F.count("*")).scalar()
     root = (
         whole.select("*", *zero).join(children.withColumnsRenamed({"pa": "a", "pb": "b"}), ["a", "b"], "left").join(shas, ["a", "b"], "left")
-        .select("*", F.lit(1).alias("_one")).join(saved.withColumn("_one", F.lit(1)), "_one").join(leaves.withColumn("_one", F.lit(1)), "_one")
         .select(
             F.col("node").alias("conv_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.col("n").alias("n_convs"),
-            F.coalesce("children", F.lit(0)).alias("n_children"), F.greatest("leaves", F.lit(1)).alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+            F.coalesce("children", F.lit(0)).alias("n_children"), F.greatest(leaves, F.lit(1)).alias("n_leaves"), saved.alias("saved_tokens"),
             F.coalesce("sha", F.lit(NO_ENDS)).alias("ends_sha256"),
         )
     )
