@@ -95,108 +95,6 @@ def cross_split_pairs(images: DataFrame) -> DataFrame:
     )
 
 
-def _one_edit(images: DataFrame) -> DataFrame:
-    """Best cross-split pair one edit apart per key, never forming the pairs of a key.
-
-    Two names differ by one replaced character when they agree after masking it; by one
-    inserted character when the longer without it is the shorter. Of a key only the first
-    name per role and split is kept.
-    """
-    n = F.length("image")
-    spots = F.sequence(F.lit(1), n)
-    left = lambda p: F.substring(F.col("image"), F.lit(1), p - 1)
-    right = lambda p: F.substring(F.col("image"), p + 1, n)
-    masked = F.transform(spots, lambda p: F.struct(F.concat(F.lit("m"), p.cast("string"), F.lit(":"), left(p), F.lit("\u0000"), right(p)).alias("k"), F.lit("m").alias("role")))
-    shorter = F.transform(spots, lambda p: F.struct(F.concat(F.lit("d:"), left(p), right(p)).alias("k"), F.lit("long").alias("role")))
-    itself = F.array(F.struct(F.concat(F.lit("d:"), F.col("image")).alias("k"), F.lit("short").alias("role")))
-    keyed = images.select("grp", "image", "split", F.explode(F.concat(masked, shorter, itself)).alias("e")).select(
-        "grp", "image", "split", "e.k", "e.role"
-    )
-    first = keyed.groupBy("grp", "k", "role", "split").agg(F.min("image").alias("image"))
-    per = first.groupBy("grp", "k").agg(F.collect_list(F.struct("role", "split", "image")).alias("m")).filter(F.size("m") > 1)
-    a = per.select("grp", "k", "m", F.explode("m").alias("a")).select("grp", "a", F.explode("m").alias("b"))
-    fits = (
-        (F.col("a.split") != F.col("b.split"))
-        & (F.col("a.image") < F.col("b.image"))
-        & (((F.col("a.role") == "m") & (F.col("b.role") == "m")) | ((F.col("a.role") != F.col("b.role"))))
-    )
-    return a.filter(fits).select("grp", F.col("a.image").alias("a"), F.col("b.image").alias("b"))
-
-
-def _within_edits(images: DataFrame, edits: int) -> DataFrame:
-    """Candidate pairs at most ``edits`` apart: they share a text after dropping that many characters."""
-    seeds = images.select("grp", "image", "split", F.col("image").alias("k"))
-    keyed = seeds
-    for _ in range(edits):
-        n = F.length("k")
-        drop = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda p: F.concat(F.substring(F.col("k"), F.lit(1), p - 1), F.substring(F.col("k"), p + 1, n)),
-        )
-        seeds = seeds.select("grp", "image", "split", F.explode(drop).alias("k")).distinct()
-        keyed = keyed.unionByName(seeds)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    cond = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.image") < F.col("b.image"))
-    return a.join(b, cond & (F.col("a.split") != F.col("b.split"))).select(
-        F.col("a.grp").alias("grp"), F.col("a.image").alias("a"), F.col("b.image").alias("b")
-    )
-
-
-def _shared_piece(images: DataFrame, edits: int) -> DataFrame:
-    """Candidate pairs at most ``edits`` apart, by pieces: a name cut into edits + 1 pieces keeps
-    one of them whole in every such partner, moved by at most ``edits`` places.
-
-    Each name is entered under its pieces, and looked up under every piece of its own text
-    that a name of a possible length could have. Names too short for that many pieces meet
-    all names of a possible length.
-    """
-    k = edits
-    start = f"(i * n) div {k + 1}"
-    size = f"((i + 1) * n) div {k + 1} - {start}"
-    pieces = f"""transform(sequence(0, {k}), i -> named_struct('n', n, 'i', i, 't', substring(image, {start} + 1, {size})))"""
-    entered = images.withColumn("n", F.length("image")).select("grp", "image", "split", F.explode(F.expr(pieces)).alias("e"))
-    looks = f"""flatten(flatten(transform(sequence(greatest(1, length(image) - {k}), length(image) + {k}), n ->
-        transform(sequence(0, {k}), i -> transform(
-            sequence(greatest(0, {start} - {k}), greatest(0, least(length(image) - ({size}), {start} + {k}))),
-            p -> named_struct('n', n, 'i', i, 't', substring(image, p + 1, {size})))))))"""
-    looked = images.select("grp", "image", "split", F.explode(F.array_distinct(F.expr(looks))).alias("e"))
-    a, b = entered.alias("a"), looked.alias("b")
-    cond = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.split") != F.col("b.split"))
-    return a.join(b, cond).select(
-        F.col("a.grp").alias("grp"), F.least("a.image", "b.image").alias("a"), F.greatest("a.image", "b.image").alias("b")
-    )
-
-
-def nearest_cross_split(images: DataFrame) -> DataFrame:
-    """The pair of images of one group, in different splits, with the closest names.
-
-    One row (a, b, edit_distance) or none; ties go to the pair first in name order. Tries
-    one edit first, then two and three over shared shortened texts, then ever more over
-    shared pieces. The search ends at the first bound that some pair meets.
-    """
-    def best(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.select(F.levenshtein("a", "b").cast("bigint").alias("edit_distance"), "a", "b")
-            .agg(F.min(F.struct("edit_distance", "a", "b")).alias("p"))
-            .filter("p is not null")
-            .select("p.a", "p.b", "p.edit_distance")
-        )
-
-    mixed = images.groupBy("grp").agg(F.count_distinct("split").alias("k")).filter("k > 1")
-    images = cut(images.select("grp", "image", "split").join(mixed.select("grp"), "grp", "left_semi"))
-    longest = images.agg(F.max(F.length("image"))).first()[0] or 0
-    edits, empty = 1, images.select(F.col("image").alias("a"), F.col("image").alias("b"), F.lit(0).cast("bigint").alias("edit_distance")).limit(0)
-    while longest:
-        found = best(_one_edit(images) if edits == 1 else _within_edits(images, edits) if edits <= 3 else _shared_piece(images, edits))
-        row = found.first()
-        if row is not None and row["edit_distance"] <= edits:
-            return images.sparkSession.createDataFrame([row], found.schema)
-        if edits >= longest:
-            break
-        edits = edits + 1 if edits < 3 else edits * 2
-    return empty
-
-
 # labels ------------------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb, log2, prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,62 +12,134 @@ from roadloom.functions.text import stem
 from roadloom.operators.components import connected_components
 from roadloom.session import cut
 
-BANDS = 4
-BITS = 16
+#: comparisons that cost as much as one key written, shuffled and joined
+KEY_COST = 4
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("bigint")
 
 
-def _bands(values: DataFrame) -> list[list[int]]:
-    """Bit positions of each band. Bits are dealt out from the most to the least balanced one,
-    so that bits which hardly vary (flat images) do not gather in one band."""
-    row = values.selectExpr("count(*) AS n", *[f"sum(shiftrightunsigned(hash, {p}) & 1) AS b{p}" for p in range(64)]).first()
-    n = row["n"] or 1
-    order = sorted(range(64), key=lambda p: (abs((row[f"b{p}"] or 0) / n - 0.5), p))
-    return [order[band::BANDS] for band in range(BANDS)]
+def _ball(bits: int, radius: int) -> int:
+    return sum(comb(bits, r) for r in range(radius + 1))
+
+
+def deal_bits(same: list[float], n_bands: int) -> list[list[int]]:
+    """Bit positions of each band; ``same``: chance that two hashes agree in a bit.
+
+    The most telling bits are dealt first, each to the band that tells least so far. Bits that
+    never vary tell nothing and stay out.
+    """
+    bands: list[list[int]] = [[] for _ in range(n_bands)]
+    told = [0.0] * n_bands
+    for p in sorted(range(len(same)), key=lambda p: (same[p], p)):
+        if same[p] < 1:
+            to = min(range(n_bands), key=lambda b: (told[b], b))
+            bands[to].append(p)
+            told[to] -= log2(same[p])
+    return bands
+
 
+def plan_bands(n: int, same: list[float], threshold: int) -> tuple[list[list[int]], int, int]:
+    """The bands, and the flips on either side, that promise the least work for ``n`` hashes.
 
-def _band_keys(bands: list[list[int]], flips: int) -> Column:
-    """(band, value) keys of a hash; and every value up to ``flips`` bits away."""
+    Of m bands of two hashes within the threshold, one differs in at most threshold // m bits; the
+    two meet if one flips up to half of them and the other the rest. Few wide bands are
+    selective but need many keys, so m follows from the threshold, the count and the bits.
+    """
+    best = None
+    for m in range(1, threshold + 2):
+        bands = deal_bits(same, m)
+        flips = threshold // m
+        a, b = flips - flips // 2, flips // 2
+        width = max(map(len, bands))
+        keys = m * (_ball(width, a) + (_ball(width, b) if a != b else 0))
+        meet = sum(min(1.0, _ball(len(band), flips) * prod(same[p] for p in band)) for band in bands)
+        cost = KEY_COST * n * keys + n * n / 2 * meet
+        if keys <= 1 << 12 and (best is None or cost < best[0]):
+            best = (cost, bands, a, b)
+    return best[1:]
+
+
+def band_keys(bands: list[list[int]], flips: int) -> Column:
+    """(band, value) keys of a hash: the value of each band, and all that are up to ``flips`` bits away."""
     keys = []
     for band, bits in enumerate(bands):
-        value = " | ".join(f"shiftleft(shiftrightunsigned(hash, {p}) & 1, {n})" for n, p in enumerate(bits))
-        near = f"filter(sequence(0L, {(1 << BITS) - 1}L), m -> bit_count(m) <= {flips})" if flips else "array(0L)"
-        keys.append(f"transform({near}, m -> named_struct('band', {band}, 'value', ({value}) ^ m))")
-    return F.expr(f"concat({', '.join(keys)})")
+        value = " | ".join(f"shiftleft(shiftrightunsigned(hash, {p}) & 1L, {i})" for i, p in enumerate(bits)) or "0L"
+        masks = [sum(1 << i for i in chosen) for r in range(flips + 1) for chosen in combinations(range(len(bits)), r)]
+        keys.append(f"transform(array({', '.join(f'{m}L' for m in masks)}), m -> named_struct('band', {band}, 'value', ({value}) ^ m))")
+    return F.explode(F.expr(f"concat({', '.join(keys)})"))
+
+
+def bit_agreement(values: DataFrame) -> tuple[int, list[float]]:
+    """Number of rows, and for each bit of ``hash`` the chance that two rows agree in it."""
+    row = values.selectExpr("count(*) AS n", *[f"sum(shiftrightunsigned(hash, {p}) & 1) AS b{p}" for p in range(64)]).first()
+    ones = [(row[f"b{p}"] or 0) / max(row["n"], 1) for p in range(64)]
+    return row["n"], [q * q + (1 - q) * (1 - q) for q in ones]
+
+
+def keyed(hashes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(hash, k) of the distinct hashes from either side: two within the threshold share a key."""
+    values = cut(hashes.select("hash").filter("hash is not null").distinct())
+    bands, a, b = plan_bands(*bit_agreement(values), threshold)
+    side_a = values.select("hash", band_keys(bands, a).alias("k"))
+    return side_a, side_a if a == b else values.select("hash", band_keys(bands, b).alias("k"))
+
+
+def candidates(side_a: DataFrame, side_b: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a key, once for each key."""
+    a, b = side_a.alias("a"), side_b.alias("b")
+    order = F.col("a.hash") < F.col("b.hash") if side_a is side_b else F.col("a.hash") != F.col("b.hash")
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & order).select(F.least("a.hash", "b.hash").alias("a"), F.greatest("a.hash", "b.hash").alias("b"))
 
 
 def similar_pairs(hashes: DataFrame, threshold: int = 10) -> DataFrame:
     """Distinct hash values (a, b), a < b, at most ``threshold`` bits apart.
 
-    Copies of a hash are one value. Of four 16-bit bands of two hashes within the
-    threshold, one differs in at most threshold // 4 bits, and two values that flip half as
-    many bits each meet half way: exact keys serve up to 3, one flipped bit up to 11, two up to 19. Each candidate is
-    checked on all bits. Selectivity is that of 16 bits, so a corpus of unrelated hashes
-    still compares a share of all pairs; a smaller threshold is much cheaper.
+    Copies of a hash are one value, null is none. Hashes that share a key are compared on all bits.
+    """
+    return candidates(*keyed(hashes, threshold)).filter(hamming(F.col("a"), F.col("b")) <= threshold).distinct()
+
+
+def _apart(p: str, q: str) -> Column:
+    """Bits in which every hash of one group differs from every hash of the other."""
+    return F.expr(f"bit_count(({p}.every & ~{q}.any) | (~{p}.any & {q}.every))")
+
+
+def hash_links(hashes: DataFrame, threshold: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(component of each hash linked so far: node, component; pairs left open: c1, c2, a, b).
+
+    The hashes of a key are first compared with its smallest and largest alone, which merges
+    groups of near copies in linear work. What a key then holds of one component is one node
+    with the bits all its hashes have and those any has; two nodes are opened only where these
+    leave it possible that two of their hashes are within the threshold.
     """
-    values = cut(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
-    keyed = values.select("hash", F.explode(_band_keys(_bands(values), -(-(threshold // BANDS) // 2))).alias("k"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    return (
-        a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.hash") < F.col("b.hash")))
-        .filter(hamming(F.col("a.hash"), F.col("b.hash")) <= threshold)
-        .select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"))
-        .distinct()
-    )
+    both = cut(keyed(hashes, threshold)[0])  # it has the keys of the other side too
+    ends = both.groupBy("k").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi")
+    near = both.join(ends, "k").select("hash", F.explode(F.array("lo", "hi")).alias("end")).filter("hash <> end")
+    near = near.filter(hamming(F.col("hash"), F.col("end")) <= threshold).select(F.col("hash").alias("a"), F.col("end").alias("b"))
+    comp = cut(connected_components(near))
+    placed = cut(both.join(comp.withColumnRenamed("node", "hash"), "hash", "left").withColumn("c", F.coalesce("component", "hash")).select("k", "c", "hash"))
+    nodes = placed.groupBy("k", "c").agg(F.bit_and("hash").alias("every"), F.bit_or("hash").alias("any"), F.count("*").alias("n"))
+    mixed = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
+    nodes = cut(nodes.join(mixed, "k"))
+    pairs = nodes.alias("p").join(nodes.alias("q"), (F.col("p.k") == F.col("q.k")) & (F.col("p.c") < F.col("q.c"))).filter(_apart("p", "q") <= threshold)
+    pairs = pairs.select(F.col("p.k").alias("k"), F.col("p.c").alias("c1"), F.col("q.c").alias("c2"))
+    first = placed.select("k", F.col("c").alias("c1"), F.col("hash").alias("a"))
+    second = placed.select("k", F.col("c").alias("c2"), F.col("hash").alias("b"))
+    return comp, pairs.join(first, ["k", "c1"]).join(second, ["k", "c2"])
 
 
 def hash_groups(images: DataFrame, threshold: int = 10) -> DataFrame:
-    """Adds ``grp``: the smallest image name of the cluster; an image without hash is its own stem."""
-    comp = connected_components(similar_pairs(images, threshold)).select(
-        F.col("node").alias("hash"), F.col("component")
-    )
-    tagged = images.join(comp, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
-    names = tagged.filter(F.col("hash").isNotNull()).groupBy("component").agg(F.min("image").alias("_first"))
-    return (
-        tagged.join(names, "component", "left")
-        .withColumn("grp", F.coalesce("_first", stem(F.col("image"))))
-        .drop("component", "_first")
-    )
+    """Adds ``grp``: the smallest image name of the cluster; an image without hash is its own stem.
+
+    Clusters are single linkage over hashes within the threshold; no list of pairs is made.
+    """
+    comp, opened = hash_links(images, threshold)
+    links = opened.filter(hamming(F.col("a"), F.col("b")) <= threshold).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    upper = connected_components(links)
+    upper = upper.select(F.col("node").alias("c"), F.col("component").alias("top"))
+    named = images.join(comp.withColumnRenamed("node", "hash"), "hash", "left").withColumn("c", F.coalesce("component", "hash")).drop("component")
+    named = named.join(upper, "c", "left").withColumn("top", F.coalesce("top", "c"))
+    names = named.filter("hash is not null").groupBy("top").agg(F.min("image").alias("_first"))
+    return named.join(names, "top", "left").withColumn("grp", F.coalesce("_first", stem(F.col("image")))).drop("c", "top", "_first").select(*images.columns, "grp")

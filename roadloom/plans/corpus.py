@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.functions import boxes, text
-from roadloom.operators import dataset, hashing, imaging
+from roadloom.operators import dataset, hashing, imaging, nearest
 from roadloom.plans.fixtures import ID_MAP, view
 from roadloom.plans.registry import cte, query, shared
 from roadloom.plans.telemetry import deg
@@ -214,7 +214,7 @@ def j16(spark, sf):
 
 @query("t04_nearest_cross_split", "SELECT a, b, CAST(levenshtein(a,b) AS BIGINT) AS edit_distance FROM o_cross ORDER BY levenshtein(a,b), a, b LIMIT 1")
 def t04(spark, sf):
-    return dataset.nearest_cross_split(dataset.last_rows(manifest(spark, sf)))
+    return nearest.nearest_names(dataset.last_rows(manifest(spark, sf)))
 
 
 @query("u03_remainder", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -347,6 +347,18 @@ def c02(spark, sf):
     return hashing.hash_groups(hashes(spark, sf), 18).select("image", "grp")
 
 
+cte("o_hashed", "SELECT i.grp, i.image, i.split, h.hash FROM o_img i JOIN (SELECT DISTINCT image, doc_id FROM v_label_box) d ON d.image=i.image JOIN o_hash h ON h.vec_id=d.doc_id")
+
+
+@query("t04_nearest_hash", """SELECT a.image AS a, b.image AS b, CAST(bit_count(xor(a.hash,b.hash)) AS BIGINT) AS distance FROM o_hashed a JOIN o_hashed b ON a.grp=b.grp AND a.split<>b.split AND a.image<b.image
+ORDER BY distance, a, b LIMIT 1""")
+def t04_hash(spark, sf):
+    """Image n has the hash of vector n; images beyond the vectors have none."""
+    of_image = view(spark, sf, "v_label_box").select("image", F.col("doc_id").alias("vec_id")).distinct()
+    found = dataset.last_rows(manifest(spark, sf)).join(of_image, "image").join(hashes(spark, sf).select("vec_id", "hash"), "vec_id", "left")
+    return nearest.nearest_hashes(found)
+
+
 # media and sheets --------------------------------------------------------------------
 
 NOW = "2024-01-31 00:00:00"

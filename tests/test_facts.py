@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.config import DEFAULTS
-from roadloom.operators import dataset, hashing, imaging, metrics, priority, segments, selection, verification
+from roadloom.operators import dataset, hashing, imaging, metrics, nearest, priority, segments, selection, verification
 from roadloom.sources import intake, readers
 from roadloom.sources.store import SurveyStore, export_queue
 
@@ -178,7 +178,7 @@ def test_nearest_cross_split_equals_all_pairs(spark, seed, size, length):
     rows = [(n, rng.choice("xy"), rng.choice(["train", "val"])) for n in sorted(names)]
     df = spark.createDataFrame(rows, "image string, grp string, split string")
     pairs = [(levenshtein(a[0], b[0]), a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and a[2] != b[2]]
-    got = dataset.nearest_cross_split(df).first()
+    got = nearest.nearest_names(df).first()
     assert (got is None and not pairs) or (got.edit_distance, got.a, got.b) == min(pairs)
     count = {r.grp: (r.n_pairs, r.first_a, r.first_b) for r in dataset.cross_split_pairs(df).collect()}
     for g in {r[1] for r in rows}:
