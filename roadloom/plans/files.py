@@ -12,7 +12,8 @@ from roadloom.plans.registry import cte, query
 from roadloom.plans.roads import queue, segment_table, surveys
 from roadloom.plans.telemetry import CFG, deg, defects
 from roadloom.session import cut, landing_path
-from roadloom.sources import readers
+from roadloom.sources import intake, readers
+from roadloom.sources.landing import land_files
 from roadloom.sources.store import SurveyStore, export_queue, write_csv
 from roadloom.streaming import tracks as live
 
@@ -149,27 +150,71 @@ def s07(spark, sf):
     return t.select("n_runs", deg("auto_kmh"), deg("manual_kmh"), F.lit(",".join(raters)).alias("raters"))
 
 
-@query("s08_label_text", "SELECT image, box_idx, raw_id, cx, cy FROM v_label_box WHERE raw_id IS NOT NULL")
+def land_texts(texts, name):
+    """Lands one file per row (rel_path, content) and returns their folder."""
+    path = landing_path(texts.sparkSession, name)
+    land_files(texts, path)
+    return path
+
+
+@query("s08_label_text", "SELECT replace(image,'.jpg','.txt') AS file, box_idx, raw_id, cx, cy, w, h FROM v_label_box WHERE raw_id IS NOT NULL")
 def s08(spark, sf):
-    """Label files as text, one per image, with blank lines in between."""
+    """Label files, one per image, with blank lines in between, written and read again."""
     rows = label_rows(spark, sf).filter("raw_id is not null")
     line = F.concat_ws(" ", "raw_id", "cx", "cy", "w", "h")
     texts = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("box_idx", line.alias("l")))).alias("f")).select(
-        "image", F.array_join(F.transform("f", lambda x: x["l"]), "\n\n").alias("value")
-    )
-    boxes = texts.select("image", F.posexplode(readers.label_lines(F.col("value"))).alias("box_idx", "f"))
-    return boxes.select(
-        "image", F.col("box_idx").cast("bigint").alias("box_idx"), F.col("f")[0].alias("raw_id"),
-        F.col("f")[1].cast("double").alias("cx"), F.col("f")[2].cast("double").alias("cy"),
+        F.concat(F.col("image").substr(F.lit(1), F.instr("image", "_") - 1), F.lit("/"), F.replace("image", F.lit(".jpg"), F.lit(".txt"))).alias("rel_path"),
+        F.array_join(F.transform("f", lambda x: x["l"]), "\n\n").alias("content"),
     )
+    return readers.yolo_labels(spark, land_texts(texts, "labels"))
 
 
-@query("s09_file_inventory", "SELECT DISTINCT source, '.txt' AS ext FROM documents")
+@query("s09_file_inventory", "SELECT 'texts/'||coalesce(source,'none')||'/d'||doc_id||CASE doc_id%3 WHEN 0 THEN '.TXT' ELSE '.md' END AS rel_path, CASE doc_id%3 WHEN 0 THEN '.txt' ELSE '.md' END AS ext, CAST(octet_length(encode(coalesce(text,''))) AS BIGINT) AS length, true AS dated FROM documents WHERE doc_id%3<2")
 def s09(spark, sf):
-    path = landing_path(spark, "texts")
-    spark.read.parquet(f"{sf}/documents.parquet").select("text", "source").write.partitionBy("source").text(path)
-    files = readers.inventory(spark, path, [".txt"])
-    return files.select(F.regexp_extract("rel_path", "^source=([^/]+)/", 1).alias("source"), "ext").distinct()
+    """The texts as files: two extensions of three are asked for; every name, length and time is returned."""
+    ext = F.element_at(F.array(F.lit(".TXT"), F.lit(".md"), F.lit(".log")), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.concat(F.lit("texts/"), F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id").cast("string"), ext)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(name.alias("rel_path"), F.coalesce("text", F.lit("")).alias("content"))
+    files = readers.inventory(spark, land_texts(texts, "texts"), [".txt", ".md"])
+    return files.select("rel_path", "ext", "length", (F.unix_timestamp("mtime") > START).alias("dated"))
+
+
+UPLOAD = """SELECT c_custkey AS n, CASE c_custkey%8 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MKV' WHEN 2 THEN '.avi' WHEN 3 THEN '.csv' WHEN 4 THEN '.GPX' WHEN 5 THEN '.csv' WHEN 6 THEN '.exe' ELSE '' END AS ext,
+CASE c_custkey%7 WHEN 0 THEN 'MZ' WHEN 1 THEN '<?xml' WHEN 2 THEN 'time,lat' WHEN 3 THEN '' WHEN 4 THEN 'ftyp' ELSE repeat('x',64)||',' END AS body FROM {customer}"""
+
+
+@query("s14_landed_uploads", f"""SELECT 'u'||(n//100)||'/f'||n||ext AS rel_path, CAST(length(body) AS BIGINT) AS length, concat_ws(',', CASE WHEN lower(ext) NOT IN ('.mp4','.avi','.mkv','.csv','.gpx') THEN 'extension' END,
+CASE WHEN lower(ext) IN ('.mp4','.avi','.mkv') AND body='MZ' THEN 'executable' END, CASE WHEN lower(ext) IN ('.csv','.gpx') AND NOT contains(substr(body,1,64),'xml') AND NOT contains(substr(body,1,64),',') THEN 'gps_content' END) AS reasons
+FROM ({UPLOAD.replace("{customer}", "customer")})""")
+def s14_landed(spark, sf):
+    """Uploads in folders of a landing zone, checked by their names, sizes and heads."""
+    rows = spark.sql(UPLOAD.replace("{customer}", f"parquet.`{sf}/customer.parquet`"))
+    files = rows.select(F.expr("concat('u', n div 100, '/f', n, ext)").alias("rel_path"), F.col("body").alias("content"))
+    return intake.check_landed_uploads(spark, land_texts(files, "uploads")).select("rel_path", "length", F.array_join("reasons", ",").alias("reasons"))
+
+
+SHEET = """SELECT c_custkey div 50 AS f, c_custkey%50 AS k, c_custkey AS n, CASE WHEN c_custkey%50=17 THEN 'x7' WHEN c_custkey%50=21 THEN '-3' WHEN c_custkey%50 IN (30,33) THEN '5' ELSE CAST(c_custkey+10 AS VARCHAR(20)) END AS id,
+CASE WHEN c_custkey%40=3 THEN 'rutting' ELSE 'pothole' END AS cls, CASE WHEN c_custkey%60=4 THEN '999.0' WHEN c_custkey%60=5 THEN 'north' ELSE '13.5' END AS lat, CASE WHEN c_custkey%70=6 THEN '-181' ELSE '80.2' END AS lon FROM {customer}"""
+
+cte("sheet", SHEET.replace("{customer}", "customer").replace(" div ", "//"))
+
+
+@query("f14_truth_file", f"""SELECT f, k+2 AS row_no, CASE WHEN n%11=6 THEN 'columns' ELSE concat_ws(',', CASE WHEN id='x7' THEN 'id_not_integer' WHEN id='-3' THEN 'id_not_positive' WHEN k=33 AND EXISTS (SELECT 1 FROM sheet o WHERE o.f=s.f AND o.k=30 AND o.n%11<>6 AND o.n%13<>7) THEN 'id_duplicate' END,
+CASE WHEN cls<>'pothole' THEN 'class_unknown' END, CASE lat WHEN 'north' THEN 'lat_not_number' WHEN '999.0' THEN 'lat_range' END, CASE WHEN lon='-181' THEN 'lon_range' END) END AS errors
+FROM sheet s WHERE f%7<>3 AND f%7<>5 AND n%13<>7 UNION ALL SELECT DISTINCT f, 1, 'header' FROM sheet WHERE f%7=3 UNION ALL SELECT DISTINCT f, 0, 'empty_file' FROM sheet WHERE f%7=5""")
+def f14_file(spark, sf):
+    """Sheets of 50 rows: some with a byte-order mark, a wrong header or nothing at all; short rows,
+    blank rows, quoted notes over two lines, quotes inside a note."""
+    rows = spark.sql(SHEET.replace("{customer}", f"parquet.`{sf}/customer.parquet`"))
+    note = F.when(F.col("n") % 4 == 0, F.lit('"deep, wide\nnear ""kerb"""')).when(F.col("n") % 4 == 1, F.lit('5" wide')).otherwise(F.lit(""))
+    line = F.when(F.col("n") % 13 == 7, F.element_at(F.array(F.lit(""), F.lit(" , ,,,")), (F.col("n") % 2 + 1).cast("int"))).when(
+        F.col("n") % 11 == 6, F.concat_ws(",", "id", "cls", "lat")).otherwise(F.concat_ws(",", "id", F.concat(F.lit(" "), "cls"), "lat", "lon", note))
+    sheets = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))).alias("ls"))
+    head = F.when(F.col("f") % 7 == 3, F.lit("id,class,lat,lon,note\n")).when(F.col("f") % 7 == 1, F.lit("\ufeffdefect_id,class,lat,lon,severity_note\r\n")).otherwise(F.lit("defect_id, class,lat,lon,severity_note\n"))
+    body = F.when(F.col("f") % 7 == 5, F.lit("")).otherwise(F.concat(head, F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n")))
+    path = land_texts(sheets.select(F.concat(F.lit("s"), F.col("f").cast("string"), F.lit(".csv")).alias("rel_path"), body.alias("content")), "truth")
+    found = intake.check_truth_files(spark, path, ["pothole"])
+    return found.select(F.regexp_extract("file", "s([0-9]+)[.]csv$", 1).cast("bigint").alias("f"), "row_no", F.array_join("errors", ",").alias("errors"))
 
 
 def filled_store(spark, sf) -> SurveyStore:

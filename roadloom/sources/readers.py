@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom import schemas
-from roadloom.functions.text import epoch_seconds, extension
+from roadloom.functions.text import epoch_seconds
 from roadloom.operators.ranking import blocked_rank, blocked_running_sum
-from roadloom.session import cut
+from roadloom.sources.landing import landed_files
 
 
 def _strings(*names: str) -> T.StructType:
@@ -286,47 +286,10 @@ def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _list_folders(batches):
-    """Entries directly below each folder of the batches; runs in tasks."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    schema = pa.schema(
-        [("path", pa.string()), ("folder", pa.bool_()), ("mtime", pa.timestamp("us", tz="UTC")), ("length", pa.int64())]
-    )
-    for batch in batches:
-        for uri in batch.column("path").to_pylist():
-            store, name = fs.FileSystem.from_uri(uri)
-            found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "path": [f"{uri}/{f.base_name}" for f in found],
-                    "folder": [f.type == fs.FileType.Directory for f in found],
-                    "mtime": [f.mtime for f in found],
-                    "length": [f.size for f in found],
-                },
-                schema=schema,
-            )
-
-
 def inventory(spark: SparkSession, path: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """(path, rel_path, mtime, length, ext) of all files below a folder, empty ones included.
 
-    Folders are listed by tasks, one level per round (Spark's own file sources leave empty
-    files out). File contents are not read.
+    Contents are not read; the extensions are compared while listing.
     """
-    root = path.rstrip("/")
-    tasks = spark.sparkContext.defaultParallelism
-    frontier = spark.createDataFrame([(root,)], "path string")
-    levels = []
-    while True:
-        listed = cut(frontier.mapInArrow(_list_folders, "path string, folder boolean, mtime timestamp, length bigint"))
-        levels.append(listed.filter(~F.col("folder")).drop("folder"))
-        frontier = listed.filter("folder").select("path").repartition(tasks)
-        if frontier.isEmpty():
-            break
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionByName(level)
-    files = files.withColumn("rel_path", F.expr(f"substring(path, {len(root) + 2})")).withColumn("ext", extension(F.col("path")))
+    files = landed_files(spark, path).select("path", "rel_path", "mtime", "length", "ext")
     return files if extensions is None else files.filter(F.col("ext").isin(*extensions))
