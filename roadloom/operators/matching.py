@@ -14,6 +14,8 @@ from roadloom.session import cut
 
 CROWDED = 64
 FINEST_M = 0.01
+#: plain rounds before chains are looked for; most inputs are settled by then
+CHAINS_AFTER = 3
 
 
 def _sites(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,7 +50,9 @@ def greedy_match(left: DataFrame, right: DataFrame, radius_m: float, keys: Seque
     count: its ids are used up in ascending order. In a round, a place whose nearest free
     partners all have it as their own only nearest is matched with them in bulk, by rank;
     for the rest, pairs that come first for both of their places are taken one by one.
-    Where places are crowded the radius is widened in steps, which gives the same result
+    Every third round settles chains: where each pair waits for one closer pair alone, the first
+    decides all of them, found by doubling steps, so a line of growing gaps takes a logarithm
+    of its length. Where places are crowded the radius is widened in steps, which gives the same result
     because closer pairs come first anyway, and most places are used up before the wide
     steps.
     """
@@ -82,8 +86,10 @@ def greedy_match(left: DataFrame, right: DataFrame, radius_m: float, keys: Seque
                 f"{side}_site",
             )
         pairs = cut(pairs)
+        rounds = 0
         while not pairs.isEmpty():
-            new = cut(_round(pairs, l_ids, r_ids))
+            rounds += 1
+            new = cut(_round(pairs, l_ids, r_ids) if rounds % CHAINS_AFTER else _chains(pairs, l_ids, r_ids))
             matched.append(new)
             for side in ("l", "r"):
                 taken = tally([new], side).select(F.col("site").alias(f"{side}_site"), F.col("used").alias("k"))
@@ -102,6 +108,49 @@ def greedy_match(left: DataFrame, right: DataFrame, radius_m: float, keys: Seque
     return _union(matched).select("l_id", "r_id", "d")
 
 
+def _named(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
+    """Pairs with the next free id of either place."""
+    for side, ids in (("l", l_ids), ("r", r_ids)):
+        nxt = ids.select(F.col("site").alias(f"{side}_site"), F.col("id").alias(f"{side}_id"), (F.col("pos") - 1).alias(f"{side}_used"))
+        pairs = pairs.join(nxt, [f"{side}_site", f"{side}_used"])
+    return pairs
+
+
+def _chains(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
+    """Matches (l_site, r_site, l_id, r_id, d) that follow from chains of pairs.
+
+    A pair of places with one free id each, closer than all others of its places, is matched. If
+    just one pair of its places is closer, it is matched exactly if that one is not. Each pair
+    points to the one it waits for; pointers are doubled until they reach a settled pair, or
+    one that waits for several and is left to the next round.
+    """
+    named = _named(pairs, l_ids, r_ids)
+    at_l = Window.partitionBy("l_site").orderBy("d", "r_id")
+    at_r = Window.partitionBy("r_site").orderBy("d", "l_id")
+    ranked = named.withColumns({
+        "before": F.row_number().over(at_l) + F.row_number().over(at_r) - 2, "by_l": F.lag("r_site").over(at_l), "by_r": F.lag("l_site").over(at_r),
+    })
+    single = (F.col("l_left") == 1) & (F.col("r_left") == 1)
+    waits = single & (F.col("before") == 1)
+    state = cut(ranked.select(
+        "l_site", "r_site", "l_id", "r_id", "d", F.when(single & (F.col("before") == 0), True).alias("taken"),
+        F.when(waits, F.when(F.col("by_l").isNotNull(), F.col("l_site")).otherwise(F.col("by_r"))).alias("to_l"),
+        F.when(waits, F.when(F.col("by_l").isNotNull(), F.col("by_l")).otherwise(F.col("r_site"))).alias("to_r"), F.lit(True).alias("flip"),
+    ))
+    while not state.filter("taken is null and to_l is not null").isEmpty():
+        ahead = state.select(
+            F.col("l_site").alias("to_l"), F.col("r_site").alias("to_r"), F.col("taken").alias("a_taken"),
+            F.col("to_l").alias("a_l"), F.col("to_r").alias("a_r"), F.col("flip").alias("a_flip"),
+        )
+        found = F.when(F.col("a_taken").isNotNull(), F.col("a_taken") != F.col("flip"))
+        onward = F.col("a_taken").isNull() & F.col("a_l").isNotNull()
+        state = cut(state.join(ahead, ["to_l", "to_r"], "left").select(
+            "l_site", "r_site", "l_id", "r_id", "d", F.coalesce("taken", found).alias("taken"),
+            F.when(onward, F.col("a_l")).alias("to_l"), F.when(onward, F.col("a_r")).alias("to_r"), (F.col("flip") != F.coalesce("a_flip", F.lit(False))).alias("flip"),
+        ))
+    return state.filter("taken").select("l_site", "r_site", "l_id", "r_id", "d")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -163,10 +212,7 @@ def _round(pairs: DataFrame, l_ids: DataFrame, r_ids: DataFrame) -> DataFrame:
     if not facts["knots"]:
         return bulk_matched
     # places in a knot of equal distances: the pair that comes first for both ends, by next free id
-    named = near.filter("d = l_d or d = r_d")
-    for side, ids in (("l", l_ids), ("r", r_ids)):
-        nxt = ids.select(F.col("site").alias(f"{side}_site"), F.col("id").alias(f"{side}_id"), (F.col("pos") - 1).alias(f"{side}_used"))
-        named = named.join(nxt, [f"{side}_site", f"{side}_used"])
+    named = _named(near.filter("d = l_d or d = r_d"), l_ids, r_ids)
     l_first = named.filter("d = l_d").groupBy("l_site").agg(F.min("r_id").alias("l_pick"))
     r_first = named.filter("d = r_d").groupBy("r_site").agg(F.min("l_id").alias("r_pick"))
     singles = (

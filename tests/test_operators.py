@@ -424,3 +424,59 @@ def test_text_helpers(spark):
 
 def test_default_parameters():
     assert (DEFAULTS.merge_radius_m, DEFAULTS.match_radius_m, DEFAULTS.coverage_radius_m) == (5.0, 10.0, 15.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budget_walk_with_thousands_of_costs(spark, monkeypatch, seed):
+    """Phases stay below four for each binary digit of the budget, though nearly all items are refused."""
+    rng = random.Random(seed)
+    rows, budgets, want = [], [], {}
+    for survey in range(3):
+        n = 3000 if survey < 2 else 30
+        costs = [rng.choice([rng.randrange(1, 10**7), rng.randrange(1, 900), 0, 5000 * 2**rng.randrange(12)]) for _ in range(n)]
+        if survey == 1:
+            costs = sorted(range(10**6, 10**6 + n), reverse=True)
+        rows += [(survey, i + 1, c / 100) for i, c in enumerate(costs)]
+        for b, budget in enumerate([0, 1, rng.randrange(10**4), rng.randrange(10**6, 10**7), 10**9, -5]):
+            budgets.append((survey, b, budget / 100))
+            left = budget
+            for i, c in enumerate(costs):
+                if c <= left:
+                    left -= c
+                    want[survey, b, i + 1] = True
+            want[survey, b] = left
+    calls, phase = [], selection._phase
+    monkeypatch.setattr(selection, "_phase", lambda *a: calls.append(1) or phase(*a))
+    marked, left = selection.select_within_budget(
+        spark.createDataFrame(rows, "survey_id bigint, queue_rank bigint, estimated_cost double"),
+        spark.createDataFrame(budgets, "survey_id bigint, budget_id int, budget double"), block_rows=256,
+    )
+    got = {(r.survey_id, r.budget_id, r.queue_rank): True for r in marked.filter("selected").collect()}
+    got |= {(r.survey_id, r.budget_id): round(r.remaining * 100) for r in left.collect()}
+    assert got == want
+    assert marked.count() == len(rows) * 6 and len(calls) <= 4 * 30
+
+
+@pytest.mark.parametrize("order", ["growing", "shuffled"])
+def test_matching_along_a_line_of_growing_gaps(spark, monkeypatch, order):
+    """2 000 places in a row: each pair frees the next, yet the rounds stay below fifteen."""
+    rng = random.Random(4)
+    gaps = [0.5 + 0.004 * i for i in range(1999)]
+    if order == "shuffled":
+        rng.shuffle(gaps)
+    at, places = 0.0, [0.0]
+    for g in gaps:
+        at += g
+        places.append(at)
+    rows = [(i + 1, "D00", 13.0 + p / 111_194.93, 80.0) for i, p in enumerate(places)]
+    schema = "defect_id bigint, class_name string, lat double, lon double"
+    calls, one = [], matching._round
+    monkeypatch.setattr(matching, "_round", lambda *a: calls.append(1) or one(*a))
+    got = {(r.l_id, r.r_id) for r in matching.greedy_match(spark.createDataFrame(rows[::2], schema), spark.createDataFrame(rows[1::2], schema), 10.0).collect()}
+    free, want = set(range(1, 2001)), set()
+    pairs = [(round(hav(a[2:], b[2:]), 6), a[0], b[0]) for a in rows[::2] for b in rows[max(a[0] - 40, 0) : a[0] + 40] if b[0] % 2 == 0]
+    for d, a, b in sorted(pairs):
+        if d <= 10.0 and a in free and b in free:
+            want.add((a, b))
+            free -= {a, b}
+    assert got == want and len(calls) < 15
