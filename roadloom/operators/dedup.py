@@ -90,5 +90,11 @@ def deduplicate(
     return defects, positions.filter(F.col("lat").isNull()).drop("lat", "lon"), members
 
 
+def defect_tracks(defects: DataFrame, members: DataFrame) -> DataFrame:
+    """The member tracks of each defect: survey_id, defect_id and the columns of the track's closest approach."""
+    names = defects.select("survey_id", F.col("first_track").alias("component"), "defect_id")
+    return members.join(names, ["survey_id", "component"]).drop("component")
+
+
 def reduction_pct(before, after):
     return F.when(before > 0, (before - after) / before * 100.0).otherwise(F.lit(0.0))

@@ -296,42 +296,67 @@ def s13(spark, sf):
     return a.unionByName(b)
 
 
-@query("x01_streaming_closest_approach", "SELECT survey_id, track_id, n_obs, frame_idx, class_name, x1, y1, x2, y2 FROM o_rep")
+#: silence that ends a track (no two frames are that far apart), how late rows may be, and how far back the held-up rows lie
+SILENCE, LATENESS, HELD_UP = "20100 milliseconds", "5 seconds", 40
+LATE = f"track_id%97=5 AND frame_idx/5e0<=(SELECT max(frame_idx) FROM v_det)*75e-2/5e0-{HELD_UP}"
+cte("o_session", f"""SELECT *, sum(fresh) OVER (PARTITION BY survey_id, track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS part FROM (
+SELECT *, CASE WHEN frame_idx/5e0-lag(frame_idx/5e0) OVER (PARTITION BY survey_id, track_id ORDER BY frame_idx)<=201e-1 THEN 0 ELSE 1 END AS fresh FROM v_det WHERE track_id IS NOT NULL AND NOT ({LATE}))""")
+
+
+@query("x01_streaming_closest_approach", """SELECT survey_id, track_id, n_obs, frame_idx, class_name, x1, y1, x2, y2 FROM (SELECT *, count(*) OVER s AS n_obs,
+row_number() OVER (s ORDER BY y2 DESC, (x2-x1)*(y2-y1) DESC, confidence DESC, frame_idx, x1 DESC) AS rn FROM o_session WINDOW s AS (PARTITION BY survey_id, track_id, part)) WHERE rn=1 AND n_obs>=3""")
 def x01(spark, sf):
-    """Streams the detections from files; a last row far ahead in time closes all tracks."""
+    """Streams the detections in four batches by time. Tracks fall silent and return as new ones;
+    some early rows come with the last batch and are too late; a row far ahead closes all tracks."""
     source, target, state = (landing_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     d = view(spark, sf, "v_det")
-    rows = d.withColumn("ts", F.timestamp_seconds(START + F.col("frame_idx") / 5.0))
-    rows.write.parquet(source)
+    last = d.agg(F.max("frame_idx")).scalar()
+    held_up = (F.col("track_id") % 97 == 5) & (F.col("frame_idx") / 5.0 <= last * 0.75 / 5.0 - HELD_UP)
+    quarter = F.when(F.coalesce(held_up, F.lit(False)), 3).otherwise(F.least(F.floor(F.col("frame_idx") * 4 / last), F.lit(3)))
+    rows = cut(d.withColumn("ts", F.timestamp_seconds(START + F.col("frame_idx") / 5.0)).withColumn("quarter", quarter.cast("int")))
     end = rows.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"))
     ids = ("survey_id", "track_id")
     blank = [F.lit(-1 if f.name in ids else None).cast(f.dataType).alias(f.name) for f in d.schema.fields]
-    end.select(*blank, "ts").write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    (
-        live.closest_approach_stream(stream, "7 days", "1 minute", CFG)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", state)
-        .option("path", target)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+
+    def arrive(batch):
+        batch.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        (
+            live.closest_approach_stream(stream, SILENCE, LATENESS, CFG).writeStream.format("parquet").option("checkpointLocation", state).option("path", target)
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+
+    for q in range(4):
+        arrive(rows.filter(F.col("quarter") == q).drop("quarter"))
+    arrive(end.select(*blank, "ts"))
     return spark.read.parquet(target).select("survey_id", "track_id", "n_obs", "frame_idx", "class_name", "x1", "y1", "x2", "y2")
 
 
-@query("x02_streaming_survey_load", "SELECT survey_id, defect_id, class_name, severity, n_tracks, round(lat,6) AS lat, round(lon,6) AS lon FROM o_def")
+@query("x02_streaming_survey_load", """SELECT survey_id, class_name, severity, round(priority,6) AS priority, round(estimated_cost,2) AS estimated_cost, round(lat,6) AS lat, round(lon,6) AS lon, 'New' AS status, 'completed' AS survey_status,
+2 AS n_loads FROM o_queue""")
 def x02(spark, sf):
-    source, target, state = (landing_path(spark, n) for n in ("arrivals", "loaded", "load-state"))
+    """Detections arrive in two batches, those of some surveys in both; the second one runs twice."""
+    source, state = landing_path(spark, "arrivals"), landing_path(spark, "load-state")
     d = view(spark, sf, "v_det")
-    d.write.parquet(source)
-    stream = spark.readStream.schema(d.schema).parquet(source)
+    store = SurveyStore(spark, landing_path(spark, "store"))
+    known = surveys(spark, sf).select(
+        "survey_id", F.to_date("surveyed_on").alias("surveyed_on"), F.lit("route").alias("route_name"), F.lit("video.mp4").alias("source")
+    )
+    maps = {"vertices": view(spark, sf, "v_road_vertex"), "amenities": view(spark, sf, "v_amenity"), "frame_w": 1920, "frame_h": 1080}
 
     def read_surveys(touched):
-        gps = view(spark, sf, "v_gps").join(touched, "survey_id", "left_semi")
-        return spark.read.parquet(source).join(touched, "survey_id", "left_semi"), gps
-
-    live.load_surveys_stream(stream, read_surveys, target, state, CFG).awaitTermination()
-    return spark.read.parquet(target).select(
-        F.col("survey_id").cast("bigint").alias("survey_id"), "defect_id", "class_name", "severity", "n_tracks", deg("lat"), deg("lon")
+        here = [spark.read.parquet(source), view(spark, sf, "v_gps"), known]
+        detections, gps, rows = (df.join(touched, "survey_id", "left_semi") for df in here)
+        return rows, {"detections": detections, "gps": gps, **maps}
+
+    batch = F.when(F.col("survey_id") < 3, F.col("frame_idx") % 2).otherwise(F.col("survey_id") % 2)
+    for n in range(2):
+        d.filter(batch == n).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(d.schema).parquet(source)
+        live.load_surveys_stream(stream, read_surveys, store, state, cfg=CFG).awaitTermination()
+    live.batch_loader(read_surveys, store, "arrivals", CFG)(d.filter(batch == 1), 1)  # has run already: nothing happens
+    done = store.read("surveys").select("survey_id", F.col("status").alias("survey_status"))
+    return store.read("defects").join(done, "survey_id").select(
+        F.col("survey_id").cast("bigint").alias("survey_id"), "class_name", "severity", deg("priority"), F.round("estimated_cost", 2).alias("estimated_cost"),
+        deg("lat"), deg("lon"), "status", "survey_status", store.read("loads").agg(F.count("*")).scalar().cast("int").alias("n_loads"),
     )

@@ -1,6 +1,7 @@
 """Survey relations derived from the driver's tables, as one text for Spark and for the oracle.
 
-``{table}`` marks a base table, `` div `` integer division and ``{K5}`` the numbers 0..4.
+``{table}`` marks a base table, `` div `` integer division, ``{K5}`` and ``{K8}`` the numbers from 0 to
+4 and 7, ``{E1}`` to ``{E8}`` the values of the ``k``-th eight of an embedding.
 All rows of the tables take part.
 """
 
@@ -89,12 +90,9 @@ SELECT c_custkey+2 AS row_no, CASE WHEN c_custkey%50=0 THEN 'x7' WHEN c_custkey%
        CASE WHEN c_custkey%60=4 THEN '999.0' WHEN c_custkey%60=5 THEN 'north' ELSE '13.5' END AS lat, CASE WHEN c_custkey%70=6 THEN '-181' ELSE '80.2' END AS lon
 FROM {customer}""",
     "v_raw_pred": """
-SELECT vec_id div 10 AS image_id, vec_id%10 AS pos,
-       320+400*CAST({E1} AS DOUBLE) AS cx, 320+400*CAST({E2} AS DOUBLE) AS cy,
-       120+200*abs(CAST({E3} AS DOUBLE)) AS w, 120+200*abs(CAST({E4} AS DOUBLE)) AS h,
-       4*abs(CAST({E5} AS DOUBLE)) AS s1, 4*abs(CAST({E6} AS DOUBLE)) AS s2,
-       4*abs(CAST({E7} AS DOUBLE)) AS s3, 4*abs(CAST({E8} AS DOUBLE)) AS s4
-FROM {embeddings}""",
+SELECT vec_id div 10 AS image_id, vec_id%10*8+k AS pos, 320+400*{E1} AS cx, 320+400*{E2} AS cy, 120+200*abs({E3}) AS w, 120+200*abs({E4}) AS h,
+       4*abs({E5}) AS s1, 4*abs({E6}) AS s2, 4*abs({E7}) AS s3, 4*abs({E8}) AS s4
+FROM (SELECT vec_id, embedding, CAST(k AS BIGINT) AS k FROM (SELECT vec_id, embedding, {K8} AS k FROM {embeddings}) v) e""",
 }
 
 # twenty pairs of surveys with the same ids and places in each pair
@@ -105,16 +103,16 @@ for _name, _key in (("v_old", "c_custkey"), ("v_new", "o_orderkey"), ("v_path",
 
 
 def spark_text(name: str, sf_dir: str) -> str:
-    out = VIEWS[name].replace("{K5}", "explode(sequence(0,4))")
-    out = re.sub(r"\{E(\d)\}", r"element_at(embedding,\1)", out)
+    out = VIEWS[name].replace("{K5}", "explode(sequence(0,4))").replace("{K8}", "explode(sequence(0,7))")
+    out = re.sub(r"\{E(\d)\}", r"CAST(element_at(embedding,CAST(8*k+\1 AS INT)) AS DOUBLE)", out)
     for t in TABLES:
         out = out.replace("{" + t + "}", f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`")
     return out
 
 
 def duck_text(name: str) -> str:
-    out = VIEWS[name].replace("{K5}", "unnest(range(5))").replace(" div ", " // ")
-    out = re.sub(r"\{E(\d)\}", r"embedding[\1]", out)
+    out = VIEWS[name].replace("{K5}", "unnest(range(5))").replace("{K8}", "unnest(range(8))").replace(" div ", " // ")
+    out = re.sub(r"\{E(\d)\}", r"CAST(embedding[8*k+\1] AS DOUBLE)", out)
     for t in TABLES:
         out = out.replace("{" + t + "}", t)
     return out

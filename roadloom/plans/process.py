@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.config import DEFAULTS, Settings
-from roadloom.operators import dedup, priority, segments
+from roadloom.operators import dedup, priority, segments, verification
 from roadloom.operators.temporal import chainage
 from roadloom.session import cut
 from roadloom.sources.store import SurveyStore
@@ -50,6 +50,30 @@ def process_surveys(
     return SurveyRun(ranked, rated, members, lost)
 
 
+def verify_in_store(store: SurveyStore, pairs: DataFrame, traces: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Verifies stored surveys against their re-surveys and writes the outcomes back.
+
+    ``pairs``: old_survey, new_survey (a survey is in one pair of a call); ``traces``: survey_id,
+    lat, lon. Both surveys' defects take their new status, flags and link to the earlier defect.
+    Returns what was written: survey_id, defect_id, side, status, recurrence, unverified,
+    matched_prev_id.
+    """
+    pairs = cut(pairs.select("old_survey", "new_survey", F.col("old_survey").alias("pair_id")))
+    stored = store.read("defects")
+    old, new = (
+        cut(stored.join(pairs.select("pair_id", F.col(f"{side}_survey").alias("survey_id")), "survey_id").select("pair_id", "defect_id", "class_name", "lat", "lon", "status"))
+        for side in ("old", "new")
+    )
+    path = traces.select("survey_id", "lat", "lon").join(pairs.select("pair_id", F.col("new_survey").alias("survey_id")), "survey_id").select("pair_id", "lat", "lon")
+    out = verification.verify(old, new.drop("status"), path, cfg, ["pair_id"]).join(pairs, "pair_id")
+    changes = cut(out.select(
+        F.when(F.col("side") == "old", F.col("old_survey")).otherwise(F.col("new_survey")).alias("survey_id"),
+        "defect_id", "side", "status", "recurrence", "unverified", "matched_prev_id",
+    ))
+    store.update_defects(changes)
+    return changes
+
+
 def load_surveys(store: SurveyStore, surveys: DataFrame, run_inputs: dict, cfg: Settings = DEFAULTS) -> SurveyRun:
     """Registers surveys, processes them and stores the results; a failure is kept as their status.
 

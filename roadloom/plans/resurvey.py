@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from roadloom.config import STATUSES
 from roadloom.functions import text
 from roadloom.operators import dataset, matching, metrics, spatial, verification
+from roadloom.operators.ranking import blocked_rank
 from roadloom.operators.temporal import route_length_km
 from roadloom.plans import roads  # noqa: F401  (its oracle definitions)
 from roadloom.plans.fixtures import view
+from roadloom.plans.process import verify_in_store
 from roadloom.plans.registry import cte, hav, query, shared
 from roadloom.plans.telemetry import CFG, chain, deg, defects, met
-from roadloom.session import cut
+from roadloom.session import cut, landing_path
+from roadloom.sources.store import SurveyStore
 
 RATERS = ["rater_1", "rater_2", "rater_3"]
 
@@ -74,17 +77,43 @@ cte("o_many_match", "SELECT g//1000000 AS pair_id, o_id, n_id FROM o_m_match")
 cte("o_many_covered", f"SELECT pair_id, defect_id, EXISTS (SELECT 1 FROM v_pair_path p WHERE p.pair_id=o.pair_id AND abs(p.lat-o.lat)<2e-4 AND {hav('o.lat', 'o.lon', 'p.lat', 'p.lon')}<=15e0) AS covered FROM v_pair_old o")
 
 
-@query("q04_verify_pairs", """SELECT o.pair_id, 'old' AS side, o.defect_id, o.class_name, CASE WHEN m.o_id IS NOT NULL THEN CASE WHEN status='Repaired' THEN 'Failed' ELSE 'Open' END WHEN covered THEN 'Repaired' ELSE status END AS status,
+cte("o_pair_outcome", """SELECT o.pair_id, 'old' AS side, o.defect_id, o.class_name, CASE WHEN m.o_id IS NOT NULL THEN CASE WHEN status='Repaired' THEN 'Failed' ELSE 'Open' END WHEN covered THEN 'Repaired' ELSE status END AS status,
 m.o_id IS NOT NULL AND status='Repaired' AS recurrence, m.o_id IS NULL AND NOT covered AS unverified, CAST(NULL AS BIGINT) AS matched_prev_id
 FROM v_pair_old o LEFT JOIN o_many_match m ON m.o_id=o.defect_id AND m.pair_id=o.pair_id JOIN o_many_covered c ON c.defect_id=o.defect_id AND c.pair_id=o.pair_id
 UNION ALL SELECT n.pair_id, 'new', n.defect_id, n.class_name, CASE WHEN m.o_id IS NULL THEN 'New' WHEN o.status='Repaired' THEN 'Failed' ELSE 'Open' END, coalesce(o.status='Repaired',false), false, m.o_id
 FROM v_pair_new n LEFT JOIN o_many_match m ON m.n_id=n.defect_id AND m.pair_id=n.pair_id LEFT JOIN v_pair_old o ON o.defect_id=m.o_id AND o.pair_id=m.pair_id""")
+
+
+@query("q04_verify_pairs", "SELECT * FROM o_pair_outcome")
 def q04_pairs(spark, sf):
     """Twenty re-surveys in one job; their defects share ids and places."""
     old, new, path = (view(spark, sf, f"v_pair_{side}") for side in ("old", "new", "path"))
     return verification.verify(old, new, path, CFG, ["pair_id"])
 
 
+cte("o_wb", "SELECT *, CAST(row_number() OVER (ORDER BY survey_id, defect_id) AS BIGINT) AS stored_id FROM (SELECT pair_id*2 AS survey_id, defect_id FROM v_pair_old UNION ALL SELECT pair_id*2+1, defect_id FROM v_pair_new)")
+
+
+@query("q04_write_back", """SELECT w.survey_id, w.stored_id AS defect_id, v.class_name, v.status, v.recurrence, v.unverified, p.stored_id AS matched_prev_id FROM o_pair_outcome v
+JOIN o_wb w ON w.survey_id=v.pair_id*2+CASE side WHEN 'new' THEN 1 ELSE 0 END AND w.defect_id=v.defect_id LEFT JOIN o_wb p ON p.survey_id=v.pair_id*2 AND p.defect_id=v.matched_prev_id""")
+def q04_write_back(spark, sf):
+    """Twenty stored surveys and their re-surveys: verified in the store, which is then read again."""
+    old, new, path = (view(spark, sf, f"v_pair_{side}") for side in ("old", "new", "path"))
+    blank = {c: F.lit(0.0) for c in ("area_px", "confidence", "x1", "y1", "x2", "y2")} | {"severity": F.lit("Low")}
+    rows = old.withColumn("survey_id", F.col("pair_id") * 2).drop("pair_id").unionByName(
+        new.select((F.col("pair_id") * 2 + 1).alias("survey_id"), "defect_id", "class_name", "lat", "lon", F.lit("New").alias("status"))
+    )
+    store = SurveyStore(spark, landing_path(spark, "store"))
+    store.add_defects(rows.withColumns(blank))
+    known = blocked_rank(rows, [], "defect_id", "stored", lead=[("survey_id", True)]).filter("status <> 'New'")
+    store.update_defects(known.select("survey_id", F.col("stored").alias("defect_id"), "status", F.lit(None).cast("bigint").alias("matched_prev_id"), F.lit(False).alias("recurrence"), F.lit(False).alias("unverified")))
+    pairs = old.select((F.col("pair_id") * 2).alias("old_survey"), (F.col("pair_id") * 2 + 1).alias("new_survey")).distinct()
+    verify_in_store(store, pairs, path.withColumn("survey_id", F.col("pair_id") * 2 + 1), CFG)
+    return store.read("defects").select(
+        F.col("survey_id").cast("bigint").alias("survey_id"), "defect_id", "class_name", "status", "recurrence", "unverified", "matched_prev_id"
+    )
+
+
 @query("j06_coverage", "SELECT defect_id, covered FROM o_covered")
 def j06(spark, sf):
     return verification.covered_by(view(spark, sf, "v_old"), view(spark, sf, "v_path"), CFG).select("defect_id", "covered")

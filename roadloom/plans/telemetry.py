@@ -249,6 +249,34 @@ def c04(spark, sf):
     )
 
 
+@query("c04_defect_tracks", "SELECT m.survey_id, d.defect_id, m.track_id, m.frame_idx, m.class_name FROM o_member m JOIN o_def d ON d.survey_id=m.survey_id AND d.component=m.component")
+def c04_tracks(spark, sf):
+    found = dedup.defect_tracks(defects(spark, sf), members(spark, sf))
+    return found.select("survey_id", "defect_id", "track_id", "frame_idx", "class_name")
+
+
+@query("a02_defect_boxes", "SELECT survey_id, defect_id, x1, y1, x2, y2, frame_w, frame_h FROM o_def")
+def a02_boxes(spark, sf):
+    return defects(spark, sf).select("survey_id", "defect_id", "x1", "y1", "x2", "y2", "frame_w", "frame_h")
+
+
+CLOCK = "SELECT DISTINCT survey_id, CASE survey_id%3 WHEN 0 THEN 7e0 WHEN 1 THEN 11e0 ELSE 0e0 END AS fps, 12345678e-7*(survey_id+1) AS offset_s FROM v_det WHERE survey_id<>7"
+cte("o_clocked", f"SELECT r.* EXCLUDE (t), r.frame_idx/CASE WHEN fps IS NULL THEN 5e0 WHEN fps>0 THEN fps ELSE 3e1 END+coalesce(offset_s,0e0) AS t FROM o_rep r LEFT JOIN ({CLOCK}) c USING (survey_id)")
+cte("o_clock_hit", """SELECT r.survey_id, r.track_id, r.t, e.p_t, e.timestamp_s, e.p_lat, e.p_lon, e.lat, e.lon, row_number() OVER (PARTITION BY r.survey_id, r.track_id ORDER BY e.seq) AS rn
+FROM o_clocked r JOIN o_edge e ON r.survey_id=e.survey_id AND r.t BETWEEN e.p_t AND e.timestamp_s""")
+
+
+@query("g13_survey_clocks", """SELECT r.survey_id, r.track_id, round(r.t,6) AS t, round(CASE WHEN h.timestamp_s-h.p_t<=5e0 THEN CASE WHEN h.timestamp_s=h.p_t THEN h.p_lat ELSE h.p_lat+(h.t-h.p_t)/(h.timestamp_s-h.p_t)*(h.lat-h.p_lat) END END,6) AS lat,
+round(CASE WHEN h.timestamp_s-h.p_t<=5e0 THEN CASE WHEN h.timestamp_s=h.p_t THEN h.p_lon ELSE h.p_lon+(h.t-h.p_t)/(h.timestamp_s-h.p_t)*(h.lon-h.p_lon) END END,6) AS lon
+FROM o_clocked r LEFT JOIN o_clock_hit h ON h.survey_id=r.survey_id AND h.track_id=r.track_id AND h.rn=1""")
+def g13_clocks(spark, sf):
+    """Tracks located with a frame rate and clock offset per survey; one survey has none given."""
+    det = view(spark, sf, "v_det")
+    clocks = spark.sql(CLOCK.replace("v_det", "{det}"), det=det)
+    found = dedup.locate(det, view(spark, sf, "v_gps"), CFG, clocks)
+    return found.select("survey_id", "track_id", deg("t"), deg("lat"), deg("lon"))
+
+
 @query("a18_dedup_reduction", """SELECT survey_id, n_before, n_after, round((n_before-n_after)*1e2/n_before,4) AS reduction_pct FROM
 (SELECT survey_id, count(*) AS n_before FROM o_loc GROUP BY survey_id) JOIN (SELECT survey_id, count(*) AS n_after FROM o_def GROUP BY survey_id) USING (survey_id)""")
 def a18(spark, sf):

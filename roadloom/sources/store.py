@@ -1,4 +1,4 @@
-"""The survey store: three Parquet tables partitioned by survey, and report files."""
+"""The survey store: three Parquet tables partitioned by survey, a ledger of loads, and report files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from roadloom import schemas
 from roadloom.operators.ranking import blocked_rank
 from roadloom.session import cut
 
-TABLES = {"surveys": schemas.SURVEY, "defects": schemas.DEFECT, "segments": schemas.SEGMENT}
+TABLES = {"surveys": schemas.SURVEY, "defects": schemas.DEFECT, "segments": schemas.SEGMENT, "loads": "stream string, epoch bigint, finished_at timestamp"}
 IDS = {"defects": "defect_id", "segments": "segment_id"}
 
 
@@ -112,6 +112,14 @@ class SurveyStore:
             merged = merged.withColumn(f, F.when(F.col("_hit"), F.col(f"_{f}")).otherwise(F.col(f)))
         self._write(cut(merged), "defects", "overwrite")
 
+    def finish_load(self, stream: str, epoch: int) -> None:
+        """Enters a finished micro-batch in the ledger."""
+        row = self.spark.range(1).select(F.lit(stream).alias("stream"), F.lit(epoch).cast("bigint").alias("epoch"), F.current_timestamp().alias("finished_at"))
+        row.write.mode("append").parquet(self._path("loads"))
+
+    def has_load(self, stream: str, epoch: int) -> bool:
+        return not self.read("loads").filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
+
     # lookups: partition pruning on survey_id, row-group pruning on defect_id
     def survey(self, survey_id: int) -> DataFrame:
         return self.read("surveys").filter(F.col("survey_id") == survey_id)
