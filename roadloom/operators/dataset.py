@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,25 +238,54 @@ def orientation_features(crops: DataFrame) -> DataFrame:
     )
 
 
-def orientation_baseline(features: DataFrame, max_iter: int = 1000) -> DataFrame:
+def logistic_fit(rows: DataFrame, inputs: Sequence[str], target: str, penalty: float = 1.0, steps: int = 50) -> list[float] | None:
+    """Intercept and weights that minimise the summed log loss plus ``penalty`` / 2 times the squared weights.
+
+    Newton's steps, that is weighted least squares: each is one aggregation of the gradient and of
+    the upper half of the curvature, of a size fixed by ``inputs``. The intercept isn't penalised. None
+    if ``rows`` are empty; where one class is alone, the steps end once its score is beyond doubt.
+    """
+    x = [F.lit(1.0), *[F.col(c) for c in inputs]]
+    size = len(x)
+    beta = np.zeros(size)
+    ridge = np.diag([0.0] + [penalty] * len(inputs))
+    for _ in range(steps):
+        score = sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+        p = 1.0 / (1.0 + F.exp(-score))
+        pulls = [F.sum((F.col(target) - p) * c) for c in x]
+        bends = [F.sum(p * (1.0 - p) * x[a] * x[b]) for a in range(size) for b in range(a, size)]
+        row = rows.agg(F.count("*"), *pulls, *bends).first()
+        if not row[0]:
+            return None
+        curve = ridge.copy()
+        values = iter(row[1 + size :])
+        for a in range(size):
+            for b in range(a, size):
+                v = next(values)
+                curve[a, b] += v
+                if a != b:
+                    curve[b, a] += v
+        if np.linalg.cond(curve) > 1e14:
+            break
+        step = np.linalg.solve(curve, np.array(row[1 : 1 + size]) - ridge @ beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10 or abs(beta[0]) > 30:
+            break
+    return [float(b) for b in beta]
+
+
+def orientation_baseline(features: DataFrame, max_iter: int = 50) -> DataFrame:
     """Logistic regression on train crops, scored on val crops: one row per class.
 
     Columns: class, support, precision, recall, accuracy. An absent class has no scores.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
     y = F.when(F.col("label") == "transverse", F.lit(1.0)).otherwise(F.lit(0.0))
-    ready = VectorAssembler(inputCols=["aspect", "is_wider"], outputCol="features").transform(features.withColumn("y", y))
-    # C = 1 on the summed loss equals a penalty of 1/n on the mean loss
-    train = ready.filter("split = 'train'")
-    n = train.count()
-    if n == 0:
+    ready = features.withColumn("y", y)
+    beta = logistic_fit(ready.filter("split = 'train'"), ["aspect", "is_wider"], "y", steps=max_iter)
+    if beta is None:
         return features.sparkSession.createDataFrame([], "class string, support bigint, precision double, recall double, accuracy double")
-    model = LogisticRegression(
-        labelCol="y", maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False
-    ).fit(train)
-    scored = model.transform(ready.filter("split = 'val'")).select("y", "prediction")
+    score = F.lit(beta[0]) + F.lit(beta[1]) * F.col("aspect") + F.lit(beta[2]) * F.col("is_wider")
+    scored = ready.filter("split = 'val'").select("y", F.when(score > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction"))
     names = features.sparkSession.range(1).select(
         F.explode(F.array(F.struct(F.lit("longitudinal").alias("class"), F.lit(0.0).alias("id")), F.struct(F.lit("transverse").alias("class"), F.lit(1.0).alias("id")))).alias("c")
     ).select("c.*")

@@ -108,7 +108,20 @@ def a17(spark, sf):
     )
 
 
-@query("a20_orientation_baseline")
+# the model's steps written out: each a weighted least-squares solution by determinants
+cte("o_ori", "SELECT split, (x2-x1)/CAST(y2-y1 AS DOUBLE) AS a, CASE WHEN x2-x1>y2-y1 THEN 1e0 ELSE 0e0 END AS w, CASE label WHEN 'transverse' THEN 1e0 ELSE 0e0 END AS y FROM o_crop")
+cte("o_newton0", "SELECT 0e0 AS b0, 0e0 AS b1, 0e0 AS b2")
+NEWTON = 14
+for _k in range(NEWTON):
+    cte(f"o_newton{_k + 1}", f"""SELECT b0+(g0*(h11*h22-h12*h12)-h01*(g1*h22-h12*g2)+h02*(g1*h12-h11*g2))/det AS b0, b1+(h00*(g1*h22-g2*h12)-g0*(h01*h22-h12*h02)+h02*(h01*g2-g1*h02))/det AS b1,
+b2+(h00*(h11*g2-h12*g1)-h01*(h01*g2-g1*h02)+g0*(h01*h12-h11*h02))/det AS b2 FROM (SELECT *, h00*(h11*h22-h12*h12)-h01*(h01*h22-h12*h02)+h02*(h01*h12-h11*h02) AS det FROM (
+SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(y-p) AS g0, sum((y-p)*a)-any_value(b1) AS g1, sum((y-p)*w)-any_value(b2) AS g2, sum(q) AS h00, sum(q*a) AS h01, sum(q*w) AS h02,
+sum(q*a*a)+1e0 AS h11, sum(q*a*w) AS h12, sum(q*w*w)+1e0 AS h22 FROM (SELECT *, p*(1e0-p) AS q FROM (SELECT o.*, b.*, 1e0/(1e0+exp(-(b0+b1*a+b2*w))) AS p FROM o_ori o, o_newton{_k} b WHERE split='train'))))""")
+
+
+@query("a20_orientation_baseline", f"""SELECT c.class, CAST(count_if(y=id) AS BIGINT) AS support, CASE WHEN count_if(y=id)>0 THEN CASE WHEN count_if(said=id)>0 THEN count_if(y=id AND said=id)/count_if(said=id) ELSE 0e0 END END AS precision,
+CASE WHEN count_if(y=id)>0 THEN count_if(y=id AND said=id)/count_if(y=id) END AS recall, count_if(y=said)/count(*) AS accuracy
+FROM (SELECT y, CASE WHEN b0+b1*a+b2*w>0 THEN 1e0 ELSE 0e0 END AS said FROM o_ori, o_newton{NEWTON} WHERE split='val'), (SELECT 'longitudinal' AS class, 0e0 AS id UNION ALL SELECT 'transverse', 1e0) c GROUP BY c.class""")
 def a20(spark, sf):
     return dataset.orientation_baseline(cut(dataset.orientation_features(f17(spark, sf))))
 
