@@ -22,12 +22,10 @@ def _split(text: Column | str) -> Column:
 
 
 def _fold(text: Column | str) -> Column:
-    """Words for the candidate search only: ``lower`` also folds other letters and is faster.
-
-    It never turns a word character into a separator or back, so positions are the same, and
-    equal words stay equal: candidates can only be too many, and they are verified.
-    """
-    return F.coalesce(_split(F.lower(text)), F.array().cast("array<string>"))
+    """The same words. In pure ASCII ``lower`` does just that and is faster; beyond it, it folds
+    letters by their neighbours (a last sigma), so there only A-Z are replaced."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.coalesce(_split(F.when(plain, F.lower(text)).otherwise(ascii_lower(text))), F.array().cast("array<string>"))
 
 
 def _block(array: str, start: str, size: int) -> str:
@@ -60,7 +58,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     windows = landed(_window_items(benchmark, window).select("win", "len").distinct(), "windows")
     # blocks of every window: all places, as the document's grid may lie anywhere
     blocks = (
-        windows.withColumn("_w", F.split(F.lower("win"), " "))
+        windows.withColumn("_w", F.split("win", " "))
         .withColumn("size", F.expr("cast((len + 1) div 2 as int)"))
         .withColumn("_s", F.explode(F.expr("sequence(0, len - size)")))
         .withColumn("_h", F.coalesce(*[
