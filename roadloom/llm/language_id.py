@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,9 +233,9 @@ def _score(texts: list[str], model: Models) -> pd.DataFrame:
     return pd.DataFrame({"letters": np.array(letters, dtype="int64"), "entropy": pd.Series(entropy, dtype="object")})
 
 
-def cross_entropies(docs: DataFrame, models: Models) -> DataFrame:
+def cross_entropies(docs: DataFrame, models: Models) -> tuple[DataFrame, Broadcast]:
     """Adds letters (long) and entropy (array of nats per letter and word end, by language;
-    null for a text without letters) to ``docs``, which has ``text``."""
+    null for a text without letters) to ``docs``, which has ``text``; and the broadcast models, to be destroyed after use."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("letters long, entropy array<double>")
@@ -249,9 +250,10 @@ def cross_entropies(docs: DataFrame, models: Models) -> DataFrame:
         parts.append(_score(held, shared.value))
         return pd.concat(parts, ignore_index=True)
 
-    return docs.withColumn("_s", score("text")).select(
+    scores = docs.withColumn("_s", score("text")).select(
         *docs.columns, F.col("_s.letters").alias("letters"), F.col("_s.entropy").alias("entropy")
     )
+    return scores, shared
 
 
 def identify(docs: DataFrame, learn) -> DataFrame:
@@ -282,7 +284,10 @@ def keep_identified(docs: DataFrame, learn) -> DataFrame:
 def _identified(docs: DataFrame, learn) -> DataFrame:
     tidy = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("_tx"), F.coalesce(learn, F.lit(False)).alias("_learn"))
     models = fit(tidy.filter("_learn and lang is not null and text is not null"))
-    scored = landed(cross_entropies(tidy, models).drop("text"), "entropies")
+    scores, shared = cross_entropies(tidy, models)
+    scored = landed(scores.drop("text"), "entropies")
+    shared.destroy()
+    models, scores = Models(models.langs, [], [], [], [], models.floor), None  # the arrays have done their work
     langs = F.array(*[F.lit(x) for x in models.langs]) if models.langs else F.array().cast("array<string>")
     # calibration: rows of the language and of the others, one aggregate row per language
     fits = (
