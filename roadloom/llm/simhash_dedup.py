@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -144,7 +145,7 @@ def _none(fps: DataFrame) -> DataFrame:
     return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("false")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """Fingerprint and near-duplicate class of every document.
 
     ``docs``: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the
@@ -152,16 +153,17 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     included). Null, empty and wordless texts have fingerprint zero and link like any other.
     Copies are one fingerprint before anything is joined. Repeated rows get a row each; a
     null doc_id takes part but never names a class unless all ids of the class are null.
-    Other columns are not read.
+    Other columns are not read, except those in ``carry``, which come along with ``class_fp``: a
+    fingerprint that names the class whatever its ids are.
     """
-    marked = landed(docs.select(F.col("doc_id"), simhash(F.coalesce("text", F.lit(""))).alias("fp")), "simhash")
+    marked = landed(docs.select(*carry, F.col("doc_id"), simhash(F.coalesce("text", F.lit(""))).alias("fp")), "simhash")
     classes = landed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     comp = landed(connected_components(near_links(classes.select("fp"), budget)), "simhash-components")
     named = classes.join(comp, classes.fp == comp.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("c")
     )
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "c").select("fp", "component_id")
+    named = named.join(smallest, "c").select("fp", "component_id", F.col("c").alias("class_fp"))
     return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry, *(["class_fp"] if carry else [])
     )

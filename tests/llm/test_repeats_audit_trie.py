@@ -227,3 +227,33 @@ def compare(spark, folder, name, tables):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+# ---------------------------------------------------------------- earlier operators
+
+
+def test_decontamination_folds_only_ascii(spark, tmp_path):
+    from roadloom.llm import decontamination
+
+    greek = [f"ΛΟΓΟ{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚΛΜ"]
+    odd = ["İstanbul", "Kelvin", "kelvin", "ΟΔΟΣ", "οδος", "οδοσ", "Straße", "STRASSE", "ǅ", "One", "two", "III"]
+    items = [(1, ".".join(greek)), (2, " ".join(odd)), (3, "kelvin ss")]
+    texts = [".".join(greek), " ".join(greek), "x " + "/".join(odd), " ".join(odd).replace("One", "oNE"), " ".join(odd).lower(), "Kelvin ss", "KELVIN SS", None]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.contamination(docs, bench).collect()}
+    assert got[0] == got[1] == (12, 12, 1) and got[2] == (13, 12, 1) and got[3] == (12, 12, 1)
+    assert got[4][1:] == (0, 0) and got[5][1:] == (0, 0) and got[6] == (2, 2, 1) and got[7] == (0, 0, 0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    compare(spark, tmp_path, "op3_decontamination", ["documents", "benchmark"])
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    long = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(5, long[0], "s"), (5, long[1], "s"), (3, long[1], "s"), (None, long[2], "s"), (None, long[2], "s"), (None, long[0], "s"), (8, long[1], "s"), (9, "", "s"), (10, None, "s")]
+    kept = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, long[0]), (3, long[1]), (None, long[2]), (9, "")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, documents(spark, rows).filter("false"), "").count() == 0
