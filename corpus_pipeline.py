@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import decontamination, language_id, line_dedup, packing, simhash_dedup
-from roadloom.llm.common import landed
+from roadloom.llm.common import landed, wide_hash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,12 +26,14 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the row with the smallest id; of equal rows one."""
-    classes = simhash_dedup.near_duplicates(docs)
-    first = landed(
-        classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")), "first-of-class"
-    ).withColumnRenamed("doc_id", "__doc")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__doc"])).drop("__doc")
+    """One document of each class: the row with the smallest id (null last; ties by a hash of the text);
+    of equal rows one. Empty and null texts are one class."""
+    text = wide_hash("text")
+    classes = simhash_dedup.near_duplicates(docs.withColumn("__text", text), carry=["__text"])
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__text")
+    first = classes.groupBy("class_fp", "doc_id", "__text").agg(F.count("*").alias("__rows")).groupBy("class_fp").agg(F.min_by(F.struct("doc_id", "__text", "__rows"), row).alias("f"))
+    first = landed(first.select(F.col("f.doc_id").alias("__doc"), F.col("f.__text").alias("__text"), F.col("f.__rows").alias("__rows")), "first-of-class")
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__doc"]) & (wide_hash(docs["text"]) == first["__text"])).drop("__doc", "__text")
     single = kept.filter("__rows = 1").drop("__rows")
     if first.filter("__rows > 1").isEmpty():
         return single
