@@ -30,32 +30,36 @@ def decode(predictions: DataFrame, names: Sequence[str] = CLASS_CODES, cfg: Sett
     )
 
 
+#: boxes of a block beyond which it is divided along y too; overlaps of an image that one task walks
+CROWDED, WALKED = 64, 1_000_000
+
+
 def _side(alias: str) -> dict:
     return {c: F.col(f"{alias}.{c}") for c in BOX}
 
 
-def _scale_keys(threshold: float) -> tuple[Column, Column]:
-    """Blocking key of a box, and the keys of every box whose overlap may exceed the threshold.
+def _scale_keys(threshold: float, lo: str, hi: str) -> tuple[Column, Column]:
+    """Blocking key of a box along one axis, and the keys of every box whose overlap may exceed the threshold.
 
-    Overlap t needs widths within a factor 1/t and centres within (1 - t) / (1 + t) of the
-    mean width. Boxes are keyed by their width class and by the position
+    Overlap t needs sides within a factor 1/t and centres within (1 - t) / (1 + t) of the
+    mean side. Boxes are keyed by the class of their side and by the position
     of their centre on that class's own grid.
     """
     t = threshold
     base = 1.0 / t
-    w, cx = F.col("x2") - F.col("x1"), (F.col("x1") + F.col("x2")) / 2.0
+    w, c = F.col(hi) - F.col(lo), (F.col(lo) + F.col(hi)) / 2.0
     k = F.floor(F.log(w) / F.lit(math.log(base)))
 
     def pitch(k: Column) -> Column:
         return F.pow(F.lit(base), k + 1.0) * ((1.0 - t) / (1.0 + t))
 
-    own = F.struct(k.alias("k"), F.floor(cx / pitch(k)).alias("p"))
+    own = F.struct(k.alias("k"), F.floor(c / pitch(k)).alias("p"))
 
     def near(dk: Column) -> Column:
         kk = k + dk
         reach = (w + F.pow(F.lit(base), kk + 1.0)) * (1.000001 * (1.0 - t) / (2.0 * (1.0 + t)))
         return F.transform(
-            F.sequence(F.floor((cx - reach) / pitch(kk)), F.floor((cx + reach) / pitch(kk))),
+            F.sequence(F.floor((c - reach) / pitch(kk)), F.floor((c + reach) / pitch(kk))),
             lambda p: F.struct(kk.alias("k"), p.alias("p")),
         )
 
@@ -63,42 +67,77 @@ def _scale_keys(threshold: float) -> tuple[Column, Column]:
     return own, around
 
 
-def overlapping(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float, l_cols: Sequence[str], r_cols: Sequence[str],
-    strict: bool = True, floor: float = 0.0,
-) -> DataFrame:
-    """Pairs of the same keys whose overlap exceeds (or reaches) the threshold.
+def blocked_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Pairs (structs a, b) of boxes of the same keys that may overlap by more than the threshold.
 
-    Columns come out as l_<name> and r_<name>. Boxes without area overlap nothing.
+    Boxes are blocked by width and x; where a block holds many boxes, as in a column of them, by
+    height and y as well.
     """
     if threshold >= 1.0:  # only equal boxes reach 1
         own = F.struct(*[F.col(c).cast("double") for c in BOX])
-        around = F.array(own)
+        around, own_y, around_y = F.array(own), F.lit(0), F.array(F.lit(0))
     elif threshold < 1e-3:  # sizes may differ without bound
-        own, around = F.lit(0), F.array(F.lit(0))
+        own, around, own_y, around_y = F.lit(0), F.array(F.lit(0)), F.lit(0), F.array(F.lit(0))
     else:
-        own, around = _scale_keys(threshold)
+        own, around = _scale_keys(threshold, "x1", "x2")
+        own_y, around_y = _scale_keys(threshold, "y1", "y2")
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    a = left.filter(solid).withColumn("_b", F.explode(around)).alias("a")
-    b = right.filter(solid).withColumn("_b", own).alias("b")
-    cond = F.col("a._b") == F.col("b._b")
-    for k in keys:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    part = [*keys, "_x"]
+    b = right.filter(solid).withColumn("_x", own)
+    crowds = b.groupBy(*part).agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED).select(*part, F.lit(True).alias("_crowd"))
+    crowd = F.coalesce("_crowd", F.lit(False))
+    a = left.filter(solid).withColumn("_x", F.explode(around)).join(crowds, part, "left")
+    a = a.withColumn("_y", F.explode(F.when(crowd, F.transform(around_y, lambda y: F.hash(y))).otherwise(F.array(F.lit(0)))))
+    b = b.join(crowds, part, "left").withColumn("_y", F.when(crowd, F.hash(own_y)).otherwise(F.lit(0)))
+    return (
+        a.select(*part, "_y", F.struct(*left.columns).alias("a")).join(b.select(*part, "_y", F.struct(*right.columns).alias("b")), [*part, "_y"]).select("a", "b")
+    )
+
+
+def overlapping(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float, l_cols: Sequence[str], r_cols: Sequence[str],
+    strict: bool = True, floor: float = 0.0,
+) -> DataFrame:
+    """Pairs of the same keys whose overlap exceeds (or reaches) the threshold.
+
+    Columns come out as l_<name> and r_<name>. Boxes without area overlap nothing. Pairs of equal
+    rows may come out repeatedly.
+    """
     score = boxes.iou(_side("a"), _side("b"), floor)
     hit = score > threshold if strict else score >= threshold
-    return a.join(b, cond).filter(hit).select(
+    return blocked_pairs(left, right, keys, threshold).filter(hit).select(
         *[F.col(f"a.{k}").alias(k) for k in keys],
         *[F.col(f"a.{c}").alias(f"l_{c}") for c in l_cols],
         *[F.col(f"b.{c}").alias(f"r_{c}") for c in r_cols],
     )
 
 
+def _losers(batches):
+    """Edges (image_id, winner, loser), best winner of an image first, to the boxes that go.
+
+    When a winner comes up, all better boxes have had their turn, so its own fate is known.
+    """
+    import pandas as pd
+
+    image, gone, out = None, set(), []
+    for batch in batches:
+        for at, winner, loser in zip(batch["image_id"].tolist(), batch["winner"].tolist(), batch["loser"].tolist(), strict=True):
+            if at != image:
+                image, gone = at, set()
+            if winner not in gone and loser not in gone:
+                gone.add(loser)
+                out.append((at, loser))
+        yield pd.DataFrame(out, columns=["image_id", "pos"])
+        out = []
+
+
 def suppress(detections: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Greedy suppression per image, whatever the class: best score first, drop what overlaps it.
 
     Equal scores go to the lower ``pos``. Identical boxes fall to their best one at once.
-    Then rounds: a box with no better live neighbour stays, its neighbours go.
-    No overlap exceeds 1, so at that threshold every box stays.
+    The overlaps of an image are then walked once in the order of the better box; in images
+    with more than ``WALKED`` of them rounds do it: a box with no better live neighbour stays, its
+    neighbours go. No overlap exceeds 1, so at that threshold every box stays.
     """
     if cfg.iou_threshold >= 1.0:
         return detections
@@ -108,7 +147,21 @@ def suppress(detections: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     heads = cut(distinct.select("image_id", F.col("f.pos").alias("pos"), (-F.col("f.s")).alias("score"), *BOX))
     pairs = overlapping(heads, heads, ["image_id"], cfg.iou_threshold, ["pos", "score"], ["pos", "score"])
     better = (F.col("l_score") > F.col("r_score")) | ((F.col("l_score") == F.col("r_score")) & (F.col("l_pos") < F.col("r_pos")))
-    edges = cut(pairs.filter(better).select("image_id", F.col("l_pos").alias("winner"), F.col("r_pos").alias("loser")).distinct())
+    edges = cut(pairs.filter(better).select("image_id", F.col("l_pos").alias("winner"), F.col("l_score").alias("score"), F.col("r_pos").alias("loser")).distinct())
+    large = cut(edges.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") > WALKED).select("image_id"))
+    kinds = ", ".join(f"{name} {edges.schema[edge].dataType.simpleString()}" for name, edge in (("image_id", "image_id"), ("pos", "loser")))
+    walked = edges.join(large, "image_id", "left_anti").repartition("image_id").sortWithinPartitions("image_id", F.col("score").desc(), "winner").mapInPandas(_losers, kinds)
+    rest = edges.join(large, "image_id", "left_semi").drop("score")
+    out = heads.select("image_id", "pos").join(walked, ["image_id", "pos"], "left_anti").join(large, "image_id", "left_anti")
+    if not large.isEmpty():
+        out = out.unionByName(_kept_by_rounds(heads.join(large, "image_id", "left_semi"), rest))
+    flat = detections.filter(~solid).select("image_id", "pos")
+    return detections.join(out.unionByName(flat), ["image_id", "pos"], "left_semi")
+
+
+def _kept_by_rounds(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """(image_id, pos) of the boxes that stay, a few joins a round."""
+    edges = cut(edges)
     kept = heads.select("image_id", "pos").join(
         edges.select("image_id", F.col("loser").alias("pos")), ["image_id", "pos"], "left_anti"
     )
@@ -133,8 +186,7 @@ def suppress(detections: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     out = kept_parts[0]
     for part in kept_parts[1:]:
         out = out.unionByName(part)
-    flat = detections.filter(~solid).select("image_id", "pos")
-    return detections.join(out.unionByName(flat), ["image_id", "pos"], "left_semi")
+    return out
 
 
 def sensitive_candidates(

@@ -480,3 +480,34 @@ def test_matching_along_a_line_of_growing_gaps(spark, monkeypatch, order):
             want.add((a, b))
             free -= {a, b}
     assert got == want and len(calls) < 15
+
+
+@pytest.mark.parametrize("walked", [10**6, 0])
+def test_suppression_of_tall_columns_and_random_boxes(spark, monkeypatch, walked):
+    """A column of equal boxes is divided along y: compared pairs stay below 30 a box."""
+    monkeypatch.setattr(imaging, "WALKED", walked)
+    rng = random.Random(12)
+    rows = [(1, n, rng.choice([0.5, 0.9, rng.random()]), 100.0, 7.0 * n, 140.0, 7.0 * n + 20 + n % 3) for n in range(700)]
+    for n in range(250):
+        x, y, w, h = (rng.random() * 300 for _ in range(4))
+        rows.append((2, n, round(rng.random(), 1), x, y, x + w, y + h * rng.choice([0.02, 1, 1])))
+    df = spark.createDataFrame(rows, "image_id int, pos int, score double, x1 double, y1 double, x2 double, y2 double")
+    if walked:
+        column = df.filter("image_id = 1")
+        assert imaging.blocked_pairs(column, column, ["image_id"], 0.45).count() < 30 * 700
+    for threshold in (0.45, 0.8):
+        want = set()
+        for image in (1, 2):
+            live = sorted((r for r in rows if r[0] == image), key=lambda r: (-r[2], r[1]))
+            while live:
+                best = live.pop(0)
+                want.add(best[:2])
+                live = [r for r in live if overlap(best[3:], r[3:]) <= threshold]
+        got = {(r.image_id, r.pos) for r in imaging.suppress(df, replace(DEFAULTS, iou_threshold=threshold)).collect()}
+        assert got == want
+
+
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both / max((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both, 1e-12)
