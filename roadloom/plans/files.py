@@ -14,7 +14,7 @@ from roadloom.plans.telemetry import CFG, deg, defects
 from roadloom.session import cut, landing_path
 from roadloom.sources import intake, readers
 from roadloom.sources.landing import land_files
-from roadloom.sources.store import SurveyStore, export_queue, write_csv
+from roadloom.sources.store import SurveyStore, export_queue, write_csv, write_report
 from roadloom.streaming import tracks as live
 
 START = 1_704_067_200
@@ -52,16 +52,17 @@ def s01_malformed(spark, sf):
     return readers.gps_csv(spark, landed_gps(spark, sf), GPS_COLUMNS)[1]
 
 
-@query("s02_gpx", "SELECT timestamp_s+1704067200e0 AS timestamp_s, round(lat,6) AS lat, round(lon,6) AS lon, CAST(NULL AS DOUBLE) AS accuracy_m FROM v_gps WHERE seq%11<>0")
+@query("s02_gpx", """SELECT survey_id, CAST(row_number() OVER (PARTITION BY survey_id ORDER BY seq) AS BIGINT)-1 AS seq, timestamp_s+1704067200e0 AS timestamp_s, round(lat,6) AS lat, round(lon,6) AS lon, CAST(NULL AS DOUBLE) AS accuracy_m FROM v_gps WHERE seq%11<>0""")
 def s02(spark, sf):
+    """Track points in the order of their survey's files; the number of a survey is in the path."""
     path = landing_path(spark, "gpx")
     iso = F.date_format(F.timestamp_seconds(F.col("timestamp_s") + START), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = view(spark, sf, "v_gps").select(
-        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.when(F.col("seq") % 11 != 0, iso).alias("time")
+    rows = view(spark, sf, "v_gps").orderBy("survey_id", "seq").select(
+        F.col("survey_id").alias("folder"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.when(F.col("seq") % 11 != 0, iso).alias("time")
     )
-    rows.write.format("xml").option("rootTag", "trkseg").option("rowTag", "trkpt").save(path)
-    points, _ = readers.gps_gpx(spark, path)
-    return points.select("timestamp_s", deg("lat"), deg("lon"), "accuracy_m")
+    rows.write.partitionBy("folder").format("xml").option("rootTag", "trkseg").option("rowTag", "trkpt").save(path)
+    points, _ = readers.gps_gpx(spark, path, r"/folder=(\d+)/")
+    return points.select("survey_id", "seq", "timestamp_s", deg("lat"), deg("lon"), "accuracy_m")
 
 
 def landed_elements(spark, sf) -> str:
@@ -120,6 +121,21 @@ def s05(spark, sf):
     return readers.defects_csv(spark, path).select("defect_id", "class_name", deg("lat"), deg("lon"), "severity")
 
 
+@query("s05_defect_json", "SELECT defect_id, class_name, round(lat,6) AS lat, round(lon,6) AS lon, CASE WHEN defect_id%2=0 THEN 'High' ELSE 'Low' END AS severity, (SELECT 7+max(defect_id)%50 FROM v_new) AS pre_dedup FROM v_new")
+def s05_json(spark, sf):
+    """Many files: lists of defects, and objects with a list and the number before deduplication."""
+    d = view(spark, sf, "v_new")
+    top = d.agg(F.max("defect_id")).scalar()
+    item = F.struct("defect_id", F.when(F.col("defect_id") % 3 == 0, F.col("class_name")).alias("class"), F.when(F.col("defect_id") % 3 != 0, F.col("class_name")).alias("class_name"),
+                    "lat", "lon", F.when(F.col("defect_id") % 2 == 0, F.lit("High")).alias("severity"))
+    files = d.groupBy((F.col("defect_id") % 50).alias("f")).agg(F.collect_list(item).alias("l")).select(
+        F.concat(F.lit("d"), F.col("f").cast("string"), F.lit(".json")).alias("rel_path"),
+        F.when(F.col("f") == top % 50, F.to_json(F.struct(F.col("l").alias("defects"), (F.col("f") + 7).alias("pre_dedup_detections")))).otherwise(F.to_json("l")).alias("content"),
+    )
+    rows, before = readers.defects_json(spark, land_texts(files, "defects"))
+    return rows.select("defect_id", "class_name", deg("lat"), deg("lon"), "severity", before.scalar().alias("pre_dedup"))
+
+
 @query("s06_repair_manifest", "SELECT defect_id, status, CASE WHEN defect_id%3=0 THEN 0e0 ELSE round(lat,6) END AS lat, round(lon,6) AS lon FROM v_old")
 def s06(spark, sf):
     path = landing_path(spark, "manifest")
@@ -296,6 +312,26 @@ def s13(spark, sf):
     return a.unionByName(b)
 
 
+@query("s13_report_files", "SELECT survey_id, severity, count(*) AS n, round(sum(estimated_cost),2) AS cost FROM o_queue GROUP BY survey_id, severity")
+def s13_report(spark, sf):
+    """A report as JSON lines, read again."""
+    path = landing_path(spark, "report")
+    report = queue(spark, sf).groupBy("survey_id", "severity").agg(F.count("*").alias("n"), F.round(F.sum("estimated_cost"), 2).alias("cost"))
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query("f20_store_lookup", """SELECT w.survey_id, w.stored_id AS defect_id, s.class_name, s.severity, s.stored_id IS NOT NULL AS found FROM (
+SELECT survey_id, stored_id FROM o_stored WHERE stored_id%5=0 UNION ALL SELECT survey_id+1, max(stored_id) FROM o_stored GROUP BY survey_id) w LEFT JOIN o_stored s ON s.survey_id=w.survey_id AND s.stored_id=w.stored_id""")
+def f20_store(spark, sf):
+    """Every fifth stored defect, and the last of each survey under the wrong survey."""
+    store = filled_store(spark, sf)
+    stored = store.read("defects").select(F.col("survey_id").cast("bigint").alias("survey_id"), "defect_id")
+    wrong = stored.groupBy("survey_id").agg(F.max("defect_id").alias("defect_id")).select(F.col("survey_id") + 1, "defect_id")
+    found = store.lookup(cut(stored.filter("defect_id % 5 = 0").union(wrong)))
+    return found.select("survey_id", "defect_id", "class_name", "severity", "found")
+
+
 #: silence that ends a track (no two frames are that far apart), how late rows may be, and how far back the held-up rows lie
 SILENCE, LATENESS, HELD_UP = "20100 milliseconds", "5 seconds", 40
 LATE = f"track_id%97=5 AND frame_idx/5e0<=(SELECT max(frame_idx) FROM v_det)*75e-2/5e0-{HELD_UP}"

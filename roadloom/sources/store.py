@@ -124,8 +124,14 @@ class SurveyStore:
     def survey(self, survey_id: int) -> DataFrame:
         return self.read("surveys").filter(F.col("survey_id") == survey_id)
 
-    def defect(self, defect_id: int) -> DataFrame:
-        return self.read("defects").filter(F.col("defect_id") == defect_id)
+    def defect(self, defect_id: int, survey_id: int | None = None) -> DataFrame:
+        """The stored defect; with its survey only that survey's folder is read."""
+        rows = self.read("defects").filter(F.col("defect_id") == defect_id)
+        return rows if survey_id is None else rows.filter(F.col("survey_id") == survey_id)
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """Stored rows of many defects (survey_id, defect_id); only the wanted surveys' folders are read where these are few."""
+        return lookup_defects(self.read("defects"), wanted)
 
     def defects_of(self, survey_id: int) -> DataFrame:
         return self.read("defects").filter(F.col("survey_id") == survey_id).orderBy("defect_id")
