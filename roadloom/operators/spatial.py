@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.config import SNAP_METRES_PER_DEGREE
@@ -83,7 +83,8 @@ def nearest_label(
     v = sites.select(
         F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), "v", cells.key("lat", "lon", size).alias("_c")
     )
-    probes = points.select(*ids, "lat", "lon").withColumn(
+    # points of one place ask once
+    probes = points.select("lat", "lon").distinct().withColumn(
         "_c", F.explode(cells.cover("lat", "lon", radius_m, size))
     )
     dist = haversine_m("lat", "lon", "v_lat", "v_lon")
@@ -91,12 +92,12 @@ def nearest_label(
         probes.join(v, "_c")
         .withColumn("d", dist)
         .filter(F.col("d") <= radius_m)
-        .groupBy(*ids)
+        .groupBy("lat", "lon")
         .agg(F.min(F.struct("d", "v")).alias("b"))
-        .select(*ids, F.col(f"b.v.{label}").alias("_label"))
+        .select("lat", "lon", F.col(f"b.v.{label}").alias("_label"))
     )
     return (
-        points.join(best, list(ids), "left")
+        points.join(best, ["lat", "lon"], "left")
         .withColumn(label, F.coalesce("_label", F.lit(default)))
         .drop("_label")
     )
@@ -131,60 +132,105 @@ def site_pairs(left: DataFrame, right: DataFrame, radius_m: float, keys: Sequenc
     )
 
 
+#: edges that a bundle may hold without being divided further; divisions, each an eighth of the last
+BUNDLE, DIVISIONS = 64, 4
+
+_EDGE = ("seq", "p_lat", "p_lon", "n_lat", "n_lon", "from_m", "step_m")
+
+
+def _plane() -> tuple:
+    """Point and edge in metres, scaled at the edge's start."""
+    lat_m = F.lit(SNAP_METRES_PER_DEGREE)
+    lon_m = lat_m * F.cos(F.radians(F.col("p_lat")))
+    return F.col("lon") * lon_m, F.col("lat") * lat_m, F.col("p_lon") * lon_m, F.col("p_lat") * lat_m, F.col("n_lon") * lon_m, F.col("n_lat") * lat_m
+
+
+def _bundles(edges: DataFrame, division: int) -> DataFrame:
+    """Edges whose starts share a cell, and whose ends do, as one row: the first edge, ``n`` and ``rho``.
+
+    No edge of a bundle is further than ``rho`` from the first, as neither of its ends is.
+    """
+    up = [f"g{division - 1}"] if division else []
+    extent = [f(c).alias(f"{c}_{tag}") for c in ("p_lat", "p_lon", "n_lat", "n_lon") for tag, f in (("lo", F.min), ("hi", F.max))]
+    rows = edges.groupBy("survey_id", *up, f"g{division}").agg(F.count("*").alias("n"), F.min(F.struct(*_EDGE)).alias("e"), *extent)
+
+    def wide(end: str):
+        lat = (F.col(f"{end}_lat_hi") - F.col(f"{end}_lat_lo")) * F.lit(SNAP_METRES_PER_DEGREE)
+        lon = (F.col(f"{end}_lon_hi") - F.col(f"{end}_lon_lo")) * F.lit(SNAP_METRES_PER_DEGREE)
+        return F.sqrt(lat * lat + lon * lon)
+
+    return rows.select("survey_id", *up, F.col(f"g{division}").alias("g"), "n", F.greatest(wide("p"), wide("n")).alias("rho"), "e.*")
+
+
+def _nearest_edges(sites: DataFrame, edges: DataFrame, ring_m: float, anywhere: bool) -> DataFrame:
+    """(survey_id, lat, lon, b: d, seq, chain_m) of the nearest edge of each site that has one within the ring.
+
+    Sites meet bundles of edges. The first edge of a bundle gives a bound from above, less the
+    bundle's width one from below; bundles that can't hold the nearest edge are dropped, and large
+    ones among the rest divided, down to single edges or few.
+    """
+    for k in range(DIVISIONS):
+        size = ring_m / 6.0 / 8**k
+        edges = edges.withColumn(f"g{k}", F.xxhash64("survey_id", cells.key("p_lat", "p_lon", size), cells.key("n_lat", "n_lon", size)))
+    first = _bundles(edges, 0)
+    if anywhere:
+        keyed, probes = first.withColumns({"_c": F.lit(0), "_lvl": F.lit(0)}), sites.withColumns({"_c": F.lit(0), "_lvl": F.lit(0)})
+    else:
+        sizes = [ring_m * 4.0 * 8**n for n in range(8)]
+        level = F.lit(7)
+        for n in range(6, -1, -1):
+            level = F.when(F.col("step_m") <= sizes[n], F.lit(n)).otherwise(level)
+        size = f"{ring_m * 4.0!r}D * pow(8D, _lvl)"
+        span = cells.cover_box(
+            "least(p_lat, n_lat)", "greatest(p_lat, n_lat)", "least(p_lon, n_lon)", "greatest(p_lon, n_lon)", ring_m * 1.25, size,
+        )
+        keyed = first.withColumn("_lvl", level).withColumn("_c", F.explode(span))
+        probes = sites.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in range(8)]))).withColumn("_c", cells.key("lat", "lon", size))
+    site = ["survey_id", "lat", "lon"]
+    columns = [*site, "g", "n", "rho", *_EDGE]
+    met = probes.join(keyed, ["survey_id", "_lvl", "_c"]).select(*columns)
+    near = Window.partitionBy(*site)
+    division = 0
+    while True:
+        met = met.withColumn("d", edge_distance(*_plane())).withColumn("best", F.min("d").over(near))
+        met = cut(met.filter(F.col("d") - F.col("rho") <= F.col("best") * 1.00001 + 1e-6))
+        division += 1
+        if division == DIVISIONS or met.filter(F.col("n") > BUNDLE).isEmpty():
+            break
+        parts = _bundles(edges, division).withColumnRenamed(f"g{division - 1}", "up")
+        divided = met.filter("n > 1").select(*site, F.col("g").alias("up")).join(parts, ["survey_id", "up"]).select(*columns)
+        met = met.filter("n = 1").select(*columns).unionByName(divided)
+    single = met.filter("n = 1").select(*site, *_EDGE)
+    few = met.filter("n > 1").select(*site, F.col("g").alias(f"g{division - 1}")).join(edges, ["survey_id", f"g{division - 1}"]).select(*site, *_EDGE)
+    at = F.struct(edge_distance(*_plane()).alias("d"), "seq", (F.col("from_m") + edge_fraction(*_plane()) * F.col("step_m")).alias("chain_m"))
+    return single.unionByName(few).groupBy(*site).agg(F.min(at).alias("b"))
+
+
 def snap_to_trace(points: DataFrame, chain: DataFrame, ids: Sequence[str], ring_m: float = 25.0) -> DataFrame:
     """Adds ``chain_m`` and ``snap_m``: metres along the survey's trace at its nearest edge, and the offset.
 
-    Edges are entered in the cells within ``ring_m`` of them; long edges use coarser
-    grids so that no edge takes more than a few cells. A nearest edge closer than the ring
-    is final. Points that found none search again with a ring eight times as wide. A
-    survey without edges gives chainage 0.
+    Points of one place are one site, and equal edges their first. Edges are entered in the
+    cells within ``ring_m`` of them; long edges use coarser grids so that no edge takes more
+    than a few cells. A nearest edge closer than the ring is final. Sites that found none
+    search again with a ring eight times as wide. A survey without edges gives chainage 0.
     """
+    shape = ["survey_id", "p_lat", "p_lon", "n_lat", "n_lon"]
     edges = chain.filter(F.col("p_lat").isNotNull()).select(
         "survey_id", "seq", "p_lat", "p_lon", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"),
         (F.col("cum_m") - F.col("step_m")).alias("from_m"), "step_m",
-    )
-    lon_m = F.lit(SNAP_METRES_PER_DEGREE) * F.cos(F.radians(F.col("p_lat")))
-    lat_m = F.lit(SNAP_METRES_PER_DEGREE)
-    plane = (
-        F.col("lon") * lon_m, F.col("lat") * lat_m,
-        F.col("p_lon") * lon_m, F.col("p_lat") * lat_m,
-        F.col("n_lon") * lon_m, F.col("n_lat") * lat_m,
-    )
-    pending = points.select("survey_id", *ids, "lat", "lon").join(
-        edges.select("survey_id").distinct(), "survey_id", "left_semi"
-    )
-    on = ["survey_id", *ids]
+    ).groupBy(*shape).agg(F.min(F.struct("seq", "from_m", "step_m")).alias("e")).select(*shape, "e.*")
+    edges = cut(edges)
+    site = ["survey_id", "lat", "lon"]
+    pending = points.select(*site).distinct().join(edges.select("survey_id").distinct(), "survey_id", "left_semi")
     found: DataFrame | None = None
     while True:
-        sizes = [ring_m * 4.0 * 8**n for n in range(8)]
         last = ring_m > 2.5e7
-        level = F.lit(7)
-        for n in range(6, -1, -1):
-            level = F.when(F.col("step_m") <= sizes[n], F.lit(n)).otherwise(level)
-        size = f"{ring_m * 4.0!r}D * pow(8D, _lvl)"
-        if last:
-            keyed, probes = edges.withColumn("_c", F.lit(0)), pending.withColumn("_c", F.lit(0))
-            keyed, probes = keyed.withColumn("_lvl", F.lit(0)), probes.withColumn("_lvl", F.lit(0))
-        else:
-            span = cells.cover_box(
-                "least(p_lat, n_lat)", "greatest(p_lat, n_lat)", "least(p_lon, n_lon)", "greatest(p_lon, n_lon)", ring_m, size,
-            )
-            keyed = edges.withColumn("_lvl", level).withColumn("_c", F.explode(span))
-            probes = pending.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in range(8)]))).withColumn(
-                "_c", cells.key("lat", "lon", size)
-            )
-        near = (
-            probes.join(keyed, ["survey_id", "_lvl", "_c"])
-            .select(*on, edge_distance(*plane).alias("d"), "seq", (F.col("from_m") + edge_fraction(*plane) * F.col("step_m")).alias("chain_m"))
-            .groupBy(*on)
-            .agg(F.min(F.struct("d", "seq", "chain_m")).alias("b"))
-            .select(*on, F.col("b.d").alias("snap_m"), F.col("b.chain_m").alias("chain_m"))
-        )
+        near = _nearest_edges(pending, edges, ring_m, last).select(*site, F.col("b.d").alias("snap_m"), F.col("b.chain_m").alias("chain_m"))
         near = cut(near if last else near.filter(F.col("snap_m") <= ring_m * 0.999))
         found = near if found is None else found.unionByName(near)
-        pending = pending.join(near, on, "left_anti")
+        pending = pending.join(near, site, "left_anti")
         if last or pending.isEmpty():
             break
         pending = cut(pending)
         ring_m *= 8.0
-    return points.join(found, on, "left").withColumn("chain_m", F.coalesce("chain_m", F.lit(0.0)))
+    return points.join(found, site, "left").withColumn("chain_m", F.coalesce("chain_m", F.lit(0.0)))

@@ -511,3 +511,34 @@ def overlap(a, b):
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     both = max(w, 0) * max(h, 0)
     return both / max((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both, 1e-12)
+
+
+def test_snapping_where_edges_and_points_crowd(spark):
+    """1 500 short edges and 1 500 points at one place, beside an ordinary trace; copies of both."""
+    rng = random.Random(3)
+
+    def near(spread):
+        return metres(rng.uniform(-spread, spread), rng.uniform(-spread, spread))
+
+    lines = [(1, n, *near(0.6), *near(0.6)) for n in range(1500)] + [(1, 1500 + n, *metres(20 * n, 40), *metres(20 * n + 20, 40)) for n in range(50)]
+    lines += [(2, n, *metres(0, 0), *metres(0, 0)) for n in range(30)] + [(1, 1600 + n, *lines[n][2:]) for n in range(100)]
+    points = [(1, n, *near(rng.choice([0.5, 4, 12]))) for n in range(1500)] + [(1, 1500 + n, *metres(400 + n, 30 * n)) for n in range(40)] + [(2, 1, *metres(3, 4)), (3, 1, *metres(0, 0))]
+    chain = spark.createDataFrame([(s, n, a, b, c, d, 10.0 * n + 10, 10.0) for s, n, a, b, c, d in lines], "survey_id int, seq int, p_lat double, p_lon double, lat double, lon double, cum_m double, step_m double")
+    pts = spark.createDataFrame(points + [(s, n + 5000, a, b) for s, n, a, b in points[:200]], "survey_id int, id int, lat double, lon double")
+    got = {(r.survey_id, r.id): (r.snap_m, r.chain_m) for r in spatial.snap_to_trace(pts, chain, ["id"]).collect()}
+    assert got[3, 1] == (None, 0.0) and len(got) == len(points) + 200
+    for s, n, lat, lon in points[:300] + points[1500:1541]:
+        best = min((*planar(lat, lon, line), line[1]) for line in lines if line[0] == s)
+        snap, chain_m = got[s, n]
+        assert snap == pytest.approx(best[0], abs=1e-7)
+        ties = [10.0 * line[1] + 10.0 * planar(lat, lon, line)[1] for line in lines if line[0] == s and planar(lat, lon, line)[0] <= best[0] + 1e-9]
+        assert min(abs(chain_m - t) for t in ties) < 1e-4
+        assert got[s, n] == got.get((s, n + 5000), got[s, n])
+
+
+def planar(lat, lon, line):
+    k, m = math.cos(math.radians(line[2])), 111_139
+    px, py, ax, ay, bx, by = (lon * k * m, lat * m, line[3] * k * m, line[2] * m, line[5] * k * m, line[4] * m)
+    length = (bx - ax) ** 2 + (by - ay) ** 2
+    t = max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length)) if length else 0.0
+    return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)), t
