@@ -18,8 +18,8 @@ def _mixed(images: DataFrame) -> DataFrame:
 def name_trie(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges of a trie of the names of each group, one close pair per node: a, b).
 
-    Edges: grp, up, node (both prefixes), label (the text between), name and end_split where a
-    name ends, lo and hi (first and last split below), last (the last name below). Prefixes
+    Edges: grp, up, node (both prefixes), label (the text between), is_end and end_split where a
+    name ends, leaf where none goes on, lo and hi (first and last split below), last (the last name below). Prefixes
     with a single continuation and no end are passed over.
     """
     names = images.select("grp", "image", "split")
@@ -37,27 +37,28 @@ def name_trie(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     asks = nodes.select("grp", "node", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("node") - 1, F.lit(0))), lambda n: F.substring(F.col("node"), F.lit(1), n))).alias("up")).filter("node <> ''")
     above = asks.join(nodes.select("grp", F.col("node").alias("up")), ["grp", "up"]).groupBy("grp", "node").agg(F.max("up").alias("up"))
     edges = nodes.join(above, ["grp", "node"]).select(
-        "grp", "up", "node", F.substring(F.col("node"), F.length("up") + 1, F.length("node")).alias("label"), "is_end", "end_split",
+        "grp", "up", "node", F.substring(F.col("node"), F.length("up") + 1, F.length("node")).alias("label"), "is_end", (F.col("f2") == "").alias("leaf"), "end_split",
         F.col("first.split").alias("lo"), F.col("final.split").alias("hi"), "last",
     )
     close = nodes.filter("first.split <> final.split").select(F.least("first.image", "final.image").alias("a"), F.greatest("first.image", "final.image").alias("b"))
     return cut(edges), close
 
 
-#: the row of edit distances between the prefixes of x and a node, carried over the label to the next node
-_CARRIED = """aggregate(sequence(1, length(label)), row, (r, k) -> if(length(x) = 0, array(r[0] + 1),
-  aggregate(sequence(1, length(x)), array(r[0] + 1), (acc, i) -> array_append(acc,
-    least(r[i] + 1, acc[i - 1] + 1, r[i - 1] + if(substring(x, i, 1) = substring(label, k, 1), 0, 1))))))"""
+def _within(bound: int) -> str:
+    """May a name that starts with ``node`` be within the bound of ``x``? Asks the entries of the row of edit
+    distances between x's prefixes and the node that can be so low, by the built-in distance with a limit."""
+    low = f"greatest(0, length(node) - {bound})"
+    return f"exists(sequence({low}, greatest({low}, least(length(x), length(node) + {bound}))), i -> levenshtein(substring(x, 1, i), node, {bound}) >= 0)"
 
 
 def nearest_names(images: DataFrame) -> DataFrame:
     """The pair of images of one group, in different splits, with the closest names.
 
     ``images``: grp, image (distinct), split. One row (a, b, edit_distance), a < b, or none; ties
-    go to the pair first in name order. Every name walks down the trie of its group at once; the
-    row of edit distances goes along, and a walk ends where its least entry is above the best
-    distance known. The first bound is the closest of one cross-split pair per trie node, and
-    it shrinks with each level that reaches a closer pair.
+    go to the pair first in name order. Every name walks down the trie of its group at once; a
+    walk ends where no name below a node can be as close as the best pair known, by the row of
+    edit distances to the node's prefix. The first bound is the closest of one cross-split pair
+    per trie node, and it shrinks with each level that reaches a closer pair.
     """
     spark = images.sparkSession
     images = cut(_mixed(images.select("grp", "image", "split")))
@@ -67,19 +68,20 @@ def nearest_names(images: DataFrame) -> DataFrame:
     schema = "a string, b string, edit_distance bigint"
     if best is None:
         return spark.createDataFrame([], schema)
-    at = images.select("grp", F.col("image").alias("x"), "split", F.lit("").alias("node"), F.sequence(F.lit(0), F.length("image")).alias("row"))
+    at = images.select("grp", F.col("image").alias("x"), "split", F.lit("").alias("up"))
     while True:
-        onward = (
-            at.select("grp", "x", "split", F.col("node").alias("up"), "row").join(edges, ["grp", "up"])
+        reached = cut(
+            at.join(edges, ["grp", "up"])
             .filter("(lo <> split or hi <> split) and last > x")
-            .select("grp", "x", "split", "node", "is_end", "end_split", F.expr(_CARRIED).alias("row"))
-            .filter(F.array_min("row") <= best["d"])
+            .filter("not leaf or (end_split <> split and x < node)")
+            .withColumn("d", F.when(F.col("is_end") & (F.col("end_split") != F.col("split")) & (F.col("x") < F.col("node")), F.levenshtein("x", "node", best["d"])))
+            .filter(F.when(F.col("leaf"), F.col("d") >= 0).otherwise(F.expr(_within(best["d"]))))
+            .select("grp", "x", "split", "node", "leaf", "d")
         )
-        at = cut(onward)
-        ended = at.filter("is_end and end_split <> split and x < node").select(F.col("row")[F.length("x")].alias("d"), F.col("x").alias("a"), F.col("node").alias("b"))
-        found = ended.agg(F.min(F.struct("d", "a", "b")).alias("p")).first()["p"]
+        found = reached.filter("d >= 0").agg(F.min(F.struct("d", F.col("x").alias("a"), F.col("node").alias("b"))).alias("p")).first()["p"]
         if found is not None:
             best = min(best, found)
+        at = reached.filter("not leaf").select("grp", "x", "split", F.col("node").alias("up"))
         if at.isEmpty():
             break
     return spark.createDataFrame([(best["a"], best["b"], best["d"])], schema)
