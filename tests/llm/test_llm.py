@@ -288,6 +288,38 @@ def test_passages_are_found_and_others_left(sample):
     assert all(r.stop - r.start >= 50 and r.similarity >= 0.8 for r in rows)
 
 
+def test_passages_next_to_a_phrase_that_all_texts_share(spark):
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    phrase, rows = new(44), []
+    for pair in range(400):
+        passage = [*new(8), *phrase, *new(8)]
+        edited = list(passage)
+        edited[rng.choice([1, 2, 57, 58])] = "edit" + str(pair)
+        rows += [(2 * pair, " ".join(new(40) + passage + new(40))), (2 * pair + 1, " ".join(new(25) + edited + new(60)))]
+    rows += [(None, rows[0][1]), (5000, None), (5001, ""), rows[1], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("rep", F.lit("x"))
+    found = passage_dedup.near_duplicate_passages(docs).collect()
+    assert {min(r.doc_id, r.match_doc_id) for r in found} == set(range(0, 800, 2))
+    assert {abs(r.doc_id - r.match_doc_id) for r in found} == {1} and len(found) == 400
+
+
+def test_passages_against_all_pairs(spark):
+    rng = random.Random(4)
+    new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    kinds, texts = [new(rng.randrange(55, 90)) for _ in range(12)], []
+    for i in range(120):
+        passage = list(kinds[i % 12])
+        for _ in range(rng.randrange(3)):
+            passage[rng.randrange(len(passage))] = f"e{rng.randrange(4)}"
+        texts.append(" ".join(new(rng.randrange(60)) + passage + kinds[(i + 1) % 12][:30] + new(rng.randrange(60))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = [(r.doc_id, r.match_doc_id) for r in passage_dedup.near_duplicate_passages(docs).collect()]
+    hashes = [passage_dedup.shingle_hashes(t) for t in texts]
+    true = [(i, j) for i, j in itertools.combinations(range(120), 2) if passage_dedup._segments(hashes[i], hashes[j], 46, 0.8)]
+    assert plain_components(range(120), linked) == plain_components(range(120), true)
+
+
 def test_line_dedup_ignores_copies(spark):
     rows = [(i, f"shared line\nown line {i}\n\nmore {i}", "a") for i in range(20)] + [(100 + i, "copy one\ncopy two", "a") for i in range(9)]
     rows += [(200, None, None), (201, "", None), (202, "shared line", "b")]
