@@ -17,7 +17,7 @@ from roadloom.llm.common import landed
 from roadloom.llm.url_filter import split_url
 
 #: a tag whose quoted values may hold ``>``; possessive, so that no input makes it slow
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)>")
 #: a tag up to the next ``>``, where quotes don't close
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")

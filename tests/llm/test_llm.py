@@ -320,6 +320,16 @@ def test_passages_against_all_pairs(spark):
     assert plain_components(range(120), linked) == plain_components(range(120), true)
 
 
+def test_long_attributes_are_no_text():
+    body = "<p>" + "A sentence of the article, with some words. " * 8 + "</p>"
+    for quote in "\"'":
+        long = f"<article><p data-x={quote}{'a > b ' * 5000}{quote}>First.</p>{body}</article>"
+        blocks = [b[1] for b in html_extraction.parse(long).blocks]
+        assert blocks[0] == "First." and len(blocks) == 2
+    assert "After." in [b[1] for b in html_extraction.parse('<p title="never closed>One.</p>' * 1 + "<p>After.</p>").blocks]
+    html_extraction.parse('<a x="' * 20_000)  # in linear time
+
+
 def test_line_dedup_ignores_copies(spark):
     rows = [(i, f"shared line\nown line {i}\n\nmore {i}", "a") for i in range(20)] + [(100 + i, "copy one\ncopy two", "a") for i in range(9)]
     rows += [(200, None, None), (201, "", None), (202, "shared line", "b")]
