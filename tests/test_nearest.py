@@ -81,3 +81,36 @@ def test_hash_groups_chain_and_copies(spark):
     got = {r.image: r.grp for r in hashing.hash_groups(spark.createDataFrame(rows, "image string, hash bigint"), 10).collect()}
     assert {got[f"c{k}"] for k in range(6)} | {got["copy"]} == {"c0"} and got["none.jpg"] == "none"
     assert got["far"] == "far"
+
+
+def test_hashes_compared_in_blocks_give_all_links(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    # one crowd, and chains of pairs further apart than the crowd that lie in different blocks
+    rnd = random.Random(5)
+    crowd = [rnd.getrandbits(20) for _ in range(150)]
+    far = [rnd.getrandbits(60) | 15 << 60 for _ in range(60)]
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in crowd + far + [v ^ 0b11 << 40 for v in far[::2]]})
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in values:
+        for b in values:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 8 and (p := find(a)) != (q := find(b)):
+                parent[max(p, q)] = min(p, q)
+    want = {v: find(v) for v in values}
+    monkeypatch.setattr(hashing, "PACK", 32)
+    monkeypatch.setattr(hashing, "TILE", 8)
+    df = spark.createDataFrame([(v,) for v in values], "hash bigint")
+    got = {r.hash: r.c for r in hashing.packed_components(df, len(values), 8).collect()}
+    assert got == want and 30 < len(set(want.values())) < len(values) - 100
+    # a wide threshold takes this way, and needs no keys
+    monkeypatch.setattr(hashing, "band_keys", None)
+    images = df.withColumn("image", F.col("hash").cast("string"))
+    assert hashing.hash_groups(images, 18).select("grp").distinct().count() < len(set(want.values()))
