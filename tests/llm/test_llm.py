@@ -304,6 +304,17 @@ def test_passages_next_to_a_phrase_that_all_texts_share(spark):
     assert {abs(r.doc_id - r.match_doc_id) for r in found} == {1} and len(found) == 400
 
 
+def test_passages_with_one_rare_shingle_beside_a_common_phrase(spark):
+    rng = random.Random(19)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    phrase, rows = new(44), []
+    for pair in range(60):
+        passage = [*new(1), *phrase]  # 41 shared shingles of 46 and 46: Jaccard 0.804; without the first word 0.77
+        rows += [(2 * pair, " ".join(new(40) + passage + new(40))), (2 * pair + 1, " ".join(new(25) + passage + new(60)))]
+    found = passage_dedup.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.match_doc_id))) for r in found} == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
 def test_passages_against_all_pairs(spark):
     rng = random.Random(4)
     new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
