@@ -13,7 +13,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import landed
+from roadloom.llm.common import landed, release
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 4
@@ -23,7 +23,7 @@ HASH_BITS = 20
 #: at most so many languages are learned; more is an error, not a cut
 MAX_LANGUAGES = 64
 #: distinct words a task counts before it emits them
-WORDS_HELD = 200_000
+WORDS_HELD = 100_000
 
 #: characters scored together; bounds a task's memory
 CHARS_HELD = 2_000_000
@@ -100,6 +100,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 held.setdefault(lang, Counter()).update(_words(text))
                 if sum(map(len, held.values())) > WORDS_HELD:
                     yield from emit()
+            release()
         yield from emit()
 
     schema = "lang string, n int, context long, gram long, shorter long, count long"
@@ -221,8 +222,8 @@ def _score(texts: list[str], model: Models) -> pd.DataFrame:
     names = list(dict.fromkeys(w for words in counts for w in words))
     number = {w: k for k, w in enumerate(names)}
     table = np.zeros((len(names), len(model.langs)))
-    for at in range(0, len(names), 50_000):
-        table[at : at + 50_000] = model.word_scores(names[at : at + 50_000])
+    for at in range(0, len(names), 10_000):
+        table[at : at + 10_000] = model.word_scores(names[at : at + 10_000])
     letters, entropy = [], []
     for words in counts:
         weight = np.fromiter(words.values(), dtype="float64", count=len(words))
@@ -248,6 +249,7 @@ def cross_entropies(docs: DataFrame, models: Models) -> tuple[DataFrame, Broadca
                 parts.append(_score(held, shared.value))
                 held, chars = [], 0
         parts.append(_score(held, shared.value))
+        release()
         return pd.concat(parts, ignore_index=True)
 
     scores = docs.withColumn("_s", score("text")).select(

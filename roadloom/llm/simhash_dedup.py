@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from roadloom.llm.common import landed
+from roadloom.llm.common import landed, release
 from roadloom.operators.components import connected_components
 
 #: bits per stride of the trie; a node pair is extended by one stride at a time
@@ -42,6 +42,7 @@ def simhash(texts: pd.Series) -> pd.Series:
             part = hashes[at : at + 4096].astype("<u8").view("uint8").reshape(-1, 8)
             bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype="int64")
         out[row] = np.packbits(2 * bits > n, bitorder="little").view("<u8")[0]
+    release()
     return pd.Series(out.view("int64"))
 
 
