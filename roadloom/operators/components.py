@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import haversine_m
+from roadloom.functions.geo import METRES_PER_DEGREE, haversine_m
 from roadloom.operators import cells
 from roadloom.session import cut
 
@@ -55,55 +55,64 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
 
     A cell's diagonal is below the radius, so all its points are one cluster and no pair
     inside it is looked at. Two cells are linked when some pair across them is within the
-    radius: extents of sub-cells settle almost all of them, exact coordinates the rest.
+    radius: extents of cells settle almost all of them, extents of sub-cells most of the
+    others, exact coordinates the rest. Cells meet in a coarse grid of 8 radii.
     Returns (cells: keys, _cell, node; links: keys, a, b). ``node`` is the smallest id.
     """
-    size = radius_m * 0.7
-    part = [*keys, "_cell", "_sub"]
-    tagged = points.withColumn("_cell", cells.key("lat", "lon", size)).withColumn(
-        "_sub", cells.key("lat", "lon", size / 8.0)
-    )
-    subs = cut(cells.summarise(tagged, part, F.min(id_col).alias("node")))
-    nodes = subs.groupBy(*keys, "_cell").agg(F.min("node").alias("node"))
-    onward = F.filter(
-        cells.cover_box("lat1", "lat2", "lon1", "lon2", radius_m, size),
-        lambda c: c > F.col("_cell"),
-    )
-    reach = subs.withColumn("_to", F.explode(onward))
-    cond = F.col("p._to") == F.col("q._cell")
-    for k in keys:
-        cond = cond & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-    near = cut(
-        reach.alias("p")
-        .join(subs.alias("q"), cond)
-        .select(
-            *[F.col(f"p.{k}").alias(k) for k in keys],
-            F.col("p._cell").alias("_pc"), F.col("p._sub").alias("_ps"),
-            F.col("q._cell").alias("_qc"), F.col("q._sub").alias("_qs"),
-            cells.verdict(radius_m).alias("_v"),
+    size, coarse = radius_m * 0.7, radius_m * 8.0
+    tagged = points.select(*keys, id_col, "lat", "lon").withColumn("_cell", cells.key("lat", "lon", size))
+    nodes = cut(cells.extents(tagged, [*keys, "_cell"], F.min(id_col).alias("node")))
+    extent = ("lat1", "lat2", "lon1", "lon2")
+
+    def end(df: DataFrame, at: str, to) -> DataFrame:
+        return df.select(
+            *keys, to.alias("_to"), F.col("_cell").alias(f"_{at}c"), F.col("node").alias(f"{at}_node"), *[F.col(c).alias(f"{at}_{c}") for c in extent]
         )
+
+    # a cell's corner is less than a radius away from all its points; no two points are nearer than their latitudes
+    apart = f"greatest(q_lat1 - p_lat2, p_lat1 - q_lat2) <= {radius_m * cells.SLACK / METRES_PER_DEGREE!r}D"
+    p = end(nodes, "p", F.explode(cells.cover_box(*extent, radius_m * 2.0, coarse)))
+    q = end(nodes, "q", cells.key("lat1", "lon1", coarse))
+    pairs = (
+        p.join(q, [*keys, "_to"])
+        .filter("_pc < _qc")
+        .filter(apart)
+        .withColumns({"p": cells.angles("p_"), "q": cells.angles("q_")})
+        .withColumn("_v", cells.verdict(radius_m))
         .filter("_v >= 0")
+        .select(*keys, "_pc", "_qc", F.col("p_node").alias("a"), F.col("q_node").alias("b"), "q", "_v")
     )
+    pairs = cut(pairs)
     ends = [*keys, "_pc", "_qc"]
+    open_pairs = pairs.filter("_v = 0").select(*ends, "q")
+    asked = open_pairs.select(*keys, F.col("_pc").alias("_cell")).union(open_pairs.select(*keys, F.col("_qc").alias("_cell"))).distinct()
+    inside = tagged.join(asked, [*keys, "_cell"], "left_semi").withColumn("_sub", cells.key("lat", "lon", size / 8.0))
+    subs = cut(cells.extents(inside, [*keys, "_cell", "_sub"])).select(*keys, "_cell", "_sub", cells.angles("").alias("box"))
+
+    def sides(df: DataFrame, at: str, *columns) -> DataFrame:
+        return df.select(*keys, F.col("_cell").alias(f"_{at}c"), F.col("_sub").alias(f"_{at}s"), *columns)
+
+    near = cut(
+        open_pairs.join(sides(subs, "p", F.col("box").alias("p")), [*keys, "_pc"])
+        .filter(cells.verdict(radius_m) >= 0)
+        .drop("q")
+        .join(sides(subs, "q", F.col("box").alias("q")), [*keys, "_qc"])
+        .select(*ends, "_ps", "_qs", cells.verdict(radius_m).alias("_v"))
+        .filter("_v >= 0")
+    )
     sure = near.filter("_v = 1").select(*ends).distinct()
     unsure = near.filter("_v = 0").join(sure, ends, "left_anti")
-    sites = tagged.select(*part, "lat", "lon").distinct()
-    p_sites = sites.select(*keys, F.col("_cell").alias("_pc"), F.col("_sub").alias("_ps"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    q_sites = sites.select(*keys, F.col("_cell").alias("_qc"), F.col("_sub").alias("_qs"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    sites = inside.select(*keys, "_cell", "_sub", "lat", "lon").distinct()
     exact = (
-        unsure.join(p_sites, [*keys, "_pc", "_ps"])
-        .join(q_sites, [*keys, "_qc", "_qs"])
+        unsure.join(sides(sites, "p", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), [*keys, "_pc", "_ps"])
+        .join(sides(sites, "q", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")), [*keys, "_qc", "_qs"])
         .filter(haversine_m("p_lat", "p_lon", "q_lat", "q_lon") <= radius_m)
         .select(*ends)
         .distinct()
     )
-    links = (
-        sure.unionByName(exact)
-        .join(nodes.withColumnsRenamed({"_cell": "_pc", "node": "a"}), [*keys, "_pc"])
-        .join(nodes.withColumnsRenamed({"_cell": "_qc", "node": "b"}), [*keys, "_qc"])
-        .select(*keys, "a", "b")
-    )
-    return nodes, links
+    settled = pairs.filter("_v = 0").join(sure.unionByName(exact), ends, "left_semi")
+    links = pairs.filter("_v = 1").unionByName(settled).select(*keys, "a", "b")
+    return nodes.select(*keys, "_cell", "node"), links
 
 
 def linked_flags(points: DataFrame, radius_m: float, keys: Sequence[str], id_col: str) -> DataFrame:

@@ -19,7 +19,8 @@ def locate(detections: DataFrame, gps: DataFrame, cfg: Settings = DEFAULTS, offs
 
     ``offsets`` (survey_id, fps, offset_s) overrides the frame rate and clock of a survey.
     """
-    reps = closest_approach(detections, cfg)
+    # read twice below, and far fewer rows than detections
+    reps = cut(closest_approach(detections, cfg))
     if offsets is None:
         t = frame_time(F.col("frame_idx"), F.lit(float(cfg.fps)), F.lit(0.0))
         reps = reps.withColumn("t", t)
