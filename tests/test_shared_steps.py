@@ -1,6 +1,8 @@
 """What many queries share reads its input once and moves no more rows than it has to."""
 
-from roadloom.operators import components, dedup
+import random
+
+from roadloom.operators import components, dedup, spatial
 
 
 def test_detections_are_read_once(spark, tmp_path):
@@ -13,6 +15,18 @@ def test_detections_are_read_once(spark, tmp_path):
     assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan parquet") <= 1
 
 
+def test_edges_alone_are_settled_without_landing_candidates(spark, monkeypatch):
+    names = "survey_id bigint, seq bigint, p_lat double, p_lon double, n_lat double, n_lon double, from_m double, step_m double"
+    edges = spark.createDataFrame([(1, n, 13.0 + n * 8e-5, 80.0, 13.0 + (n + 1) * 8e-5, 80.0, n * 8.9, 8.9) for n in range(200)], names)
+    rng = random.Random(7)
+    places = [(1, 13.0 + rng.random() * 200 * 8e-5, 80.0 + rng.random() * 1e-5) for _ in range(50)]
+    landed = []
+    monkeypatch.setattr(spatial, "cut", lambda df: landed.append(df) or df)
+    got = spatial._nearest_edges(spark.createDataFrame(places, "survey_id bigint, lat double, lon double"), edges, 5.0, False).collect()
+    assert not landed
+    assert {(r.lat, r.b.seq) for r in got} == {(lat, int((lat - 13.0) / 8e-5)) for _, lat, _ in places}
+
+
 def test_cells_meet_in_a_coarse_grid(spark, monkeypatch):
     """A point far from all others meets a few coarse cells, not every fine one around it."""
     asked = []
