@@ -13,12 +13,17 @@ from roadloom.operators.temporal import chainage
 from roadloom.session import cut
 
 
+def segment_numbers(chain: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(survey, total_m, n_seg, seg) for every segment of every trace."""
+    totals = chain.groupBy("survey_id").agg(F.max("cum_m").alias("total_m"))
+    n = F.when(F.col("total_m") > 0, F.ceil(F.col("total_m") / cfg.segment_length_m)).otherwise(F.lit(1)).cast("bigint")
+    return totals.withColumn("n_seg", n).withColumn("seg", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seg") - 1)))
+
+
 def frames_of_segments(chain: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """(survey, seg, start_m, end_m, covered) for every segment of every trace."""
     length = cfg.segment_length_m
-    totals = chain.groupBy("survey_id").agg(F.max("cum_m").alias("total_m"))
-    n = F.when(F.col("total_m") > 0, F.ceil(F.col("total_m") / length)).otherwise(F.lit(1)).cast("bigint")
-    segs = totals.withColumn("n_seg", n).withColumn("seg", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seg") - 1)))
+    segs = segment_numbers(chain, cfg)
     solid = chain.filter(F.col("p_lat").isNotNull() & ~F.col("is_gap"))
     first = F.floor((F.col("cum_m") - F.col("step_m")) / length)
     covered = (

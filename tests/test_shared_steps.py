@@ -3,6 +3,7 @@
 import random
 
 from roadloom.operators import components, dedup, spatial
+from roadloom.plans import roads
 
 
 def test_detections_are_read_once(spark, tmp_path):
@@ -36,3 +37,14 @@ def test_cells_meet_in_a_coarse_grid(spark, monkeypatch):
     got = components.clusters(df, 5.0, ["survey_id"], "track_id").collect()
     assert {r.track_id: r.component for r in got} == {n: n for n in range(5)}
     assert asked and min(asked) >= 4
+
+
+def test_counting_segments_rates_none(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("ratings are not asked for")
+
+    monkeypatch.setattr(roads, "segment_table", never)
+    folder = "/root/testdata/sf0.001"
+    counts = {r.survey_id: r.n_segments for r in roads.a05(spark, folder).collect()}
+    assert counts == {r.survey_id: r.n_segments for r in roads.q01(spark, folder).collect()}
+    assert roads.f20(spark, folder).count() == 2 * len(counts)
