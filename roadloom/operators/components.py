@@ -65,8 +65,10 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     extent = ("lat1", "lat2", "lon1", "lon2")
 
     def end(df: DataFrame, at: str, to) -> DataFrame:
-        return df.select(
-            *keys, to.alias("_to"), F.col("_cell").alias(f"_{at}c"), F.col("node").alias(f"{at}_node"), *[F.col(c).alias(f"{at}_{c}") for c in extent]
+        # hashes of cells sort faster; a collision only adds a candidate, and links are made distinct
+        return df.withColumn("_to", to).select(
+            *keys, F.xxhash64(*keys, "_to").alias("_to"), F.col("_cell").alias(f"_{at}c"), F.col("node").alias(f"{at}_node"),
+            *[F.col(c).alias(f"{at}_{c}") for c in extent]
         )
 
     # a cell's corner is less than a radius away from all its points; no two points are nearer than their latitudes
@@ -74,7 +76,7 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     p = end(nodes, "p", F.explode(cells.cover_box(*extent, radius_m * 2.0, coarse)))
     q = end(nodes, "q", cells.key("lat1", "lon1", coarse))
     pairs = (
-        p.join(q, [*keys, "_to"])
+        p.join(q, ["_to", *keys])
         .filter("_pc < _qc")
         .filter(apart)
         .withColumns({"p": cells.angles("p_"), "q": cells.angles("q_")})
