@@ -18,11 +18,13 @@ def label_rows(spark, sf):
     return cut(view(spark, sf, "v_label_box"))
 
 
-def images(spark, sf, split="leaky_split"):
+@shared
+def images(spark, sf):
+    """One row per image; the label rows are read for it once."""
     b = label_rows(spark, sf)
-    return b.groupBy("image").agg(
+    return cut(b.groupBy("image").agg(
         F.min("leaky_split").alias("split"), F.bool_or(F.col("raw_id").isNotNull()).alias("has_label"), F.min("doc_id").alias("pos")
-    )
+    ))
 
 
 def labels(spark, sf):

@@ -3,7 +3,7 @@
 import random
 
 from roadloom.operators import components, dedup, spatial
-from roadloom.plans import roads
+from roadloom.plans import corpus, roads
 
 
 def test_detections_are_read_once(spark, tmp_path):
@@ -48,3 +48,10 @@ def test_counting_segments_rates_none(spark, monkeypatch):
     counts = {r.survey_id: r.n_segments for r in roads.a05(spark, folder).collect()}
     assert counts == {r.survey_id: r.n_segments for r in roads.q01(spark, folder).collect()}
     assert roads.f20(spark, folder).count() == 2 * len(counts)
+
+
+def test_images_are_aggregated_once(spark):
+    folder = "/root/testdata/sf0.001"
+    found = corpus.images(spark, folder)
+    assert "Aggregate" not in found._jdf.queryExecution().toString()
+    assert found.count() == corpus.label_rows(spark, folder).select("image").distinct().count()
