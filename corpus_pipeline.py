@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import decontamination, language_id, line_dedup, packing, simhash_dedup
-from roadloom.llm.common import landed, wide_hash
+from roadloom.llm.common import forget_finished, landed, wide_hash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -67,4 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = landed(stage(spark, docs, sf_dir), name)
+        forget_finished(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
