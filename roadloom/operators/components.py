@@ -67,7 +67,7 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     def end(df: DataFrame, at: str, to) -> DataFrame:
         # hashes of cells sort faster; a collision only adds a candidate, and links are made distinct
         return df.withColumn("_to", to).select(
-            *keys, F.xxhash64(*keys, "_to").alias("_to"), F.col("_cell").alias(f"_{at}c"), F.col("node").alias(f"{at}_node"),
+            *keys, F.xxhash64(*keys, "_to").alias("_to"), F.col("node").alias(f"{at}_node"),
             *[F.col(c).alias(f"{at}_{c}") for c in extent]
         )
 
@@ -77,12 +77,15 @@ def linked_cells(points: DataFrame, radius_m: float, keys: Sequence[str], id_col
     q = end(nodes, "q", cells.key("lat1", "lon1", coarse))
     pairs = (
         p.join(q, ["_to", *keys])
-        .filter("_pc < _qc")
+        .filter("p_node < q_node")
         .filter(apart)
         .withColumns({"p": cells.angles("p_"), "q": cells.angles("q_")})
         .withColumn("_v", cells.verdict(radius_m))
         .filter("_v >= 0")
-        .select(*keys, "_pc", "_qc", F.col("p_node").alias("a"), F.col("q_node").alias("b"), "q", "_v")
+        # the least latitude and longitude of a cell lie in it, so cells needn't be shuffled
+        .select(
+            *keys, *[cells.key(f"{at}_lat1", f"{at}_lon1", size).alias(f"_{at}c") for at in "pq"], F.col("p_node").alias("a"), F.col("q_node").alias("b"), "q", "_v"
+        )
     )
     pairs = cut(pairs)
     ends = [*keys, "_pc", "_qc"]

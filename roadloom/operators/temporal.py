@@ -10,6 +10,9 @@ from roadloom.functions.geo import haversine_m
 from roadloom.operators.ranking import BLOCK, blocked_previous, blocked_running_sum
 from roadloom.session import cut
 
+#: what the chainage of a trace is made of
+TRACE = ("survey_id", "seq", "timestamp_s", "lat", "lon")
+
 LEVELS = 6
 FANOUT = 64
 
@@ -21,19 +24,18 @@ def accuracy_filter(gps: DataFrame, max_accuracy_m: float | None) -> DataFrame:
     return gps.filter(F.col("accuracy_m").isNull() | (F.col("accuracy_m") <= max_accuracy_m))
 
 
-def edges(gps: DataFrame, block_rows: int = BLOCK) -> DataFrame:
+def edges(gps: DataFrame, block_rows: int = BLOCK, keep_block: bool = False) -> DataFrame:
     """Each trace point with its predecessor in file order and the metres between them."""
-    prev = blocked_previous(gps, ["survey_id"], "seq", ["timestamp_s", "lat", "lon"], block_rows=block_rows)
+    prev = blocked_previous(gps, ["survey_id"], "seq", ["timestamp_s", "lat", "lon"], block_rows=block_rows, keep_block=keep_block)
     step = haversine_m("p_lat", "p_lon", "lat", "lon")
     return prev.withColumn("step_m", F.coalesce(step, F.lit(0.0)))
 
 
 def chainage(gps: DataFrame, cfg: Settings = DEFAULTS, block_rows: int = BLOCK) -> DataFrame:
     """Edges with metres along the trace (``cum_m``) and the time-gap flag."""
-    e = edges(gps, block_rows)
-    e = blocked_running_sum(
-        e, ["survey_id"], "seq", "step_m", "cum_m", F.floor(F.col("seq") / F.lit(block_rows))
-    )
+    # both steps use one block, so the rows are dealt once
+    e = edges(gps, block_rows, keep_block=True)
+    e = blocked_running_sum(e, ["survey_id"], "seq", "step_m", "cum_m", F.col("_blk"))
     gap = F.col("timestamp_s") - F.col("p_timestamp_s") > cfg.max_time_gap_s
     return e.withColumn("is_gap", F.coalesce(gap, F.lit(False)))
 

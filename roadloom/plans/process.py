@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadloom.config import DEFAULTS, Settings
 from roadloom.operators import dedup, priority, segments, verification
-from roadloom.operators.temporal import chainage
+from roadloom.operators.temporal import TRACE, chainage
 from roadloom.session import cut
 from roadloom.sources.store import SurveyStore
 
@@ -38,7 +38,7 @@ def process_surveys(
         detections = detections.filter(F.col("frame_idx") % cfg.frame_stride == 0)
     found, lost, members = dedup.deduplicate(detections, gps, cfg, offsets)
     found = cut(found)
-    chain = cut(chainage(gps, cfg))
+    chain = cut(chainage(gps.select(*TRACE), cfg))
     placed = segments.assign(found, chain, ["defect_id"], cfg).select("survey_id", "defect_id", "seg_raw")
     last = segments.frames_of_segments(chain, cfg).groupBy("survey_id").agg(F.max("seg").alias("last"))
     placed = placed.join(last, "survey_id").select(

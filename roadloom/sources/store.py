@@ -32,10 +32,12 @@ class SurveyStore:
                 raise
             return self.spark.createDataFrame([], TABLES[table])
 
-    def _write(self, df: DataFrame, table: str, mode: str = "append") -> None:
+    def _write(self, df: DataFrame, table: str, mode: str = "append", dealt: bool = False) -> None:
+        """``dealt``: the rows lie in ranges of survey already."""
         cols = [f.split()[0] for f in TABLES[table].split(", ")]
         # even files: small surveys share a task, a large one is split over several
-        df.select(*cols).hint("rebalance", "survey_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("survey_id").parquet(
+        rows = df.select(*cols) if dealt else df.select(*cols).hint("rebalance", "survey_id")
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("survey_id").parquet(
             self._path(table)
         )
 
@@ -89,10 +91,11 @@ class SurveyStore:
                 given("matched_prev_id", "bigint"), given("crop_path", "string"), given("review_status", "string"),
             ),
             "defects",
+            dealt=True,
         )
 
     def add_segments(self, segments: DataFrame) -> None:
-        self._write(self._assign_ids(segments, "segments", "segment_id"), "segments")
+        self._write(self._assign_ids(segments, "segments", "segment_id"), "segments", dealt=True)
 
     def update_defects(self, changes: DataFrame) -> None:
         """changes: survey_id, defect_id, status, matched_prev_id, recurrence, unverified.

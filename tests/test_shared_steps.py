@@ -2,7 +2,7 @@
 
 import random
 
-from roadloom.operators import components, dedup, spatial
+from roadloom.operators import components, dedup, ranking, spatial, temporal
 from roadloom.plans import corpus, roads
 
 
@@ -55,3 +55,51 @@ def test_images_are_aggregated_once(spark):
     found = corpus.images(spark, folder)
     assert "Aggregate" not in found._jdf.queryExecution().toString()
     assert found.count() == corpus.label_rows(spark, folder).select("image").distinct().count()
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "Reused" not in line]
+
+
+def test_ranked_rows_are_dealt_once(spark):
+    """Rows sorted and numbered in their range need no second shuffle for their rank."""
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id * 7 % 1009 AS id")
+    got = ranking.blocked_rank(df, ["k"], "id", "rk")
+    assert not exchanges(got)
+    rows = sorted((r.k, r.id, r.rk) for r in got.collect())
+    assert [rk for _, _, rk in rows] == [n for k in range(3) for n in range(1, 1 + len([r for r in rows if r[0] == k]))]
+
+
+def test_very_many_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW_BLOCKS", 2)
+    got = ranking.blocked_rank(spark.range(100).selectExpr("id DIV 10 AS k", "-id AS id"), ["k"], "id", "rk")
+    assert {(r.k, r.id): r.rk for r in got.collect()} == {(n // 10, -n): 10 - n % 10 for n in range(100)}
+
+
+def test_chainage_deals_a_trace_once(spark):
+    points = [(s, n, float(n), 13.0 + n * 1e-5, 80.0) for s in range(2) for n in range(500)]
+    gps = spark.createDataFrame(points, ", ".join(f"{c} {t}" for c, t in zip(temporal.TRACE, ("bigint", "bigint", "double", "double", "double"))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chain = temporal.chainage(gps, block_rows=100)
+        # the windows, the last row and the sum of each block, each once for the sums and once for the rows
+        dealt = len(exchanges(chain))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = {(r.survey_id, r.seq): r.cum_m for r in chain.collect()}
+    assert dealt <= 6 and abs(rows[(1, 499)] - 499 * 1.11195) < 0.1
+
+
+def test_distinct_edges_are_not_landed_again(spark, monkeypatch):
+    """A trace without equal edges goes to the nearest-edge search as it is; equal ones are made one."""
+    names = "survey_id bigint, seq bigint, p_lat double, p_lon double, lat double, lon double, cum_m double, step_m double"
+    apart = [(1, n, 13.0 + n * 8e-5, 80.0, 13.0 + (n + 1) * 8e-5, 80.0, (n + 1) * 8.9, 8.9) for n in range(50)]
+    points = spark.createDataFrame([(1, 7, 13.0 + 10.5 * 8e-5, 80.0)], "survey_id bigint, defect_id bigint, lat double, lon double")
+    landed = []
+    monkeypatch.setattr(spatial, "cut", lambda df: landed.append(df.columns) or df)
+    found = spatial.snap_to_trace(points, spark.createDataFrame(apart, names), ["defect_id"]).collect()
+    assert abs(found[0].chain_m - 10.5 * 8.9) < 0.01 and not any("from_m" in c for c in landed)
+    again = [(1, 50 + n, *row[2:6], 445 + row[6], row[7]) for n, row in enumerate(apart)]
+    found = spatial.snap_to_trace(points, spark.createDataFrame(apart + again, names), ["defect_id"]).collect()
+    assert abs(found[0].chain_m - 10.5 * 8.9) < 0.01 and any("from_m" in c for c in landed)
