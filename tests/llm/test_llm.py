@@ -331,6 +331,44 @@ def test_passages_against_all_pairs(spark):
     assert plain_components(range(120), linked) == plain_components(range(120), true)
 
 
+def test_passages_whose_shingles_all_stand_in_a_third_text(spark):
+    """Whichever text comes first: the third one has the passage in two pieces far apart, so it is nobody's partner."""
+    rng = random.Random(8)
+    new = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 90, 3):
+        passage = new(50)
+        rows += [(k, " ".join(new(9) + passage[:30] + new(60) + passage[26:] + new(9))), (k + 1, " ".join(new(40) + passage + new(40))), (k + 2, " ".join(new(25) + passage + new(60)))]
+    found = passage_dedup.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.match_doc_id))) for r in found} == {(k + 1, k + 2) for k in range(0, 90, 3)}
+
+
+def test_passages_at_the_second_place_of_a_text(spark):
+    """The first text of a shingle has it twice, first in a phrase, then in a passage that another text has too."""
+    rng = random.Random(12)
+    new = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 60, 2):
+        passage = new(50)
+        rows += [(k, " ".join(new(60) + passage[:28] + new(60) + passage[24:] + new(60) + passage + new(60))), (k + 1, " ".join(new(25) + passage + new(60)))]
+    found = passage_dedup.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.match_doc_id))) for r in found} == {(k, k + 1) for k in range(0, 60, 2)}
+
+
+def test_shingles_that_can_lie_in_a_passage():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        t, pos, want = [], [], []
+        for text in range(3):
+            shared = np.flatnonzero(rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.75, 0.9]))
+            in_run = np.zeros(60, dtype=bool)
+            for s, e in itertools.combinations(range(70), 2):
+                if e - s >= 10 and ((shared >= s) & (shared < e)).sum() >= 0.8 * (e - s) - 1e-9:
+                    in_run[s:e] = True
+            t, pos, want = t + [text] * len(shared), pos + shared.tolist(), want + in_run[shared].tolist()
+        assert passage_dedup._eligible(np.array(t, dtype="int64"), np.array(pos, dtype="int32"), 10, 0.8).tolist() == want
+
+
 def test_long_attributes_are_no_text():
     body = "<p>" + "A sentence of the article, with some words. " * 8 + "</p>"
     for quote in "\"'":
